@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_or_empty, words_of
+from tidemark.llm.common import WORD_BREAK, text_or_empty, words_of
 
 WINDOW = 5
 SYMBOLS = r"[^#*$%&|<>]"
@@ -49,19 +49,15 @@ RULES = (
 BASE = ("too_short", "repeated_windows")
 
 
-def repeated_words(words: str, window: int = WINDOW) -> Column:
-    """Words of the array column ``words`` inside windows found twice or more in it.
+def windows(words: str, window: int = WINDOW) -> tuple[Column, Column]:
+    """Hashes of the words of an array column, and of its windows of word hashes.
 
-    Windows are compared by the 64-bit hash of their word hashes.  Sorting (hash, start)
-    puts equal windows side by side; the starts of those, sorted again, cover
-    ``min(window, distance to the next start)`` words each.
+    Both become array columns of their own, ``__hashes`` and ``__windows``, so that each is
+    built once: equal windows are then found by sorting (hash, start).
     """
-    n = F.size(words)
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    starts = F.sequence(F.lit(0), n - window)
-    windows = F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("__hashes"), i + k) for k in range(window)]))
-    # kept as array columns of their own so that each is built once
-    return hashes, windows
+    starts = F.sequence(F.lit(0), F.size(words) - window)
+    return hashes, F.transform(starts, lambda i: F.xxhash64(*[F.get("__hashes", i + k) for k in range(window)]))
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -73,7 +69,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = text_or_empty(text_col)
     n = F.size("__words")
     lines = F.filter(F.split("__text", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
-    hashes, windows = repeated_words("__words")
+    hashes, shingles = windows("__words")
     sorted_windows = F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     last = F.size("__sorted") - 1
     twins = F.filter(
@@ -103,14 +99,14 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("__words", words_of(F.col("__text")))
         .withColumn("__lines", lines)
         .withColumn("__hashes", hashes)
-        .withColumn("__windows", F.when(n >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")))
+        .withColumn("__windows", F.when(n >= WINDOW, shingles).otherwise(F.array().cast("array<bigint>")))
         .withColumn(
             "__sorted",
             F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), sorted_windows).otherwise(pairs),
         )
         .withColumn("__twins", F.when(F.size("__sorted") > 0, twins).otherwise(none))
     )
-    chars = F.length(F.regexp_replace("__text", WORD_CHARS, ""))
+    chars = F.length(F.regexp_replace("__text", WORD_BREAK, ""))
     counts = {
         "n_words": n.cast("long"),
         "word_chars": chars.cast("long"),
@@ -139,10 +135,6 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return made.drop("__text", "__words", "__lines", "__hashes", "__windows", "__sorted", "__twins", "__c")
 
 
-#: What is not part of a word.
-WORD_CHARS = r"[\x20\x09-\x0D]+"
-
-
 def compiled(rules: tuple[Rule, ...], measure: str = "__m") -> Column:
     """The names of the rules that a row fails, in the table's order."""
     checks = []
@@ -163,3 +155,20 @@ def apply(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
     one: ties and repeated rows do not matter; an empty table gives an empty result.
     """
     return measures(docs, text_col).withColumn("failed", compiled(rules))
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, counts, base_failed, kept, failed): the verdict on every row of ``docs``.
+
+    ``base_failed`` is exact in whole numbers: fewer than 10 words, or more than a fifth of
+    the words in repeated windows.  ``kept`` also needs every other rule.
+    """
+    m = lambda k: F.col(f"__m.{k}")
+    base = (m("n_words") < 10) | (100 * m("n_repeat_words") > 20 * m("n_words"))
+    others = tuple(r for r in RULES if r.name not in BASE)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return (
+        apply(docs.select(id_col, text_col), text_col, others)
+        .withColumn("base_failed", base)
+        .select(id_col, *[m(k).alias(k) for k in names], "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed")
+    )
