@@ -54,8 +54,7 @@ class Words:
 
     def __init__(self) -> None:
         self.ids: dict[str, int] = {}
-        self.rows: list[tuple[int, int, int, int]] = []
-        self.table = np.zeros((0, 4), np.uint64)
+        self.table = np.zeros((4096, 4), np.uint64)
 
     def add(self, word: str) -> None:
         core = word.strip(EDGES)
@@ -63,18 +62,17 @@ class Words:
         kind = NUM if NUMBER.match(core) else NAME if core[:1].isupper() else LITERAL
         value = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
         ends = word == LINE or word.rstrip("\"'”’»)")[-1:] in ENDS or not core
-        self.ids[word] = len(self.rows)
-        self.rows.append((value, kind, int(ends), (low in UNITS) + 2 * (not core)))
+        k = self.ids[word] = len(self.ids)
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[k] = (value, kind, int(ends), (low in UNITS) + 2 * (not core))
 
     def look_up(self, words: list[str]) -> np.ndarray:
         """Columns hash, kind, ends a sentence, flags (1: unit, 2: no word)."""
         if len(self.ids) > CACHE:
-            self.__init__()
-        new = set(words).difference(self.ids)
-        for w in new:
+            self.ids.clear()
+        for w in set(words).difference(self.ids):
             self.add(w)
-        if new or len(self.table) != len(self.rows):
-            self.table = np.array(self.rows, np.uint64).reshape(-1, 4)
         return self.table[np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))]
 
 

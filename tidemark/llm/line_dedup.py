@@ -137,9 +137,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
             ),
         )
     )
-    marked = F.transform(
-        pieces(text_or_empty(text_col)), lambda p, i: F.when(F.get("__ends", i) == 1, F.concat(F.lit(END), p)).otherwise(p)
-    )
+    # zipped, not looked up from the lambda, where the optimizer might build the array anew
+    both = F.arrays_zip(pieces(text_or_empty(text_col)).alias("p"), F.col("__ends").alias("e"))
+    marked = F.transform(both, lambda x: F.when(x["e"] == 1, F.concat(F.lit(END), x["p"])).otherwise(x["p"]))
     # split at the marks, every second part is a run
     parts = F.transform(
         F.split(F.array_join(marked, ""), END),
@@ -149,7 +149,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     rest = F.array_join(F.transform(F.filter("__parts", lambda p: p["n"] < min_words), lambda p: p["t"]), "")
     return (
         joined.withColumn("__ends", ends)
-        # a second mention of __ends: else the optimizer would put its expression in the lambda
         .withColumn("__parts", F.when(F.col("__ends").isNotNull(), parts))
         .withColumn("__long", long)
         .withColumn(text_col, F.when(F.size("__long") > 0, rest).otherwise(F.col(text_col)))
@@ -168,4 +167,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with repeats cut out; documents of which no word is left go."""
     cut = dedup(docs, id_col, text_col, **how)
     left = (F.col("__cut.words") == 0) | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
-    return cut.where(left).drop("__cut")
+    # a filter would be pushed below and have the whole projection computed twice
+    rows = cut.withColumn("__left", F.explode(F.when(left, F.array(F.lit(1)))))
+    return rows.drop("__cut", "__left")

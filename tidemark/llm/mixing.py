@@ -6,8 +6,9 @@ distributed projected gradient steps so that the expected tokens of each domain,
 ``sum(rate * tokens * posterior)``, match the targets.
 
 With A = tokens * posterior, the objective is the least-squares misfit weighted by the
-inverse of ``M = sum(tokens * posterior * posterior')``, and steps are scaled by
-1 / tokens; then the step length 1 is safe, and targets are met in a few steps.
+inverse of ``M = sum(tokens * posterior * posterior')`` over documents with a positive
+rate, and steps are scaled by 1 / tokens, so that targets are met in a few steps.  A step
+that makes the misfit larger is taken back and halved.
 
 Scale: training reads a bounded sample of labelled documents (``TRAIN_DOCS``).  Posteriors
 come from one projection, no shuffle.  Each gradient step is one scan of the narrow table
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import text_or_empty, words_of, written
 
 #: Buckets of hashed words.
-BUCKETS = 4096
+BUCKETS = 8192
+#: Log likelihood ratios are divided by this before they become posteriors.
+TEMPER = 3.0
 #: Bound of the training sample, drawn by a hash of the id.
 TRAIN_DOCS = 12_000
 MAX_DOMAINS = 32
@@ -78,8 +81,8 @@ def train(docs: DataFrame, domains: DataFrame, id_col: str = "doc_id", text_col:
 def membership(docs: DataFrame, model: dict[str, list[float]], text_col: str = "text") -> DataFrame:
     """``docs`` with ``__tokens`` and the posterior array ``__p`` over the sorted domains.
 
-    Log likelihoods of a document's distinct buckets are averaged over their square root,
-    which keeps memberships soft for long texts.  Texts without words get the priors.
+    Log likelihoods are summed over a document's distinct buckets and tempered, which
+    keeps memberships soft.  Texts without words get the priors.
     """
     names = sorted(model)
     # literals, folded into one array each; relative to the first domain
@@ -93,8 +96,7 @@ def membership(docs: DataFrame, model: dict[str, list[float]], text_col: str = "
         zero,
         lambda a, b: F.struct(*[(a[f"s{k}"] + F.get(tables[k], b)).alias(f"s{k}") for k in range(len(names))]),
     )
-    scale = F.sqrt(F.greatest(F.size("__b"), F.lit(1)))
-    logits = F.array(*[F.col(f"__s.s{k}") / scale + F.lit(model[d][0]) for k, d in enumerate(names)])
+    logits = F.array(*[F.col(f"__s.s{k}") / TEMPER + F.lit(model[d][0]) for k, d in enumerate(names)])
     return (
         docs.withColumn("__w", F.transform(words_of(text_or_empty(text_col)), bucket))
         .withColumn("__tokens", F.size("__w").cast("long"))
@@ -133,24 +135,30 @@ def rates(table: DataFrame, names: list[str], targets: dict[str, float], budget:
     k = len(names)
     p = [F.get("__p", F.lit(j)) for j in range(k)]
     t = F.col("__tokens").cast("double")
-    first = table.agg(
-        F.sum(t).alias("n"), *[F.sum(t * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]
-    ).first()
-    tokens = first["n"] or 0.0
-    m = [[first[f"m{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)]
+    tokens = float(table.agg(F.coalesce(F.sum("__tokens"), F.lit(0))).first()[0])
     total = tokens if budget is None else budget
     share = sum(targets.get(d, 0.0) for d in names)
     goal = [total * targets.get(d, 0.0) / share for d in names]
     rate: Column = F.lit(total / tokens if tokens else 0.0)
-    misfit: list[float] = []
+    best, misfit, least, size = rate, [0.0] * k, math.inf, 1.0
+    y = [0.0] * k
     for _ in range(STEPS if tokens else 0):
-        now = table.agg(*[F.sum(rate * t * p[j]).alias(str(j)) for j in range(k)]).first()
-        misfit = [now[j] - goal[j] for j in range(k)]
-        if max(map(abs, misfit)) <= ENOUGH * total:
-            break
-        y = solve(m, misfit)
-        rate = F.greatest(F.lit(0.0), rate - sum((F.lit(y[j]) * p[j] for j in range(1, k)), F.lit(y[0]) * p[0]))
-    return rate, misfit
+        on = F.when(rate > 0, t).otherwise(0.0)
+        now = table.agg(
+            *[F.sum(rate * t * p[j]).alias(f"a{j}") for j in range(k)],
+            *[F.sum(on * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)],
+        ).first()
+        off = [now[f"a{j}"] - goal[j] for j in range(k)]
+        if (norm := math.fsum(x * x for x in off)) < least:
+            best, misfit, least, size = rate, off, norm, 1.0
+            if max(map(abs, off)) <= ENOUGH * total:
+                break
+            y = solve([[now[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], off)
+        else:
+            size /= 2
+        move = [size * v for v in y]
+        rate = F.greatest(F.lit(0.0), best - sum((F.lit(move[j]) * p[j] for j in range(1, k)), F.lit(move[0]) * p[0]))
+    return best, misfit
 
 
 def mix(

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, text_or_empty, written
+from tidemark.llm.common import KEY, components, row_key, text_or_empty, written
 
 #: Fingerprints that shape the sharding tree (a bound, not a filter: all are sharded).
 SAMPLE = 4096
@@ -204,12 +204,141 @@ def near_duplicates(
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest id.
+#: Bits of the long fingerprints that estimate similarity, in words of 64; the first
+#: ``SIFT_WORDS`` words sift pairs before the whole is compared.
+WORDS, SIFT_WORDS = 8, 2
+#: Odd multipliers that derive one 64-bit hash per word from a shingle's hash.
+MIX = (np.uint64(0x9E3779B97F4A7C15) * (2 * np.arange(1, 17, dtype=np.uint64) + np.uint64(1))).astype(np.uint64)
 
-    Where that id has several rows, only those with the smallest text hash stay, once.
+
+def long_simhash(text: str, shingle: int = 5) -> tuple[bytes, int]:
+    """A SimHash of ``64 * WORDS`` bits of the distinct word shingles, and their number."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return bytes(8 * WORDS), 0
+    if len(words) <= shingle:
+        parts: list | set = [words]
+    else:
+        parts = set(zip(*(words[k:] for k in range(shingle)), strict=False))
+    h = np.array([xxhash.xxh64_intdigest(b" ".join(p), 42) for p in parts], dtype=np.uint64)
+    ones = np.zeros((WORDS, 64), np.int64)
+    for at in range(0, len(h), 1 << 14):
+        part = h[at : at + (1 << 14)]
+        for k in range(WORDS):
+            x = (part ^ (part >> np.uint64(31))) * MIX[k]
+            x ^= x >> np.uint64(29)
+            ones[k] += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes(), len(h)
+
+
+def bits_at(similarity: float, bits: int, slack: float = 0.0) -> int:
+    """Differing bits expected at a Jaccard similarity, plus ``slack`` standard deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def link_similar(prints: np.ndarray, sizes: np.ndarray, home: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (index, index) of a shard whose prints are estimated as similar.
+
+    The points are ordered by size: the distance ``|log a - log b|`` to an empty text is
+    the first level of the tree, and only its ring around a block can hold neighbours.
+    Pairs that are linked already are not compared in full.
+    """
+    order = np.argsort(sizes, kind="stable")
+    prints, sizes, home = prints[order], sizes[order], home[order]
+    near = bits_at(similarity, 64 * WORDS, 1.0)
+    sift = bits_at(similarity, 64 * SIFT_WORDS, 2.5)
+    links = Links(len(sizes))
+    own = np.flatnonzero(home)
+    for j in range(0, len(own), LEAF):
+        block = own[j : j + LEAF]
+        lo = np.searchsorted(sizes, math.floor(sizes[block[0]] * similarity), "left")
+        hi = np.searchsorted(sizes, math.ceil(sizes[block[-1]] / similarity), "right")
+        part = [np.ascontiguousarray(prints[block, k]) for k in range(SIFT_WORDS)]
+        for k in range(lo, hi, BLOCK):
+            ask = np.arange(k, min(hi, k + BLOCK))
+            d = np.bitwise_count(prints[ask, 0][:, None] ^ part[0])
+            for w in range(1, SIFT_WORDS):
+                d = d + np.bitwise_count(prints[ask, w][:, None] ^ part[w])
+            x, y = np.nonzero(d <= sift)
+            a, b = ask[x], block[y]
+            while len(a):
+                apart = links.label[a] != links.label[b]
+                a, b = a[apart], b[apart]
+                # in slices: what the first ones link needs no comparison later
+                x, y, a, b = a[:20_000], b[:20_000], a[20_000:], b[20_000:]
+                ratio = np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y])
+                full = np.bitwise_count(prints[x] ^ prints[y]).sum(1, dtype=np.int64) <= near
+                links.add(x[ratio & full], y[ratio & full])
+    child = np.flatnonzero(links.label != np.arange(len(sizes)))
+    return order[child], order[links.label[child]]
+
+
+#: Points that a size shard owns, at most about; more shards cost more visits.
+OWN = 150_000
+LEAST_SHARDS = 24
+
+
+def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, h1, h2, group): the group of each document, by estimated shingle similarity.
+
+    Fingerprints of a similarity of 0.8 differ in 15 bits of 100, and random ones in 50, so
+    a tree of Hamming balls cannot prune here.  The vantage point is therefore the empty
+    text: shards are rings of sizes (numbers of distinct shingles), and a point also visits
+    the shards of smaller sizes that its search ball, sizes down to ``similarity`` times its
+    own, overlaps.  Texts with equal prints and sizes are one point.  Inside its ring every
+    pair is compared: the work grows with the square of the points, in numpy.
+    """
+    key = row_key(id_col, text_col)
+
+    @F.pandas_udf("fp binary, n long")
+    def fp(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([long_simhash(t, shingle) for t in texts], columns=["fp", "n"])
+
+    made = docs.select(*key, text_or_empty(text_col).alias("t")).withColumn("x", fp("t"))
+    prints = written(made.select(*KEY, "x.fp", "x.n").distinct(), "long-prints")
+    points = written(
+        prints.groupBy("fp", "n").agg(F.min(F.struct(*KEY)).alias("k")).select("fp", "n", F.xxhash64("fp", "n").alias("p")), "points"
+    )
+    count = points.count()
+    shards = max(LEAST_SHARDS, -(-count // OWN))
+    cuts = points.approxQuantile("n", [k / shards for k in range(1, shards)], 0.0005) if count else []
+    edges_of = np.unique(np.array(cuts, float))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = batch["n"].to_numpy()
+            at = np.searchsorted(edges_of, n, "right")
+            low = np.searchsorted(edges_of, np.floor(n * similarity), "right")
+            for back in range(int((at - low).max(initial=0)) + 1):
+                own = at - back >= low
+                yield batch[own].assign(shard=(at - back)[own].astype(np.int32), home=back == 0)
+
+    def join(shard: pd.DataFrame) -> pd.DataFrame:
+        fps = np.frombuffer(b"".join(shard["fp"]), "<u8").reshape(-1, WORDS)
+        a, b = link_similar(fps, shard["n"].to_numpy(), shard["home"].to_numpy(bool), similarity)
+        p = shard["p"].to_numpy()
+        return pd.DataFrame({"a": p[a], "b": p[b]})
+
+    dealt = points.mapInPandas(deal, "fp binary, n long, p long, shard int, home boolean")
+    roots = components(dealt.groupBy("shard").applyInPandas(join, "a long, b long"), "similar")
+    return (
+        prints.withColumn("p", F.xxhash64("fp", "n"))
+        .join(roots.withColumnRenamed("node", "p"), "p", "left")
+        .select(*KEY, F.coalesce("root", "p").alias("group"))
+    )
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """``docs`` without near-duplicates: of each group the document with the smallest id stays.
+
+    Ties go to the smallest text hash; of repeated rows one stays.  Null and empty texts
+    are one group.  Null ids count as the smallest.  Columns are unchanged.
     """
-    found = near_duplicates(docs, id_col, text_col, **how).groupBy(id_col).agg(F.min("component_id").alias("__c"))
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("__c"))).select(F.col(id_col).alias("__i"))
-    rest = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__i")), "left_semi")
-    return rest.dropDuplicates([id_col])
+    groups = written(similar_groups(docs, id_col, text_col, shingle, similarity), "groups")
+    kept = groups.groupBy("group").agg(F.min(F.struct(*KEY)).alias("k")).select(*[F.col(f"k.{c}").alias(f"__k{c}") for c in KEY])
+    keyed = docs.withColumns(dict(zip(KEY, row_key(id_col, text_col), strict=True)))
+    rest = keyed.join(kept, [F.col(c) == F.col(f"__k{c}") for c in KEY], "left_semi")
+    return rest.dropDuplicates(KEY).drop(*KEY)

@@ -4,7 +4,7 @@ Method: overlapping heuristic labellers vote good, bad or abstain on every docum
 Expectation-maximisation over all votes estimates the share of good documents and each
 labeller's accuracies (how it votes on good and on bad documents), without any true
 label.  The posteriors are soft labels of a bounded sample of documents, on which a
-logistic regression over hashed word and word-shape features is trained; it scores the
+logistic regression over hashed word, word-shape and repetition features is trained; it scores the
 whole text of every document.
 
 Scale: votes take one scan; only counts of vote patterns reach the driver, at most
@@ -15,6 +15,7 @@ documents for each side, drawn by a hash of the id.  Scoring is one scan.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import text_or_empty, written
 
 #: Bound of the training sample, for posteriors of a half or more and for others.
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 1200
 BITS = 17
 EM_ROUNDS = 200
-EPOCHS = 60
+EPOCHS = 30
 CACHE = 300_000
 #: Frequent function words of the supported languages.
 STOP_WORDS = frozenset(
@@ -39,7 +40,7 @@ STOP_WORDS = frozenset(
     "le la les et un une de du est que qui en dans pour pas sur au par avec il elle "
     "el los las y del se una por con su al lo como más pero sus".split()
 )
-LABELLERS = ("length", "letters", "symbols", "capitals", "stop_words", "variety", "lines", "word_length")
+LABELLERS = ("length", "letters", "symbols", "capitals", "stop_words", "variety", "lines", "word_length", "stutter")
 #: Character classes of code points below 0x250: letter, capital, digit, space, symbol.
 CLASSES = np.array(
     [
@@ -50,6 +51,11 @@ CLASSES = np.array(
 )
 
 
+def stutter(words: list[str]) -> float:
+    """Share of words that repeat the word before them."""
+    return sum(map(str.__eq__, words, words[1:])) / max(1, len(words))
+
+
 def votes(text: str) -> str:
     """One character for each labeller: "1" good, "0" bad, "-" abstains.
 
@@ -71,21 +77,22 @@ def votes(text: str) -> str:
     stops = sum(map(STOP_WORDS.__contains__, text.lower().split())) / n
     return "".join(
         (
-            "0" if n < 10 else "1" if n >= 50 else "-",
+            "0" if n < 4 else "1" if n >= 20 else "-",
             side(letters / chars, (0.85, 1), 0.7, 9),
             side(symbol / n, (0, 0.05), -1, 0.25),
             side(capital / max(1, letters), (0, 0.12), -1, 0.4),
             side(stops, (0.12, 0.75), 0.06, 0.9),
-            "-" if n < 40 else side(len(set(words)) / n**0.8, (0.9, 99), 0.45, 999),
+            "-" if n < 40 else side(len(set(words)) / n**0.8, (0.95, 99), 0.75, 999),
             side(1 - len(set(lines)) / max(1, len(lines)), (0, 0.05), -1, 0.3),
             side(chars / n, (3, 9), 2, 14),
+            "-" if n < 10 else side(stutter(words), (0, 0.02), -1, 0.15),
         )
     )
 
 
 @dataclass
 class VoteModel:
-    """Share of good documents, and P(vote | side) as log odds for each labeller's vote."""
+    """Share of good documents, and each labeller's log odds for its votes."""
 
     prior: float
     odds: np.ndarray  # labellers x votes (good, bad, abstains)
@@ -109,21 +116,22 @@ def fit_votes(patterns: dict[str, int]) -> VoteModel:
     vote = np.array([["10-".index(v) for v in p] for p in patterns])
     good, bad = (vote == 0).sum(1), (vote == 1).sum(1)
     q = (good + 1) / (good + bad + 2)
-    base = np.array([[7.0, 1.0, 2.0], [1.0, 7.0, 2.0]])
+    base = np.array([[7.0, 1.0], [1.0, 7.0]])
     prior, rate = 0.5, np.zeros((2, m, 3))
     for _ in range(EM_ROUNDS):
         prior = float(np.clip((q @ count + 1) / (count.sum() + 2), 1e-4, 1 - 1e-4))
         for side, weight in enumerate((q * count, (1 - q) * count)):
-            for v in range(3):
+            for v in range(2):
                 rate[side, :, v] = (weight[:, None] * (vote == v)).sum(0) + base[side, v]
-            rate[side] /= rate[side].sum(1, keepdims=True)
-        odds = np.log(rate[0]) - np.log(rate[1])
+            rate[side, :, :2] /= rate[side, :, :2].sum(1, keepdims=True)
+        odds = np.zeros((m, 3))  # abstaining says nothing
+        odds[:, :2] = np.log(rate[0, :, :2]) - np.log(rate[1, :, :2])
         x = np.log(prior / (1 - prior)) + odds[np.arange(m), vote].sum(1)
         new = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         moved, q = float(np.abs(new - q).max()), new
         if moved < 1e-9:
             break
-    right = np.stack([rate[0, :, 0] / rate[0, :, :2].sum(1), rate[1, :, 1] / rate[1, :, :2].sum(1)], 1)
+    right = np.stack([rate[0, :, 0], rate[1, :, 1]], 1)
     return VoteModel(prior, odds, right)
 
 
@@ -143,19 +151,23 @@ def slots(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in names]
 
 
+#: Slot of the share of stuttered words.
+STUTTER = xxhash.xxh32_intdigest(b"stutter") & ((1 << BITS) - 1)
+
+
 def counts(text: str, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(slots, values) of a text: mean of its words' features, whole text."""
     if len(known) > CACHE:
         known.clear()
-    words, n = np.unique(text.split(), return_counts=True) if text.strip() else (np.zeros(0, str), np.zeros(0))
-    if not len(words):
+    words = text.split()
+    if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    found = []
-    for w in words.tolist():
-        if w not in known:
-            known[w] = slots(w)
-        found.append(known[w])
-    return np.array(found, np.int64).ravel(), np.repeat(n / n.sum(), 3)
+    seen = Counter(words)
+    for w in seen.keys() - known.keys():
+        known[w] = slots(w)
+    slot = np.array([known[w] for w in seen], np.int64).ravel()
+    value = np.repeat(np.array(list(seen.values())) / len(words), 3)
+    return np.append(slot, STUTTER), np.append(value, stutter(words))
 
 
 def fit_scorer(texts: list[str], target: list[float]) -> np.ndarray:
@@ -220,6 +232,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, float] = {}
+        own, repeats = float(weights[-1]), float(weights[STUTTER])
 
         def weight(word: str) -> float:
             known[word] = x = float(weights[slots(word)].sum())
@@ -233,7 +246,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
                 known.clear()
             for w in set(words).difference(known):
                 weight(w)
-            x = sum(map(known.__getitem__, words)) / len(words) + float(weights[-1])
+            x = sum(map(known.__getitem__, words)) / len(words) + own + stutter(words) * repeats
             return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
         for batch in batches:
