@@ -151,7 +151,7 @@ def document_windows(docs: DataFrame, sizes: list[int], only: np.ndarray | None,
                     if bits is not None:
                         maybe = bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)]
                         at, h = at[maybe], h[maybe]
-                        there = np.isin(h, only)
+                        there = only[np.minimum(np.searchsorted(only, h), len(only) - 1)] == h
                         at, h = at[there], h[there]
                     rows += [(i, h1, h2, x, p, slots(kind, value, p, size)) for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
             yield pd.DataFrame(rows, columns=["__id", "__h1", "__h2", "w", "dpos", "dslots"])
