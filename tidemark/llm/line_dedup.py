@@ -79,13 +79,12 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text's hash, runs): for each document the sorted runs that occurred before."""
     prints = written(fingerprints(docs, id_col, text_col), "line-prints")
-    repeated = prints.groupBy("h").agg(F.min("__id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    rows = prints.join(repeated.select(F.col("h").alias("rh"), "least"), F.col("h") == F.col("rh"))
+    repeated = prints.groupBy(F.col("h").alias("rh")).agg(F.count("*").alias("n")).where("n > 1").select("rh")
+    rows = prints.join(repeated, F.col("h") == F.col("rh"))
     first = (
-        rows.where("__id = least")
-        .groupBy(F.col("rh").alias("fh"))
-        .agg(F.min(F.struct("p", "around")).alias("f"))
-        .select("fh", F.col("f.p").alias("fp"), F.col("f.around").alias("fa"))
+        rows.groupBy(F.col("rh").alias("fh"))
+        .agg(F.min(F.struct("__id", "p", "around")).alias("f"))
+        .select("fh", F.col("f.__id").alias("least"), F.col("f.p").alias("fp"), F.col("f.around").alias("fa"))
     )
     differ = F.col("around").bitwiseXOR(F.col("fa"))
     i = F.col("p").bitwiseAND(F.lit(LOW)).cast("int")
