@@ -17,6 +17,7 @@ all labels, and every document is scored over its whole text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -68,13 +69,13 @@ class Chains:
     def of(cls, lengths: np.ndarray) -> Chains:
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         by_length = np.argsort(-lengths, kind="stable")
-        starts, sorted_lengths = starts[by_length], lengths[by_length]
+        starts, sorted_lengths = starts[by_length].astype(np.int32), lengths[by_length]
         alive = np.searchsorted(-sorted_lengths, -np.arange(lengths.max(initial=0)), side="left")
-        return cls([starts[:n] + t for t, n in enumerate(alive)])
+        return cls([starts[:n] + np.int32(t) for t, n in enumerate(alive)])
 
     def odds(self, emission: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward odds, backward odds and the tokens' own odds of the toxic state."""
-        start, t01, t10, t11 = np.exp(edge)
+        start, t01, t10, t11 = np.exp(edge).astype(emission.dtype)
         own = np.exp(np.clip(emission, -15, 15))
         ahead, behind = np.empty_like(own), np.ones_like(own)
         for t, at in enumerate(self.order):
@@ -98,8 +99,10 @@ def marginals(chains: Chains, emission: np.ndarray, edge: np.ndarray) -> np.ndar
 def marks(texts: list[list[list[str]]], toxic: np.ndarray) -> set[str]:
     """Features that are markedly more frequent in toxic documents than in clean ones."""
     counts = (Counter(), Counter())
-    for lines, y in zip(texts, toxic, strict=True):
-        counts[int(y)].update({f for w in {w for line in lines for w in line} for f in features(w)})
+    # toxic documents first: features that none of them has need no count
+    for y, lines in sorted(zip(toxic.tolist(), texts, strict=True), key=lambda x: -x[0]):
+        found = {f for w in {w for line in lines for w in line} for f in features(w)}
+        counts[int(y)].update(found if y else found & counts[1].keys())
     n1 = int(toxic.sum())
     n0 = len(toxic) - n1
     found = set()
@@ -140,13 +143,12 @@ def fit_crf(texts: list[list[list[str]]], toxic: np.ndarray) -> tuple[np.ndarray
     """Emission weights and edge parameters by gradient ascent on the chains' likelihood."""
     found = marks(texts, toxic)
     vocabulary: dict[str, int] = {}
-    tokens, labels, lengths = [], [], []
+    tokens, lengths, in_toxic = array("i"), array("i"), array("b")
     for lines, y in zip(texts, toxic, strict=True):
         for line in lines:
-            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in line]
-            tokens.extend(ids)
-            lengths.append(len(ids))
-            labels.extend([y] * len(ids))
+            tokens.extend(vocabulary.setdefault(w, len(vocabulary)) for w in line)
+            lengths.append(len(line))
+            in_toxic.append(int(y))
     marked = np.array([any(f in found for f in features(w)) for w in vocabulary], bool)
     wide = max((len(slots(w)) for w in vocabulary), default=1)
     pad = 1 << BITS
@@ -154,14 +156,14 @@ def fit_crf(texts: list[list[list[str]]], toxic: np.ndarray) -> tuple[np.ndarray
     for k, w in enumerate(vocabulary):
         own = slots(w)
         slot[k, : len(own)] = own
-    token, length = np.array(tokens, np.int64), np.array(lengths, np.int64)
-    y = np.array(labels, bool) & marked[token] if len(token) else np.zeros(0, bool)
+    token, length = np.array(tokens, np.int32), np.array(lengths, np.int64)
+    y = np.repeat(np.array(in_toxic, bool), length) & marked[token] if len(token) else np.zeros(0, bool)
     chains = Chains.of(length[length > 0])
     ends = np.cumsum(length[length > 0])
     first = np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
     linked = np.ones(len(token), bool)
     linked[first] = False
-    right = np.flatnonzero(linked)
+    right = np.flatnonzero(linked).astype(np.int32)
     left = right - 1
     seen = np.array(
         [y[first].sum(), (~y[left] & y[right]).sum(), (y[left] & ~y[right]).sum(), (y[left] & y[right]).sum()], float
@@ -170,7 +172,7 @@ def fit_crf(texts: list[list[list[str]]], toxic: np.ndarray) -> tuple[np.ndarray
     weights[0] = -4.0
     m, v, me, ve = np.zeros_like(weights), np.zeros_like(weights), np.zeros(4), np.zeros(4)
     for k in range(1, ROUNDS + 1):
-        ahead, behind, own = chains.odds(weights[slot].sum(1)[token], edge)
+        ahead, behind, own = chains.odds(weights[slot].sum(1).astype(np.float32)[token], edge)
         both = ahead * behind
         p = both / (1 + both)
         g = np.bincount(
@@ -178,11 +180,12 @@ def fit_crf(texts: list[list[list[str]]], toxic: np.ndarray) -> tuple[np.ndarray
         )
         g -= 0.05 * weights
         g[pad] = 0
-        _, t01, t10, t11 = np.exp(edge)
+        _, t01, t10, t11 = np.exp(edge).astype(np.float32)
         w, r = own[right] * behind[right], ahead[left]
         m01, m10, m11 = t01 * w, t10 * r, t11 * r * w
         z = 1 + m01 + m10 + m11
-        ge = seen - np.array([p[first].sum(), (m01 / z).sum(), (m10 / z).sum(), (m11 / z).sum()]) - 0.05 * edge
+        total = lambda x: x.sum(dtype=np.float64)
+        ge = seen - np.array([total(p[first]), total(m01 / z), total(m10 / z), total(m11 / z)]) - 0.05 * edge
         for x, d, m1, v1 in ((weights, g, m, v), (edge, ge, me, ve)):
             m1 += 0.1 * (d - m1)
             v1 += 0.03 * (d * d - v1)
@@ -214,7 +217,8 @@ def fit(texts: list[str], toxic: list[int], prior: float) -> Tagger:
     ``prior`` is the share of toxic documents among all labels, which the sample's may not be.
     """
     y = np.array(toxic, int)
-    split = [lines_of_words(t) for t in texts]
+    pool: dict[str, str] = {}  # one object for each distinct word keeps the driver small
+    split = [[[pool.setdefault(w, w) for w in line] for line in lines_of_words(t)] for t in texts]
     hold = np.arange(len(y)) % 3 == 0
     if len(set(y[~hold])) < 2 or len(set(y[hold])) < 2:
         odds = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
