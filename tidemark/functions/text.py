@@ -53,14 +53,6 @@ def site_of(url: Column) -> Column:
     return F.nullif(F.regexp_replace(host, r"^(?:(?:www|blog|m)\.)+(?=[^.]+\.[^.]+)", ""), F.lit(""))
 
 
-def yearly_salary(amount: Column, currency: Column, interval: Column) -> Column:
-    """Euros a year, rounded half up; null outside 10,000 to 1,000,000."""
-    rate = F.when(currency == "USD", 0.92).when(currency == "GBP", 1.17).when(currency == "CHF", 1.05).otherwise(1.0)
-    times = F.when(interval == "monthly", 12).when(interval == "hourly", 2080).otherwise(1)
-    year = F.floor(amount * rate * times + 0.5)
-    return F.when(year.between(10_000, 1_000_000), year)
-
-
 def experience_of(title: Column) -> Column:
     """Level named by a title, the first rule that fits; Mid without any."""
     t = F.lower(F.coalesce(title, F.lit("")))

@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import shuffle, text
+from tidemark.functions import canonical, shuffle, text
 from tidemark.operators import facets, ranking, store
 from tidemark.streaming import changes
 
@@ -193,12 +193,12 @@ def company_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("x05_yearly_salary", """SELECT o_orderkey, CASE WHEN y BETWEEN 10000 AND 1000000 THEN y END AS y FROM (SELECT o_orderkey, CAST(floor(o_totalprice
- * CASE o_orderkey % 3 WHEN 0 THEN 0.92 WHEN 1 THEN 1.17 ELSE 1.0 END::DOUBLE * CASE o_orderkey % 4 WHEN 0 THEN 12 ELSE 1 END + 0.5) AS BIGINT) AS y FROM orders)""")
+ * CASE o_orderkey % 4 WHEN 0 THEN 12 ELSE 1 END * (CASE o_orderkey % 3 WHEN 0 THEN 0.92 WHEN 1 THEN 1.17 ELSE 1.0 END)::DOUBLE + 0.5) AS BIGINT) AS y FROM orders)""")
 def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     currency = F.when(key % 3 == 0, "USD").when(key % 3 == 1, "GBP").otherwise("EUR")
     interval = F.when(key % 4 == 0, "monthly").otherwise("yearly")
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.yearly_salary(F.col("o_totalprice"), currency, interval).alias("y"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", canonical.yearly_euros(F.col("o_totalprice"), currency, interval).alias("y"))
 
 
 @query("x19_site_of_url", r"""SELECT site, count(*) AS n FROM (SELECT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^(?:(?:www|blog|m)\.)+([^.]+\.[^.]+)', '\1') AS site
@@ -261,3 +261,13 @@ def manual_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = postings(spark, sf_dir).where(facets.live())
     return facets.page(rows, 1, 30, *shuffle.daily_key("2026-01-01", "JobID")).select("JobID", "Company")
+
+
+@query("f18_marker_language", r"""SELECT coalesce(lang, 'other') AS lang, count(*) AS n FROM (SELECT CASE
+ WHEN NOT long THEN NULL WHEN len(list_filter(w, lambda x: x IN ('der', 'die', 'das', 'und', 'ist', 'nicht', 'mit', 'für', 'auf', 'ein', 'eine'))) / len(w) > 0.15 THEN 'de'
+ WHEN len(list_filter(w, lambda x: x IN ('le', 'la', 'les', 'et', 'est', 'dans', 'pour', 'une', 'des', 'avec'))) / len(w) > 0.15 THEN 'fr'
+ WHEN len(list_filter(w, lambda x: x IN ('el', 'los', 'las', 'y', 'que', 'en', 'por', 'con', 'para', 'una'))) / len(w) > 0.15 THEN 'es' END AS lang
+ FROM (SELECT w, length(text) >= 100 AND len(w) >= 20 AS long FROM (SELECT text, list_filter(regexp_split_to_array(lower(substr(text, 1, 600)), '\s+'), lambda x: x <> '') AS w FROM documents))) GROUP BY 1""")
+def marker_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang = F.coalesce(text.marker_language(F.col("text")), F.lit("other"))
+    return table(spark, sf_dir, "documents").groupBy(lang.alias("lang")).agg(F.count("*").alias("n"))
