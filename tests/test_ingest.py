@@ -52,8 +52,8 @@ def test_canonical_values(spark):
 
 
 def test_reject_chain(spark):
-    german = "Wir suchen für die Abteilung und das Team eine Person die mit der Technik und auf der Anlage arbeitet und nicht müde ist " * 2
-    rows = [("Store Manager", "x"), ("Engineer (German-speaking)", "x"), ("Engineer", german), ("Engineer", "must be an EU citizen"), ("Engineer", "fluent in dutch or french required"), (None, "x"), ("Engineer", "être fluent"), ("Engineer", "fine")]
+    french = "nous cherchons pour notre service une personne qui aime les machines et dans votre travail vous avez des projets " * 2
+    rows = [("Store Manager", "x"), ("Engineer (German-speaking)", "x"), ("Engineer", french), ("Engineer", "must be an EU citizen"), ("Engineer", "fluent in dutch or french required"), (None, "x"), ("Engineer", "être fluent"), ("Engineer", "fine")]
     df = spark.createDataFrame([(k, t, "c", d) for k, (t, d) in enumerate(rows)], "k int, JobTitle string, Company string, Description string")
     got = [r[0] for r in df.orderBy("k").select(ingest.reject_reason()).collect()]
     assert got == ["banned_role", "german_title", "not_english", "citizenship", "other_language", "no_title", None, None]

@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that mark a language, in the order in which languages are tried.
+# Words that mark a language, in the order in which languages are tried; a
+# word that stands twice counts twice.
 MARKERS = {
-    "de": "der die das und ist nicht mit für auf ein eine".split(),
-    "fr": "le la les et est dans pour une des avec".split(),
-    "es": "el los las y que en por con para una".split(),
+    "french": (
+        "nous vous sont avec pour dans votre notre être avoir cette aussi mais chez depuis toutes leurs comme après "
+        "entre fait très peut plus tout elle aux ces ses une des les sur par qui que est ont"
+    ).split(),
+    "spanish": (
+        "para como está tiene puede todos esta desde cuando entre donde hacia según sobre nuestro nuestra también "
+        "porque empresa trabajo"
+    ).split(),
+    "dutch": "voor zijn worden naar hebben onze deze maar ook niet bij jouw jij wij ons".split(),
+    "italian": "sono della questo anche essere questo nella delle nostro nostra lavoro ogni".split(),
+    "polish": "jest oraz jako przez będzie które więcej nasz pracy może tylko jeśli bardzo".split(),
 }
+#: An edge of a word of ASCII letters, digits and underscores.
+EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 #: Company suffixes.
 LEGAL = r"(?iu)[,\s]+(gmbh & co\. kg|gmbh|mbh|ag|se|kg|inc\.?|ltd\.?|limited|llc|corp\.?|b\.?v\.?|n\.?v\.?|s\.?a\.?|sarl|sas|plc)\s*$"
 
@@ -38,13 +49,19 @@ def company_name(name: Column) -> Column:
 
 
 def marker_language(text: Column, density: float = 0.15, head: int = 600) -> Column:
-    """The first language whose markers make up more than ``density`` of the words of the
+    """The first language whose markers are more than ``density`` of the words of the
     text's head; null for short texts (100 characters, 20 words) and for others."""
-    own = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, head))
-    words = F.filter(F.split(own, r"\s+"), lambda w: w != "")
-    share = lambda lang: F.size(F.filter(words, lambda w: w.isin(MARKERS[lang]))) / F.size(words)
-    long = (F.length(F.coalesce(text, F.lit(""))) >= 100) & (F.size(words) >= 20)
-    return F.coalesce(*[F.when(long & (share(lang) > density), F.lit(lang)) for lang in MARKERS])
+    whole = F.coalesce(text, F.lit(""))
+    own = F.lower(F.substring(whole, 1, head))
+    words = F.size(F.split(own, r"\s+"))
+    long = (F.length(whole) >= 100) & (words >= 20)
+
+    def hits(markers: list[str]) -> Column:
+        twice = sorted({m for m in markers if markers.count(m) > 1})
+        counts = [F.regexp_count(own, F.lit(f"{EDGE}(?:{'|'.join(ms)}){EDGE}")) for ms in (sorted(set(markers)), twice) if ms]
+        return sum(counts[1:], counts[0])
+
+    return F.coalesce(*[F.when(long & (hits(ms) / words > density), F.lit(lang)) for lang, ms in MARKERS.items()])
 
 
 def site_of(url: Column) -> Column:
@@ -55,11 +72,14 @@ def site_of(url: Column) -> Column:
 
 def experience_of(title: Column) -> Column:
     """Level named by a title, the first rule that fits; Mid without any."""
-    t = F.lower(F.coalesce(title, F.lit("")))
-    return (
-        F.when(t.rlike(r"(^|\W)(intern|internship|working student|werkstudent)(\W|$)"), "Intern")
-        .when(t.rlike(r"(^|\W)(junior|entry|graduate|trainee)(\W|$)"), "Entry")
-        .when(t.rlike(r"(^|\W)(director|head|vp|chief)(\W|$)"), "Executive")
-        .when(t.rlike(r"(^|\W)(senior|sr|lead|principal|staff)(\W|$)"), "Senior")
-        .otherwise("Mid")
-    )
+    # Words of each level, in the order in which levels are tried
+    levels = {
+        "Staff": r"staff|staff\+|distinguished",
+        "Lead": r"lead|principal|tech lead",
+        "Senior": r"senior|sr\.?|senior level",
+        "Entry": r"junior|jr\.?|entry|associate|graduate|intern|entry level|entry-level",
+    }
+    found, t = F.lit("Mid"), F.lower(F.coalesce(title, F.lit("")))
+    for level, words in reversed(levels.items()):
+        found = F.when(t.rlike(f"{EDGE}(?:{words}){EDGE}"), F.lit(level)).otherwise(found)
+    return found

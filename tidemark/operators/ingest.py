@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import fingerprint, js_trim, marker_language
+from tidemark.functions.text import EDGE, fingerprint, js_trim, marker_language
 
 # Role words of titles that are never published.
 BANNED_ROLES = [
@@ -54,7 +54,6 @@ ASKS = [
     r"\bLANG\s+(?:native\s+)?speaker\b",
     r"\bnative[\s-]+(?:level\s+)?LANG\b",
 ]
-EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
 def java_regex(pattern: str) -> str:

@@ -263,11 +263,23 @@ def daily_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.page(rows, 1, 30, *shuffle.daily_key("2026-01-01", "JobID")).select("JobID", "Company")
 
 
-@query("f18_marker_language", r"""SELECT coalesce(lang, 'other') AS lang, count(*) AS n FROM (SELECT CASE
- WHEN NOT long THEN NULL WHEN len(list_filter(w, lambda x: x IN ('der', 'die', 'das', 'und', 'ist', 'nicht', 'mit', 'für', 'auf', 'ein', 'eine'))) / len(w) > 0.15 THEN 'de'
- WHEN len(list_filter(w, lambda x: x IN ('le', 'la', 'les', 'et', 'est', 'dans', 'pour', 'une', 'des', 'avec'))) / len(w) > 0.15 THEN 'fr'
- WHEN len(list_filter(w, lambda x: x IN ('el', 'los', 'las', 'y', 'que', 'en', 'por', 'con', 'para', 'una'))) / len(w) > 0.15 THEN 'es' END AS lang
- FROM (SELECT w, length(text) >= 100 AND len(w) >= 20 AS long FROM (SELECT text, list_filter(regexp_split_to_array(lower(substr(text, 1, 600)), '\s+'), lambda x: x <> '') AS w FROM documents))) GROUP BY 1""")
+MARKED = " ".join(
+    f"WHEN long AND ({' + '.join(f'len(regexp_extract_all(t, {chr(39)}{chr(92)}b(?:{chr(124).join(ms)}){chr(92)}b{chr(39)}))' for ms in (sorted(set(words)), sorted({m for m in words if words.count(m) > 1})) if ms)}) / n > 0.15 THEN '{lang}'"
+    for lang, words in text.MARKERS.items()
+)
+
+
+@query("f18_marker_language", rf"""SELECT coalesce(CASE {MARKED} END, 'other') AS lang, count(*) AS n FROM (SELECT t, n, length(text) >= 100 AND n >= 20 AS long
+ FROM (SELECT text, lower(substr(text, 1, 600)) AS t, len(regexp_split_to_array(lower(substr(text, 1, 600)), '\s+')) AS n FROM documents)) GROUP BY 1""")
 def marker_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = F.coalesce(text.marker_language(F.col("text")), F.lit("other"))
     return table(spark, sf_dir, "documents").groupBy(lang.alias("lang")).agg(F.count("*").alias("n"))
+
+
+@query("x10_experience", r"""SELECT p_partkey, CASE WHEN regexp_matches(t, '\b(staff|staff\+|distinguished)\b') THEN 'Staff' WHEN regexp_matches(t, '\b(lead|principal|tech lead)\b') THEN 'Lead'
+ WHEN regexp_matches(t, '\b(senior|sr\.?|senior level)\b') THEN 'Senior' WHEN regexp_matches(t, '\b(junior|jr\.?|entry|associate|graduate|intern|entry level|entry-level)\b') THEN 'Entry' ELSE 'Mid' END AS level
+ FROM (SELECT p_partkey, lower(CASE p_partkey % 5 WHEN 0 THEN 'Senior ' WHEN 1 THEN 'Leading ' WHEN 2 THEN 'Jr. ' WHEN 3 THEN 'Staff, ' ELSE '' END || p_name) AS t FROM part)""")
+def experience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    word = F.when(k == 0, "Senior ").when(k == 1, "Leading ").when(k == 2, "Jr. ").when(k == 3, "Staff, ").otherwise("")
+    return table(spark, sf_dir, "part").select("p_partkey", text.experience_of(F.concat(word, "p_name")).alias("level"))
