@@ -11,13 +11,17 @@ fetching other documents.  Runs of matched pieces with ``MIN_WORDS`` words or mo
 deleted where they are repeated later.
 
 Scale: fingerprints are written once.  Counting them is pre-aggregated (a fingerprint that
-all documents share is one row per task), the join with the repeated ones may be split by
-AQE at a hot fingerprint, and the runs are joined with the documents.  Pairs are formed
+all documents share is one row per task).  A fingerprint with over 1 / ``HOT_PRINTS`` of
+the rows is hot: there can be no more than ``HOT_PRINTS`` of them, so their first
+occurrences are broadcast and their rows are not shuffled by fingerprint at all.  The rest
+is joined by fingerprint, and the runs are joined with the documents.  Pairs are formed
 with the first occurrence only.  Nothing is collected beyond the runs of one document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +38,8 @@ NONE = 2**63 - 1
 #: Low bits that hold a piece's position while windows are compared.
 PLACE = 2**24 - 1
 LOW = 0xFFFFFFFF
+#: A fingerprint with more than this share of all rows (one in so many) is hot.
+HOT_PRINTS = 10_000
 
 
 def pieces(text: Column) -> Column:
@@ -76,11 +82,10 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return chosen.select("__id", F.explode(F.transform("__at", row)).alias("f")).select("__id", "f.*").where(f"h <> {NONE}")
 
 
-def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text's hash, runs): for each document the sorted runs that occurred before."""
-    prints = written(fingerprints(docs, id_col, text_col), "line-prints")
-    repeated = prints.groupBy(F.col("h").alias("rh")).agg(F.count("*").alias("n")).where("n > 1").select("rh")
-    rows = prints.join(repeated, F.col("h") == F.col("rh"))
+def _against_first(rows: DataFrame, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, text's hash, s, e): the pieces that each row shares with the first occurrence of
+    its fingerprint, its neighbours included; ``sent`` says how the first occurrences travel.
+    """
     first = (
         rows.groupBy(F.col("rh").alias("fh"))
         .agg(F.min(F.struct("__id", "p", "around")).alias("f"))
@@ -88,8 +93,8 @@ def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     differ = F.col("around").bitwiseXOR(F.col("fa"))
     i = F.col("p").bitwiseAND(F.lit(LOW)).cast("int")
-    matched = (
-        rows.join(first, F.col("rh") == F.col("fh"))
+    return (
+        rows.join(sent(first), F.col("rh") == F.col("fh"))
         .where("__id <> least or p <> fp")
         .select(
             "__id",
@@ -97,8 +102,21 @@ def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             F.greatest(i - F.when(F.shiftright(differ, 32) == 0, 1).otherwise(0), F.lit(0)).alias("s"),
             (i + F.when(differ.bitwiseAND(F.lit(LOW)) == 0, 1).otherwise(0)).alias("e"),
         )
-        .distinct()
     )
+
+
+def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text's hash, runs): for each document the sorted runs that occurred before."""
+    prints = written(fingerprints(docs, id_col, text_col), "line-prints")
+    counted = prints.groupBy(F.col("h").alias("rh")).agg(F.count("*").alias("n"))
+    bar = max(prints.count() // HOT_PRINTS, 2)
+    # at most HOT_PRINTS fingerprints can have so many rows each
+    hot = F.broadcast(counted.where(F.col("n") > bar).select("rh"))
+    repeated = counted.where((F.col("n") > 1) & (F.col("n") <= bar)).select("rh")
+    same = F.col("h") == F.col("rh")
+    spread = _against_first(prints.join(hot, same), F.broadcast)
+    dealt = _against_first(prints.join(hot, same, "left_anti").join(repeated, same), lambda first: first)
+    matched = spread.unionByName(dealt).distinct()
     by = Window.partitionBy("__id", "__t").orderBy("s", "e")
     before = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
     return (
