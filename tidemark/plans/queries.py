@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import canonical, shuffle, text
-from tidemark.operators import facets, ranking, store
+from tidemark.operators import accounts, facets, location, ranking, store
 from tidemark.streaming import changes
 
 AS_OF = datetime(1998, 1, 1)
@@ -283,3 +283,95 @@ def experience(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 5
     word = F.when(k == 0, "Senior ").when(k == 1, "Leading ").when(k == 2, "Jr. ").when(k == 3, "Staff, ").otherwise("")
     return table(spark, sf_dir, "part").select("p_partkey", text.experience_of(F.concat(word, "p_name")).alias("level"))
+
+
+GERMAN = f"regexp_matches(lower(place), '{location.any_of(location.GERMAN_PLACES)}"
+
+
+@query("f22_mentions_germany", f"SELECT lang, source, count(*) FILTER ({GERMAN}|\\bde\\b')) AS german, count(*) AS n FROM (SELECT lang, source, text AS place FROM documents) GROUP BY ALL")
+def mentions_germany(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.count_if(location.mentions_germany(F.col("text"))).alias("german")
+    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(found, F.count("*").alias("n"))
+
+
+@query("f21_surely_german", POSTINGS + f"""SELECT place, count(*) AS n FROM (SELECT Location || CASE JobID % 4 WHEN 0 THEN ', Köln' WHEN 1 THEN ' (Remote)' WHEN 2 THEN ', Paris' ELSE '' END AS place
+ FROM postings) WHERE {GERMAN}') AND NOT regexp_matches(lower(place), '{location.any_of(location.OPEN_PLACES)}') GROUP BY 1""")
+def surely_german(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("JobID") % 4
+    place = F.concat("Location", F.when(k == 0, ", Köln").when(k == 1, " (Remote)").when(k == 2, ", Paris").otherwise(""))
+    rows = postings(spark, sf_dir).select(place.alias("place")).where(location.surely_german(F.col("place")))
+    return rows.groupBy("place").agg(F.count("*").alias("n"))
+
+
+@query("f35_code_outcome", """SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN s_suppkey IS NULL THEN 'not_found' WHEN TIMESTAMP '2024-01-01' + to_days(CAST(s_suppkey % 40 AS INT)) < TIMESTAMP '2024-01-15' THEN 'expired'
+ WHEN s_acctbal >= 5000 THEN 'exhausted' ELSE 'valid' END AS outcome FROM events LEFT JOIN supplier ON user_id = s_suppkey) GROUP BY 1""")
+def code_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = table(spark, sf_dir, "events").join(table(spark, sf_dir, "supplier"), F.col("user_id") == F.col("s_suppkey"), "left")
+    expires = F.lit(datetime(2024, 1, 1)) + F.make_dt_interval(days=(F.col("s_suppkey") % 40).cast("int"))
+    outcome = accounts.code_outcome(datetime(2024, 1, 15), F.col("s_suppkey").isNotNull(), expires, F.col("s_acctbal"), F.lit(5000))
+    return met.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("f39_weekly_meter", "SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('week', ts) ORDER BY ts, event_id) <= 2 AS allowed FROM events WHERE event_type = 'view'")
+def weekly_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uses = table(spark, sf_dir, "events").where("event_type = 'view'")
+    return accounts.metered(uses, "user_id", "ts", 2, "event_id").select("event_id", "allowed")
+
+
+@query("j16_account_resolution", """SELECT event_id, coalesce(a.c_custkey, b.c_custkey) AS user_id, CASE WHEN a.c_custkey IS NOT NULL THEN 'external_id' WHEN b.c_custkey IS NOT NULL THEN 'email' ELSE 'new' END AS "by"
+ FROM events LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) a ON user_id = a.c_custkey
+ LEFT JOIN (SELECT min(c_custkey) AS c_custkey, c_custkey % 1000 AS mail FROM customer WHERE c_custkey % 2 = 0 GROUP BY 2) b ON user_id % 1000 = b.mail""")
+def account_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    users = table(spark, sf_dir, "customer").select(
+        key.alias("user_id"), F.when(key % 3 == 0, key).alias("external_id"), F.when(key % 2 == 0, key % 1000).alias("email")
+    )
+    requests = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("external_id"), (F.col("user_id") % 1000).alias("email"))
+    return accounts.resolved(requests, users).select("event_id", "user_id", "by")
+
+
+@query("j02_saved_postings", POSTINGS + """SELECT user_id, JobID, Company, count(*) AS n FROM (SELECT user_id, event_id AS k FROM events WHERE event_type = 'click') JOIN postings ON k = JobID GROUP BY ALL""")
+def saved_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = table(spark, sf_dir, "events").where("event_type = 'click'")
+    users = clicks.select("user_id", F.array(F.struct(F.col("event_id").alias("JobID"), F.col("ts").alias("savedAt"))).alias("saved"))
+    rows = accounts.saved_postings(users, postings(spark, sf_dir), "user_id", "saved")
+    return rows.groupBy("user_id", "JobID", "Company").agg(F.count("*").alias("n"))
+
+
+@query("a29_first_conversions", "SELECT CAST(first AS DATE) AS day, count(*) AS n FROM (SELECT user_id, min(ts) AS first FROM events WHERE event_type = 'signup' GROUP BY 1) GROUP BY 1")
+def first_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accounts.conversions(table(spark, sf_dir, "events").where("event_type = 'signup'"), "user_id", "ts")
+
+
+@query("a02_country_counts", POSTINGS + "SELECT upper(trim(Location)) AS country, count(*) AS n FROM postings WHERE Status = 'active' GROUP BY 1")
+def country_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings(spark, sf_dir).where("Status = 'active'").groupBy(F.upper(F.trim("Location")).alias("country")).agg(F.count("*").alias("n"))
+
+
+@query("a07_average_by_kind", "SELECT event_type, round(avg(value), 4) AS mean, count(*) AS n FROM events GROUP BY 1")
+def average_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.count("*").alias("n"))
+
+
+@query("a21_watermark", POSTINGS + "SELECT count(*) AS n, max(scrapedAt) AS latest FROM postings WHERE Status = 'active'")
+def watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings(spark, sf_dir).where("Status = 'active'").agg(F.count("*").alias("n"), F.max("scrapedAt").alias("latest"))
+
+
+@query("a17_tally_with_null", POSTINGS + "SELECT coalesce(Workplace, 'null') AS workplace, count(*) AS n FROM postings GROUP BY 1")
+def tally_with_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings(spark, sf_dir).groupBy(F.coalesce("Workplace", F.lit("null")).alias("workplace")).agg(F.count("*").alias("n"))
+
+
+@query("j10_last_log", """SELECT o_orderkey, l.k.l_partkey AS part FROM orders JOIN (SELECT l_orderkey, max({'l_shipdate': l_shipdate, 'l_linenumber': l_linenumber, 'l_partkey': l_partkey}) AS k
+ FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey""")
+def last_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_linenumber", "l_partkey")
+    last = store.last_per_key(logs, ["l_orderkey"], "l_shipdate", "l_linenumber", "l_partkey")
+    return table(spark, sf_dir, "orders").join(last, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.col("l_partkey").alias("part"))
+
+
+@query("j12_uncovered", "SELECT source, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1")
+def uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    return table(spark, sf_dir, "documents").join(labels, "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("n"))
