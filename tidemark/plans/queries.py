@@ -375,3 +375,53 @@ def last_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id")
     return table(spark, sf_dir, "documents").join(labels, "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("j01_latest_with_account", """SELECT o_orderkey, c_name FROM (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100)
+ LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0""")
+def latest_with_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100)
+    users = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0")
+    return latest.join(users, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name")
+
+
+@query("j14_already_redeemed", "SELECT event_id FROM events e WHERE event_type = 'click' AND EXISTS (FROM events r WHERE r.event_type = 'signup' AND r.user_id = e.user_id AND r.props->>'k' = e.props->>'k')")
+def already_redeemed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("code", F.get_json_object("props", "$.k"))
+    redeemed = events.where("event_type = 'signup'").select("user_id", "code")
+    return events.where("event_type = 'click'").join(redeemed, ["user_id", "code"], "left_semi").select("event_id")
+
+
+@query("j17_new_boards", """SELECT source, count(*) AS yield, min(doc_id) AS first FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE source LIKE '%1%') GROUP BY 1""")
+def new_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    found = docs.groupBy("source").agg(F.count("*").alias("yield"), F.min("doc_id").alias("first"))
+    known = docs.where("source LIKE '%1%'").select("source").distinct()
+    return found.join(known, "source", "left_anti").orderBy(F.desc("yield"), "source")
+
+
+@query("w05_review_page", POSTINGS + """SELECT JobID, Status FROM postings WHERE Status = 'pending_review' OR (Status = 'active' AND PostedDate IS NULL)
+ ORDER BY CASE Status WHEN 'pending_review' THEN 0 ELSE 1 END, scrapedAt DESC, JobID LIMIT 20 OFFSET 20""")
+def review_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pending = F.col("Status") == "pending_review"
+    rows = postings(spark, sf_dir).where(pending | ((F.col("Status") == "active") & F.col("PostedDate").isNull()))
+    return facets.page(rows, 2, 20, F.when(pending, 0).otherwise(1), F.desc("scrapedAt"), F.col("JobID").asc()).select("JobID", "Status")
+
+
+@query("a23_distinct_values", POSTINGS + """SELECT count(DISTINCT Workplace) AS workplaces, count(DISTINCT Category) AS categories, count(DISTINCT Experience) AS levels,
+ count(DISTINCT Company) AS companies, count(*) AS n FROM postings""")
+def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = {"workplaces": "Workplace", "categories": "Category", "levels": "Experience", "companies": "Company"}
+    return postings(spark, sf_dir).agg(*[F.countDistinct(c).alias(n) for n, c in named.items()], F.count("*").alias("n"))
+
+
+@query("a26_unique_and_repeated", "SELECT count(*) AS names, count(*) FILTER (n > 1) AS repeated, sum(n)::BIGINT AS total FROM (SELECT p_name, count(*) AS n FROM part GROUP BY 1)")
+def unique_and_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").groupBy("p_name").agg(F.count("*").alias("n"))
+    return names.agg(F.count("*").alias("names"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum("n").alias("total"))
+
+
+@query("x42_set_hash", "SELECT p_brand, md5(array_to_string(list_sort(list(DISTINCT p_type)), '|')) AS hash FROM part GROUP BY 1")
+def set_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array_join(F.array_sort(F.collect_set("p_type")), "|")  # a brand's types, few at any scale
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.md5(names).alias("hash"))
