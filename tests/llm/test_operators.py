@@ -103,6 +103,14 @@ def test_line_dedup_repeats_within_a_text_and_hot_line(spark):
     assert len(got[99].split()) < 90
 
 
+def test_line_dedup_cuts_single_long_lines(spark):
+    line = lambda k: prose(k, 60).replace(".", "")
+    rows = [(2 * k + j, f"{line(10_000 + 4 * k + j)}\n{line(k)}\n{line(20_000 + 4 * k + j)}") for k in range(60) for j in (0, 1)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup(docs_of(spark, rows)).collect()}
+    assert [got[2 * k]["__cut"]["words"] for k in range(60)] == [0] * 60
+    assert [got[2 * k + 1]["__cut"]["words"] for k in range(60)] == [60] * 60
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "x" * 150 + "\r\n\r\nWARC/1.1\r\n é"
     rows = [(5, "http://b.org/1", long), (2, "http://a.b.org/2", long), (9, None, long), (7, "http://b.org/1", "short"), (8, "http://c/", "short"), (1, "u", None), (None, "v", long)]

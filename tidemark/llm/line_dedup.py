@@ -4,8 +4,9 @@ Method: a text is cut into pieces, at line ends and behind sentence ends, so tha
 passage that starts in the middle of a line still has whole pieces.  Each piece is hashed,
 and the minimum of every window of ``WINDOW`` hashes becomes a fingerprint: any run of
 that many equal pieces shares one, wherever it stands; the first and the last piece of a
-text are fingerprints too.  Fingerprints are joined with their first occurrence (smallest
-id, then text, then position).  Each carries the hashes of its two neighbours, one of
+text and every piece that is long enough to be cut alone are fingerprints too.
+Fingerprints are joined with their first occurrence (smallest id, then text, then
+position).  Each carries the hashes of its two neighbours, one of
 which belongs to the next fingerprint of a run, so matches are extended both ways without
 fetching other documents.  Runs of matched pieces with ``MIN_WORDS`` words or more are
 deleted where they are repeated later.
@@ -38,6 +39,8 @@ NONE = 2**63 - 1
 #: Low bits that hold a piece's position while windows are compared.
 PLACE = 2**24 - 1
 LOW = 0xFFFFFFFF
+#: The white space of ``common.WORD_BREAK``.
+SPACES = " \t\n\x0b\f\r"
 #: A fingerprint with more than this share of all rows (one in so many) is hot.
 HOT_PRINTS = 10_000
 
@@ -47,28 +50,39 @@ def pieces(text: Column) -> Column:
     return F.split(F.regexp_replace(text, BREAK, "$1$2$3" + CUT), CUT)
 
 
-def hashes(text: Column) -> Column:
-    """A hash for each of ``pieces``, which does not depend on the separators."""
+def hashed(text: Column, min_words: int) -> Column:
+    """(h, long) for each of ``pieces``: a hash that does not depend on the separators, and
+    whether the piece has white space for ``min_words`` words."""
     bare = F.split(F.regexp_replace(text, BREAK, "$1" + CUT), CUT)
-    return F.transform(bare, lambda p: F.when(F.trim(p) == "", F.lit(NONE)).otherwise(F.xxhash64(F.trim(p))))
+
+    def one(p: Column) -> Column:
+        return F.struct(
+            F.when(F.trim(p) == "", F.lit(NONE)).otherwise(F.xxhash64(F.trim(p))).alias("h"),
+            (F.length(p) - F.length(F.translate(p, SPACES, "")) >= min_words - 1).alias("long"),
+        )
+
+    return F.transform(bare, one)
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, p, h, around): the fingerprints of all texts.
 
     ``p`` packs 32 bits of the text's hash with the position, ``around`` packs 32 bits of
     the hashes of the left and the right neighbour.
     """
     key, first, _ = row_key(id_col, text_col)
-    cut = docs.select(key, first, hashes(text_or_empty(text_col)).alias("__hash")).withColumn(
-        "__v", F.transform("__hash", lambda h, i: h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i))
+    cut = (
+        docs.select(key, first, hashed(text_or_empty(text_col), min_words).alias("__x"))
+        .withColumn("__hash", F.col("__x.h"))
+        .withColumn("__v", F.transform("__hash", lambda h, i: h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i)))
     )
     n = F.size("__v")
     windows = F.transform(
         F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))),
         lambda j: F.least(*[F.get("__v", j + k) for k in range(WINDOW)]),
     )
-    chosen = cut.withColumn("__at", F.array_distinct(F.concat(F.array(F.get("__v", F.lit(0)), F.get("__v", n - 1)), windows)))
+    long = F.filter(F.transform("__x", lambda x, i: F.when(x["long"], F.get("__v", i))), lambda v: v.isNotNull())
+    chosen = cut.withColumn("__at", F.array_distinct(F.concat(F.array(F.get("__v", F.lit(0)), F.get("__v", n - 1)), windows, long)))
 
     def row(v: Column) -> Column:
         i = v.bitwiseAND(F.lit(PLACE)).cast("int")
@@ -105,9 +119,9 @@ def _against_first(rows: DataFrame, sent: Callable[[DataFrame], DataFrame]) -> D
     )
 
 
-def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def runs(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, text's hash, runs): for each document the sorted runs that occurred before."""
-    prints = written(fingerprints(docs, id_col, text_col), "line-prints")
+    prints = written(fingerprints(docs, id_col, text_col, min_words), "line-prints")
     counted = prints.groupBy(F.col("h").alias("rh")).agg(F.count("*").alias("n"))
     bar = max(prints.count() // HOT_PRINTS, 2)
     # at most HOT_PRINTS fingerprints can have so many rows each
@@ -140,7 +154,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     key, first, _ = row_key(id_col, text_col)
     keyed = docs.withColumns({"__di": key, "__dt": F.shiftright(F.shiftleft(first, 32), 32).cast("int")})
     joined = keyed.join(
-        runs(docs, id_col, text_col), (F.col("__di") == F.col("__ri")) & (F.col("__dt") == F.col("__rt")), "left"
+        runs(docs, id_col, text_col, min_words), (F.col("__di") == F.col("__ri")) & (F.col("__dt") == F.col("__rt")), "left"
     )
     # 1 at the first piece of a run and at the first piece behind it
     ends = F.flatten(
