@@ -111,6 +111,21 @@ def test_line_dedup_cuts_single_long_lines(spark):
     assert [got[2 * k + 1]["__cut"]["words"] for k in range(60)] == [60] * 60
 
 
+def test_line_dedup_finds_the_copy_behind_another_first_occurrence(spark):
+    rows = []
+    for k in range(60):
+        u = [f"alone{k}x{j} here." for j in range(6)]
+        run = f"Four words stand{k} here. Of chapter{k}. Five more words follow{k} here. Three last{k} ones."
+        rows += [(3 * k, f"{u[0]} Of chapter{k}. {u[1]}"), (3 * k + 1, f"{u[2]} {run} {u[3]}"), (3 * k + 2, f"{u[4]} {run} {u[5]}")]
+    got = {r["doc_id"]: r for r in line_dedup.dedup(docs_of(spark, rows)).collect()}
+    assert [got[k]["__cut"]["words"] for k in range(180)] == [0, 0, 14] * 60
+    # the same where the heading is hot and so are some of its pairs
+    run = "Six words stand in here once. Of chapter. Five more words in here."
+    hot = [(k, f"alone{k} now. Of chapter. alone{k} then.") for k in range(50)] + [(100 + k, f"alone{k} there. {run} alone{k} end.") for k in range(40)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup(docs_of(spark, hot)).collect()}
+    assert [got[100 + k]["__cut"]["words"] for k in range(40)] == [0] + [13] * 39 and all(got[k]["__cut"]["words"] == 0 for k in range(50))
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "x" * 150 + "\r\n\r\nWARC/1.1\r\n é"
     rows = [(5, "http://b.org/1", long), (2, "http://a.b.org/2", long), (9, None, long), (7, "http://b.org/1", "short"), (8, "http://c/", "short"), (1, "u", None), (None, "v", long)]

@@ -5,23 +5,25 @@ passage that starts in the middle of a line still has whole pieces.  Each piece
 and the minimum of every window of ``WINDOW`` hashes becomes a fingerprint: any run of
 that many equal pieces shares one, wherever it stands; the first and the last piece of a
 text and every piece that is long enough to be cut alone are fingerprints too.
-Fingerprints are joined with their first occurrence (smallest id, then text, then
+Fingerprints are compared with their first occurrence (smallest id, then text, then
 position).  Each carries the hashes of its two neighbours, one of
-which belongs to the next fingerprint of a run, so matches are extended both ways without
-fetching other documents.  Runs of matched pieces with ``MIN_WORDS`` words or more are
+which belongs to the next fingerprint of a run; a match is extended to a side when the
+fingerprint occurred earlier with that neighbour, in whatever document, so no other
+document is fetched.  Runs of matched pieces with ``MIN_WORDS`` words or more are
 deleted where they are repeated later.
 
 Scale: fingerprints are written once.  Counting them is pre-aggregated (a fingerprint that
 all documents share is one row per task).  A fingerprint with over 1 / ``HOT_PRINTS`` of
 the rows is hot: there can be no more than ``HOT_PRINTS`` of them, so their first
-occurrences are broadcast and their rows are not shuffled by fingerprint at all.  The rest
-is joined by fingerprint, and the runs are joined with the documents.  Pairs are formed
-with the first occurrence only.  Nothing is collected beyond the runs of one document.
+occurrences are broadcast and their rows are not shuffled by fingerprint at all, only by
+fingerprint and neighbour, where the hot pairs are broadcast in turn.  The rest is dealt
+by fingerprint, and the runs are joined with the documents.  Rows are compared with first
+occurrences only, never with each other.  Nothing is collected beyond the runs of one document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,10 +67,10 @@ def hashed(text: Column, min_words: int) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, p, h, around): the fingerprints of all texts.
+    """(id, p, h, left, right): the fingerprints of all texts.
 
-    ``p`` packs 32 bits of the text's hash with the position, ``around`` packs 32 bits of
-    the hashes of the left and the right neighbour.
+    ``p`` packs 32 bits of the text's hash with the position, ``left`` and ``right`` are the
+    hashes of the neighbours, zero at the ends of the text.
     """
     key, first, _ = row_key(id_col, text_col)
     cut = (
@@ -90,35 +92,39 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, min_words: int = M
         return F.struct(
             F.shiftleft("__h1", 32).bitwiseOR(i).alias("p"),
             F.get("__hash", i).alias("h"),
-            F.shiftleft(left, 32).bitwiseOR(right.bitwiseAND(F.lit(LOW))).alias("around"),
+            left.alias("left"),
+            right.alias("right"),
         )
 
     return chosen.select("__id", F.explode(F.transform("__at", row)).alias("f")).select("__id", "f.*").where(f"h <> {NONE}")
 
 
-def _against_first(rows: DataFrame, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, text's hash, s, e): the pieces that each row shares with the first occurrence of
-    its fingerprint, its neighbours included; ``sent`` says how the first occurrences travel.
-    """
-    first = (
-        rows.groupBy(F.col("rh").alias("fh"))
-        .agg(F.min(F.struct("__id", "p", "around")).alias("f"))
-        .select("fh", F.col("f.__id").alias("least"), F.col("f.p").alias("fp"), F.col("f.around").alias("fa"))
-    )
-    differ = F.col("around").bitwiseXOR(F.col("fa"))
+def _found(rows: DataFrame, left: Column | int, right: Column | int) -> DataFrame:
+    """(id, text's hash, s, e): so many pieces around the fingerprints of ``rows``."""
     i = F.col("p").bitwiseAND(F.lit(LOW)).cast("int")
-    return (
-        rows.join(sent(first), F.col("rh") == F.col("fh"))
-        .where("__id <> least or p <> fp")
-        .select(
-            "__id",
-            F.shiftright("p", 32).cast("int").alias("__t"),
-            F.greatest(i - F.when(F.shiftright(differ, 32) == 0, 1).otherwise(0), F.lit(0)).alias("s"),
-            (i + F.when(differ.bitwiseAND(F.lit(LOW)) == 0, 1).otherwise(0)).alias("e"),
-        )
+    return rows.select(
+        "__id", F.shiftright("p", 32).cast("int").alias("__t"), F.greatest(i - left, F.lit(0)).alias("s"), (i + right).alias("e")
     )
 
 
+def _later(rows: DataFrame, by: list[str], bar: int) -> DataFrame:
+    """The ``rows`` whose values in ``by`` occurred earlier; values with over ``bar`` rows are not shuffled."""
+    first = rows.groupBy(*[F.col(c).alias(f"f_{c}") for c in by]).agg(F.count("*").alias("n"), F.min(F.struct("__id", "p")).alias("f"))
+    same = [F.col(c) == F.col(f"f_{c}") for c in by]
+    # so many rows each: at most HOT_PRINTS values
+    hot = F.broadcast(first.where(F.col("n") > bar))
+    dealt = rows.join(hot, same, "left_anti").join(first.where((F.col("n") > 1) & (F.col("n") <= bar)), same)
+    return rows.join(hot, same).unionByName(dealt).where(F.struct("__id", "p") != F.col("f")).select("__id", "p")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The pieces that occurred earlier with each fingerprint of ``rows``, dealt by fingerprint."""
+    me = F.struct("__id", "p")
+    first = {k: F.min(me).over(Window.partitionBy("h", *k)) for k in ((), ("left",), ("right",))}
+    seen = rows.withColumns({"f": first[()], "fl": first["left",], "fr": first["right",]}).where(me != F.col("f"))
+    return _found(seen, (me != F.col("fl")).cast("int"), (me != F.col("fr")).cast("int"))
+
+
 def runs(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, text's hash, runs): for each document the sorted runs that occurred before."""
     prints = written(fingerprints(docs, id_col, text_col, min_words), "line-prints")
@@ -128,9 +134,10 @@ def runs(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS
     hot = F.broadcast(counted.where(F.col("n") > bar).select("rh"))
     repeated = counted.where((F.col("n") > 1) & (F.col("n") <= bar)).select("rh")
     same = F.col("h") == F.col("rh")
-    spread = _against_first(prints.join(hot, same), F.broadcast)
-    dealt = _against_first(prints.join(hot, same, "left_anti").join(repeated, same), lambda first: first)
-    matched = spread.unionByName(dealt).distinct()
+    often = written(prints.join(hot, same).drop("rh"), "line-hot")
+    spread = [_found(_later(often, ["h", *side], bar), *reach) for side, reach in (([], (0, 0)), (["left"], (1, 0)), (["right"], (0, 1)))]
+    dealt = _dealt(prints.join(hot, same, "left_anti").join(repeated, same))
+    matched = reduce(DataFrame.unionByName, spread, dealt).distinct()
     by = Window.partitionBy("__id", "__t").orderBy("s", "e")
     before = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
     return (
