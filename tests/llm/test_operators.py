@@ -162,6 +162,17 @@ def test_decontamination(spark):
     assert none.count() == len(rows) and none.where("contaminated").count() == 0
 
 
+def test_decontamination_looks_at_each_occurrence(spark):
+    twice = "So we saw that there are 3 red apples in the big basket by the door and that there are 5 red apples in the big basket by the door."
+    once = "A train leaves the Station with Anna at 12 km per hour and walks 5 miles to the old market square in silence."
+    variant = once.replace("Anna", "Clara").replace("12", "47")
+    longer = once.replace("to the old", "to the very old")
+    bench = spark.createDataFrame([(1, twice), (2, once)], "item_id long, text string")
+    rows = [(1, twice), (2, f"{once} {prose(3, 20)}. {variant}"), (3, f"{longer} {prose(4, 20)}. {variant}"), (4, longer), (5, prose(6, 90))]
+    got = {r["doc_id"]: r["items"] for r in decontaminate.found_items(docs_of(spark, rows), bench).collect()}
+    assert got == {1: [1], 2: [2], 3: [2], 4: [2], 5: []}
+
+
 def test_chat_links_orders_and_validates(spark):
     call = lambda i, args, deps="": f'<tool_call>{{"id":"{i}","name":"add","arguments":{args}{deps}}}</tool_call>'
     rows = [

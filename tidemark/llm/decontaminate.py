@@ -4,7 +4,8 @@ Method: words become template tokens: numbers, units behind a number and names (
 letters inside a sentence) are replaced by typed placeholders.  Windows of ``WINDOW``
 tokens of documents and benchmark items are hash-joined; then the slot values behind the
 placeholders are checked: the same value in the item must be the same in the document and
-the other way round, within a window and over all windows of an item.  A document is
+the other way round, within a window and over all windows of one occurrence of an item:
+those with the same offset, or with near offsets, or all of the document.  A document is
 contaminated by an item when consistent windows make up ``COVER`` of the item's windows.
 
 Scale: documents give only windows whose hash the benchmark has, as long as the benchmark
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import maybe_broadcast, row_key, text_or_empty, written
+from tidemark.llm.common import KEY, maybe_broadcast, row_key, text_or_empty, written
 
 WINDOW = 8
 #: Windows and items need this many tokens that are no placeholders.
@@ -183,6 +184,17 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
         .where((F.size("dslots") == 0) | (shape("dslots") == shape("islots")))
     )
     met = written(met, "bench-hits")
+    # an item is there if the windows of any one occurrence agree
+    met = met.select(*key, "item", "total", "pos", "islots", "dslots", (F.col("dpos") - F.col("pos")).alias("offset"))
+    before = F.lag("offset").over(Window.partitionBy(*key, "item").orderBy("offset"))
+    by = Window.partitionBy(*key, "item").orderBy("offset").rangeBetween(Window.unboundedPreceding, 0)
+    near = met.withColumn("far", (F.col("offset") - before > WINDOW).cast("int")).withColumn("near", F.coalesce(F.sum("far").over(by), F.lit(0)))
+    places = F.array(*[
+        F.struct(F.lit(how).alias("how"), n.cast("long").alias("n"))
+        for how, n in (("all", F.lit(0)), ("near", F.col("near")), ("at", F.col("offset")))
+    ])
+    met = written(near.withColumn("place", F.explode(places)).drop("far", "near", "offset"), "bench-places")
+    key = [*key, "place"]
     pairs = met.where(F.size("dslots") > 0).select(*key, "item", F.explode(F.arrays_zip("islots", "dslots")).alias("z"))
     # one value on the one side goes with one on the other, over all windows of the item
     odd = [
@@ -196,6 +208,8 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
         .groupBy(*key, "item")
         .agg((F.count("*") / F.max("total")).alias("cover"))
         .where(F.col("cover") >= COVER)
+        .groupBy(*KEY, "item")
+        .agg(F.max("cover").alias("cover"))
     )
 
 
