@@ -173,6 +173,14 @@ def test_decontamination_looks_at_each_occurrence(spark):
     assert got == {1: [1], 2: [2], 3: [2], 4: [2], 5: []}
 
 
+def test_decontamination_finds_items_with_few_literal_tokens(spark):
+    items = ["What is 12 + 7?", "Anna Bernd Clara Dora Emil Frida Gustav Hanna Ida Jakob", "Green apples fall from trees", "Paris"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(k, f"{prose(k, 20)} and {x} {prose(k + 50, 20)}") for k, x in enumerate(items)] + [(9, "and what is 12 + 8 then"), (10, items[0])]
+    got = {r["doc_id"]: r["items"] for r in decontaminate.found_items(docs_of(spark, rows), bench).collect()}
+    assert got == {0: [0], 1: [1], 2: [2], 3: [], 9: [], 10: [0]}
+
+
 def test_chat_links_orders_and_validates(spark):
     call = lambda i, args, deps="": f'<tool_call>{{"id":"{i}","name":"add","arguments":{args}{deps}}}</tool_call>'
     rows = [

@@ -7,6 +7,8 @@ placeholders are checked: the same value in the item must be the same in the doc
 the other way round, within a window and over all windows of one occurrence of an item:
 those with the same offset, or with near offsets, or all of the document.  A document is
 contaminated by an item when consistent windows make up ``COVER`` of the item's windows.
+Windows with few literal tokens, which say little as templates, are compared verbatim:
+they count with the others against all windows of the item.
 
 Scale: documents give only windows whose hash the benchmark has, as long as the benchmark
 has at most ``FILTER_WINDOWS`` windows (measured; 8 bytes each are sent to the tasks);
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import KEY, maybe_broadcast, row_key, text_or_empty, written
 
 WINDOW = 8
-#: Windows and items need this many tokens that are no placeholders.
+#: Windows need this many tokens that are no placeholders to be compared as templates, and
+#: this many tokens of any kind to be compared verbatim.
 LITERALS = 4
 #: Share of an item's windows that a document must have.
 COVER = 0.5
@@ -91,19 +94,26 @@ def template(text: str, known: Words) -> tuple[np.ndarray, np.ndarray]:
     return kind, value
 
 
-def windows(kind: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start positions, hashes) of all windows with enough literal tokens."""
+def mixed(token: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Hashes of ``size`` tokens from each position in ``at``."""
+    h = np.full(len(at), seed, np.uint64)
+    for k in range(size):
+        h = (h ^ token[at + k]) * PRIME
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def windows(kind: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start positions, hashes, compared verbatim) of all windows."""
     n = len(kind) - size + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     token = np.where(kind == LITERAL, value, kind.astype(np.uint64) + np.uint64(11))
-    h = np.full(n, size, np.uint64)
-    for k in range(size):
-        h = (h ^ token[k : k + n]) * PRIME
-        h ^= h >> np.uint64(29)
     literal = np.concatenate(([0], np.cumsum(kind == LITERAL)))
-    at = np.flatnonzero(literal[size:] - literal[:-size] >= LITERALS)
-    return at, h[at]
+    rich = literal[size:] - literal[:-size] >= LITERALS
+    at, few = np.flatnonzero(rich), np.flatnonzero(~rich) if size >= LITERALS else np.zeros(0, np.int64)
+    h = np.concatenate((mixed(token, at, size, size), mixed(value, few, size, size + 1000)))
+    return np.concatenate((at, few)), h, np.arange(len(h)) >= len(at)
 
 
 def slots(kind: np.ndarray, value: np.ndarray, at: int, size: int) -> list[int]:
@@ -112,11 +122,19 @@ def slots(kind: np.ndarray, value: np.ndarray, at: int, size: int) -> list[int]:
     return value[part][kind[part] != LITERAL].astype(np.int64).tolist()
 
 
+def upper(text: str) -> bool:
+    """Whether the first word of a text has a capital letter in front."""
+    return next((c for w in text.split() if (c := w.strip(EDGES))), "")[:1].isupper()
+
+
 def item_windows(bench: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(w, item, pos, size, total, islots): the template windows of all items.
+    """(w, item, pos, size, total, whole, verbatim, islots): the windows of all items.
 
-    Items below ``WINDOW`` tokens are one window; those without ``LITERALS`` literal tokens
-    have none.  Null items and texts are ignored, repeated rows count once.
+    ``total`` counts an item's template windows, ``whole`` all of them.  Items below
+    ``WINDOW`` tokens are one window; those below ``LITERALS`` tokens have none.  An item
+    may stand inside a sentence of a document, so the window at its start is also given with
+    a capitalised first word read as a name.  Null items and texts are ignored, repeated rows
+    count once.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,12 +144,20 @@ def item_windows(bench: DataFrame, item_col: str = "item_id", text_col: str = "t
             for item, text in zip(batch["item"], batch["text"], strict=True):
                 kind, value = template(text, known)
                 size = min(WINDOW, len(kind))
-                at, h = windows(kind, value, size) if size else ([], [])
-                rows += [(x, item, int(p), size, len(at), slots(kind, value, p, size)) for p, x in zip(at, np.asarray(h, np.uint64).view(np.int64), strict=True)]
-            yield pd.DataFrame(rows, columns=["w", "item", "pos", "size", "total", "islots"])
+                at, h, plain = windows(kind, value, size) if size else ([], [], [])
+                found = list(zip(at, np.asarray(h, np.uint64).view(np.int64), plain, [kind] * len(at), strict=True))
+                if size and kind[0] == LITERAL and upper(text):
+                    inside = np.concatenate(([np.int8(NAME)], kind[1:]))
+                    p, x, v = windows(inside[:size], value[:size], size)
+                    found += zip(p, x.view(np.int64), v, [inside] * len(p), strict=True)
+                total, whole = len(at) - int(np.sum(plain)), len(at)
+                rows += [(x, item, int(p), size, total, whole, bool(v), [] if v else slots(k, value, p, size)) for p, x, v, k in found]
+            yield pd.DataFrame(rows, columns=["w", "item", "pos", "size", "total", "whole", "verbatim", "islots"])
 
     named = bench.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
-    return named.dropna().distinct().mapInPandas(cut, "w long, item long, pos int, size int, total int, islots array<long>")
+    return named.dropna().distinct().mapInPandas(
+        cut, "w long, item long, pos int, size int, total int, whole int, verbatim boolean, islots array<long>"
+    )
 
 
 def document_windows(docs: DataFrame, sizes: list[int], only: np.ndarray | None, id_col: str, text_col: str) -> DataFrame:
@@ -148,13 +174,13 @@ def document_windows(docs: DataFrame, sizes: list[int], only: np.ndarray | None,
             for i, h1, h2, text in batch.itertuples(index=False, name=None):
                 kind, value = template(text, known)
                 for size in sizes:
-                    at, h = windows(kind, value, size)
+                    at, h, plain = windows(kind, value, size)
                     if bits is not None:
                         maybe = bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)]
-                        at, h = at[maybe], h[maybe]
+                        at, h, plain = at[maybe], h[maybe], plain[maybe]
                         there = only[np.minimum(np.searchsorted(only, h), len(only) - 1)] == h
-                        at, h = at[there], h[there]
-                    rows += [(i, h1, h2, x, p, slots(kind, value, p, size)) for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
+                        at, h, plain = at[there], h[there], plain[there]
+                    rows += [(i, h1, h2, x, p, [] if v else slots(kind, value, p, size)) for p, x, v in zip(at.tolist(), h.view(np.int64).tolist(), plain.tolist(), strict=True)]
             yield pd.DataFrame(rows, columns=["__id", "__h1", "__h2", "w", "dpos", "dslots"])
 
     named = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("__t"))
@@ -185,7 +211,7 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     )
     met = written(met, "bench-hits")
     # an item is there if the windows of any one occurrence agree
-    met = met.select(*key, "item", "total", "pos", "islots", "dslots", (F.col("dpos") - F.col("pos")).alias("offset"))
+    met = met.select(*key, "item", "total", "whole", "verbatim", "pos", "islots", "dslots", (F.col("dpos") - F.col("pos")).alias("offset"))
     before = F.lag("offset").over(Window.partitionBy(*key, "item").orderBy("offset"))
     by = Window.partitionBy(*key, "item").orderBy("offset").rangeBetween(Window.unboundedPreceding, 0)
     near = met.withColumn("far", (F.col("offset") - before > WINDOW).cast("int")).withColumn("near", F.coalesce(F.sum("far").over(by), F.lit(0)))
@@ -203,10 +229,15 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     ]
     consistent = met.join(odd[0].union(odd[1]).distinct(), [*key, "item"], "left_anti")
     return (
-        consistent.select(*key, "item", "total", "pos")
+        consistent.select(*key, "item", "total", "whole", "verbatim", "pos")
         .distinct()
         .groupBy(*key, "item")
-        .agg((F.count("*") / F.max("total")).alias("cover"))
+        .agg(
+            F.greatest(
+                F.try_divide(F.countDistinct(F.when(~F.col("verbatim"), F.col("pos"))), F.max("total")),
+                F.try_divide(F.countDistinct("pos"), F.max("whole")),
+            ).alias("cover")
+        )
         .where(F.col("cover") >= COVER)
         .groupBy(*KEY, "item")
         .agg(F.max("cover").alias("cover"))
