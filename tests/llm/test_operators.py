@@ -199,6 +199,18 @@ def test_chat_links_orders_and_validates(spark):
     assert chat_format.formatted(chat.where("false")).count() == 0
 
 
+def test_chat_keeps_text_around_markup_and_broken_markup(spark):
+    rows = [(1, 0, "assistant", 'Let me see. <tool_call>{"id":"a","name":"f","arguments":{}}</tool_call> And <tool_call>{"id": oops</tool_call> done.'),
+            (1, 1, "tool", 'before <tool_result>{"id":"a","content":"3"}</tool_result><tool_result>[no</tool_result>\n'), (1, 2, "assistant", '<tool_call>{"id":"b","name":"f"}</tool_call>\n')]
+    chat = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["turn"], r["kind"], r["part"]): r for r in chat_format.formatted(chat, {"f": {}}).collect()}
+    assert sorted(got) == [(0, "call", 0), (0, "call", 1), (0, "message", 0), (1, "message", 0), (1, "result", 0), (1, "result", 1), (2, "call", 0)]
+    assert got[0, "message", 0]["json"] == '{"content":"Let me see.  And  done.","kind":"message","role":"assistant"}'
+    assert '"content":"before ' in got[1, "message", 0]["json"] and got[0, "call", 0]["errors"] == got[2, "call", 0]["errors"] == ""
+    assert (got[0, "call", 1]["errors"], got[0, "call", 1]["json"]) == ("broken markup", '{"kind":"call","raw":"{\\"id\\": oops"}')
+    assert (got[1, "result", 1]["errors"], got[1, "result", 1]["json"]) == ("broken markup", '{"kind":"result","raw":"[no"}')
+
+
 def test_quality_rules_against_plain_python(spark):
     rows = [(k, prose(k, 40) + ("\nsame line here\nsame line here" if k % 3 == 0 else "")) for k in range(20)] + ODD + [(70, "the a b c d e the a b c d e x y z w v"), (71, "# $ the of and to in is it on")]
     for r in quality_rules.judged(docs_of(spark, rows)).collect():

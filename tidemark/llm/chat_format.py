@@ -39,6 +39,8 @@ KINDS = {
     "object": "^OBJECT<",
 }
 ID = ["conv_id", "id"]
+#: The error of markup that holds no JSON object.
+BROKEN = "broken markup"
 
 
 def messages(conversations: DataFrame) -> DataFrame:
@@ -55,28 +57,37 @@ def parsed(chat: DataFrame, role: str, markup: str, schema: str) -> DataFrame:
     return own.withColumn("j", F.from_json("raw", schema))
 
 
+def broken() -> Column:
+    """The raw string of ``parsed`` markup that is no JSON object."""
+    no_object = ~F.coalesce(F.schema_of_variant(F.try_parse_json("raw")).rlike(KINDS["object"]), F.lit(False))
+    return F.when(no_object, F.col("raw")).alias("broken")
+
+
 def calls(chat: DataFrame) -> DataFrame:
-    """(conv_id, id, turn, part, name, arguments, depends_on), marked and plain ones."""
+    """(conv_id, id, turn, part, name, arguments, depends_on, broken), marked and plain ones.
+
+    ``broken`` is the raw string of markup that is no JSON object, else null.
+    """
     marked = parsed(chat, "assistant", CALL, CALL_SCHEMA).select(
         "conv_id", F.col("j.id").alias("id"), "turn", "part", F.col("j.name").alias("name"),
-        F.coalesce("j.arguments", F.lit("{}")).alias("arguments"), F.col("j.depends_on").alias("depends_on"),
+        F.coalesce("j.arguments", F.lit("{}")).alias("arguments"), F.col("j.depends_on").alias("depends_on"), broken(),
     )
     plain = chat.where("role = 'user'").select(
         "conv_id", F.concat(F.lit("turn:"), F.col("turn").cast("string")).alias("id"), "turn", F.lit(0).alias("part"),
         F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"))).alias("arguments"),
-        F.lit(None).cast("array<string>").alias("depends_on"),
+        F.lit(None).cast("array<string>").alias("depends_on"), F.lit(None).cast("string").alias("broken"),
     )
     return marked.unionByName(plain)
 
 
 def results(chat: DataFrame) -> DataFrame:
-    """(conv_id, id, turn, part, content); a plain one has the identifier of the turn before."""
+    """(conv_id, id, turn, part, content, broken); a plain one has the identifier of the turn before."""
     marked = parsed(chat, "tool", RESULT, RESULT_SCHEMA).select(
-        "conv_id", F.col("j.id").alias("id"), "turn", "part", F.coalesce("j.content", F.lit("")).alias("content")
+        "conv_id", F.col("j.id").alias("id"), "turn", "part", F.coalesce("j.content", F.lit("")).alias("content"), broken()
     )
     plain = chat.where((F.col("role") == "assistant") & ~F.col("text").rlike(CALL)).select(
         "conv_id", F.concat(F.lit("turn:"), (F.col("turn") - 1).cast("string")).alias("id"), "turn",
-        F.lit(0).alias("part"), F.col("text").alias("content"),
+        F.lit(0).alias("part"), F.col("text").alias("content"), F.lit(None).cast("string").alias("broken"),
     )
     return marked.unionByName(plain)
 
@@ -102,6 +113,10 @@ def problems(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple
     return F.array_compact(F.array(*found))
 
 
+def raw_json(kind: str) -> Column:
+    return F.to_json(F.struct(F.lit(kind).alias("kind"), F.col("broken").alias("raw")))
+
+
 def levels(own: DataFrame) -> DataFrame:
     """(conv_id, id, level): 0 without dependencies, else one more than the last of them.
 
@@ -143,7 +158,9 @@ def formatted(
     duplicate (an identifier that an earlier call of the conversation has); of a result
     linked, early (it stands before its call) or orphan.  ``level`` is the topological
     position: a result stands one behind its call.  ``errors`` lists what is wrong with
-    arguments; invalid calls stay.  Broken markup is a call or result without identifier.
+    arguments; invalid calls stay.  Broken markup is a call or result without identifier, with
+    an error and its raw string in ``json``.  Text around markup is a message of its turn, the
+    markup cut out of it.
     Null ids of conversations or turns never link.  Repeated rows count once.
     """
     chat = messages(conversations)
@@ -160,22 +177,29 @@ def formatted(
             F.when(F.struct("turn", "part") != F.col("first"), "duplicate")
             .when(F.col("n") > 0, "answered").otherwise("unanswered").alias("status"),
             "level",
-            F.array_join(problems(F.col("name"), F.col("arguments"), schemas or SCHEMAS), "; ").alias("errors"),
-            F.to_json(F.struct(
+            F.when(F.col("broken").isNotNull(), F.lit(BROKEN))
+            .otherwise(F.array_join(problems(F.col("name"), F.col("arguments"), schemas or SCHEMAS), "; ")).alias("errors"),
+            F.when(F.col("broken").isNotNull(), raw_json("call")).otherwise(F.to_json(F.struct(
                 F.try_parse_json("arguments").alias("arguments"), F.col("id"), F.lit("call").alias("kind"), F.col("name"),
-            )).alias("json"),
+            ))).alias("json"),
         )
     )
     answered = replies.join(first, ID, "left").join(order, ID, "left").select(
         "conv_id", "turn", "part", F.lit("result").alias("kind"), F.col("id").alias("call_id"),
         F.when(F.col("first").isNull(), "orphan").when(F.col("turn") < F.col("first.turn"), "early").otherwise("linked").alias("status"),
         (F.col("level") + 1).alias("level"),
-        F.lit("").alias("errors"),
-        F.to_json(F.struct(F.col("content"), F.col("id"), F.lit("result").alias("kind"))).alias("json"),
+        F.when(F.col("broken").isNotNull(), F.lit(BROKEN)).otherwise(F.lit("")).alias("errors"),
+        F.when(F.col("broken").isNotNull(), raw_json("result"))
+        .otherwise(F.to_json(F.struct(F.col("content"), F.col("id"), F.lit("result").alias("kind")))).alias("json"),
     )
-    rest = chat.where(
-        ~F.col("role").isin("user", "assistant", "tool") | (F.col("role") == "tool") & ~F.col("text").rlike(RESULT)
-    ).select(
+    around = [
+        chat.where((F.col("role") == role) & F.col("text").rlike(markup))
+        .withColumn("text", F.regexp_replace("text", markup, ""))
+        .where(F.col("text").rlike(r"\S"))
+        for role, markup in (("assistant", CALL), ("tool", RESULT))
+    ]
+    plain = chat.where(~F.col("role").isin("user", "assistant", "tool") | (F.col("role") == "tool") & ~F.col("text").rlike(RESULT))
+    rest = plain.unionByName(around[0]).unionByName(around[1]).select(
         "conv_id", "turn", F.lit(0).alias("part"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"),
         F.lit(None).cast("string").alias("status"), F.lit(None).cast("int").alias("level"), F.lit("").alias("errors"),
         F.to_json(F.struct(F.col("text").alias("content"), F.lit("message").alias("kind"), F.col("role"))).alias("json"),
