@@ -111,19 +111,52 @@ def test_line_dedup_cuts_single_long_lines(spark):
     assert [got[2 * k + 1]["__cut"]["words"] for k in range(60)] == [60] * 60
 
 
-def test_line_dedup_finds_the_copy_behind_another_first_occurrence(spark):
+def line_pieces(text):
+    ends = [m.end() for m in re.finditer(r"([.!?;:][^\x20\x09-\x0D\w]{0,3})([ \t]+)|(\n)", text)]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]
+
+
+def without_repeats(rows, least=10):
+    """Cuts what lies in a run of ``least`` words that is equal to one that starts earlier, by comparing all places."""
+    seen, out = [], {}
+    for i, text in rows:
+        parts = line_pieces(text)
+        own = [(k, p.strip(" \n")) for k, p in enumerate(parts) if p.strip(" \n")]
+        seen.append(own)
+        cut = set()
+        for s in range(len(own)):
+            for other in seen:
+                for r in range(s if other is own else len(other)):
+                    n = 0
+                    while s + n < len(own) and r + n < len(other) and own[s + n][1] == other[r + n][1]:
+                        n += 1
+                    if sum(x.count(" ") + 1 for _, x in own[s : s + n]) >= least:
+                        cut |= set(range(own[s][0], own[s + n][0] if s + n < len(own) else own[-1][0] + 1))
+        out[i] = "".join(p for k, p in enumerate(parts) if k not in cut)
+    return out
+
+
+@pytest.mark.parametrize("often", [8, 1])
+def test_line_dedup_against_all_places(spark, monkeypatch, often):
+    monkeypatch.setattr(line_dedup, "OFTEN", often)  # 1: values of the sample are hot
+    r = random.Random(often)
+    stock = [" ".join(f"w{r.randrange(6)}" for _ in range(n)) + "." for n in [1, 2, 3, 3, 4, 5, 6, 8, 9, 10, 12, 15] * 2]
     rows = []
-    for k in range(60):
-        u = [f"alone{k}x{j} here." for j in range(6)]
-        run = f"Four words stand{k} here. Of chapter{k}. Five more words follow{k} here. Three last{k} ones."
-        rows += [(3 * k, f"{u[0]} Of chapter{k}. {u[1]}"), (3 * k + 1, f"{u[2]} {run} {u[3]}"), (3 * k + 2, f"{u[4]} {run} {u[5]}")]
-    got = {r["doc_id"]: r for r in line_dedup.dedup(docs_of(spark, rows)).collect()}
-    assert [got[k]["__cut"]["words"] for k in range(180)] == [0, 0, 14] * 60
-    # the same where the heading is hot and so are some of its pairs
-    run = "Six words stand in here once. Of chapter. Five more words in here."
-    hot = [(k, f"alone{k} now. Of chapter. alone{k} then.") for k in range(50)] + [(100 + k, f"alone{k} there. {run} alone{k} end.") for k in range(40)]
-    got = {r["doc_id"]: r for r in line_dedup.dedup(docs_of(spark, hot)).collect()}
-    assert [got[100 + k]["__cut"]["words"] for k in range(40)] == [0] + [13] * 39 and all(got[k]["__cut"]["words"] == 0 for k in range(50))
+    for i in range(60):
+        parts = [(r.choice(stock) if r.random() < 0.85 else f"own{i}x{r.randrange(9)}  \ue000 b.") + r.choice([" ", "\n", "  ", "\n\n", "\n \n", "\ue001 "]) for _ in range(r.randrange(1, 14))]
+        rows.append((i, "".join(parts)))
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup(docs_of(spark, rows)).collect()}
+    want = without_repeats(rows)
+    assert got == want and sum(want[i] != t for i, t in rows) > 30
+
+
+def test_line_dedup_keeps_private_characters_and_takes_empty_tables(spark):
+    run = "Six words stand in here once. Five more words in here."
+    rows = [(k, f"\ue000\ue001 own{k} \ue000. {run} \ue001 tail{k}.") for k in range(40)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs_of(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and all(got[k] == f"\ue000\ue001 own{k} \ue000. \ue001 tail{k}." for k in range(1, 40))
+    assert line_dedup.dedup(docs_of(spark, rows).where("false")).count() == 0
+    assert line_dedup.without_repeats(docs_of(spark, [(1, run), (2, run), (3, ""), (4, None)])).count() == 3
 
 
 def test_warc_round_trip(spark, tmp_path):

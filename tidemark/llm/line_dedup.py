@@ -1,203 +1,219 @@
 """Line dedup: winnowing over hashes of line pieces, in DataFrame functions only.
 
 Method: a text is cut into pieces, at line ends and behind sentence ends, so that a
-passage that starts in the middle of a line still has whole pieces.  Each piece is hashed,
-and the minimum of every window of ``WINDOW`` hashes becomes a fingerprint: any run of
-that many equal pieces shares one, wherever it stands; the first and the last piece of a
-text and every piece that is long enough to be cut alone are fingerprints too.
-Fingerprints are compared with their first occurrence (smallest id, then text, then
-position).  Each carries the hashes of its two neighbours, one of
-which belongs to the next fingerprint of a run; a match is extended to a side when the
-fingerprint occurred earlier with that neighbour, in whatever document, so no other
-document is fetched.  Runs of matched pieces with ``MIN_WORDS`` words or more are
-deleted where they are repeated later.
-
-Scale: fingerprints are written once.  Counting them is pre-aggregated (a fingerprint that
-all documents share is one row per task).  A fingerprint with over 1 / ``HOT_PRINTS`` of
-the rows is hot: there can be no more than ``HOT_PRINTS`` of them, so their first
-occurrences are broadcast and their rows are not shuffled by fingerprint at all, only by
-fingerprint and neighbour, where the hot pairs are broadcast in turn.  The rest is dealt
-by fingerprint, and the runs are joined with the documents.  Rows are compared with first
-occurrences only, never with each other.  Nothing is collected beyond the runs of one document.
+passage that starts in the middle of a line still has whole pieces.  Pieces without words
+are left out, the others hashed.  A window is a shortest run of pieces with ``MIN_WORDS``
+words, seen from its first piece or from its last one.  Each window has one fingerprint,
+its minimum in an order that puts long pieces first: a piece of ``MIN_WORDS`` words is a
+fingerprint by itself; where all pieces of a window are short, and say little alone, the
+fingerprint is their hash together.  Two equal runs of ``MIN_WORDS`` words have an equal
+window, so they share a fingerprint wherever they stand.  Fingerprints that occur more
+than once are joined with their positions and extended both ways to the windows around
+them.  Windows are compared whole; those that occurred earlier (smaller id, then text
+hash, then position) are put together to runs of any length, which are deleted.
+
+So a piece is deleted if, and only if, it lies in a run of ``MIN_WORDS`` words or more that
+is equal, piece by piece, to a run that starts earlier in any text; blank pieces go with
+the one before them.  A piece's words are counted as its inner spaces plus one.
+
+Scale: pieces are hashed once and written.  Fingerprints are shuffled once, as three
+numbers each, and windows only where a fingerprint occurs again.  Values that are found
+often in a sample (one in ``SAMPLE``) are hot: no more than ``HOT`` of them, they are
+broadcast, and their rows are not shuffled by value; a hot value that the sample misses is
+handled like any other, so the sample has no say in the result.  Rows are compared with
+first occurrences only, never with each other.  Nothing is collected beyond the
+fingerprints and the runs of one document.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import row_key, text_or_empty, words_of, written
 
-WINDOW = 2
 MIN_WORDS = 10
 #: What separates pieces: white space behind a sentence end, or a line end.
 BREAK = r"([.!?;:][^\x20\x09-\x0D\p{L}\p{N}]{0,3})([ \t]+)|(\n)"
-#: Mark cuts and run ends for a moment; a text that holds them may lose them where it is cut.
-CUT, END = "\ue000", "\ue001"
-#: Hash of a piece without words.
-NONE = 2**63 - 1
-#: Low bits that hold a piece's position while windows are compared.
-PLACE = 2**24 - 1
-LOW = 0xFFFFFFFF
-#: The white space of ``common.WORD_BREAK``.
-SPACES = " \t\n\x0b\f\r"
-#: A fingerprint with more than this share of all rows (one in so many) is hot.
-HOT_PRINTS = 10_000
-
-
-def pieces(text: Column) -> Column:
-    """The pieces of a text, separators included: joined, they are the text again."""
-    return F.split(F.regexp_replace(text, BREAK, "$1$2$3" + CUT), CUT)
-
-
-def hashed(text: Column, min_words: int) -> Column:
-    """(h, long) for each of ``pieces``: a hash that does not depend on the separators, and
-    whether the piece has white space for ``min_words`` words."""
-    bare = F.split(F.regexp_replace(text, BREAK, "$1" + CUT), CUT)
-
-    def one(p: Column) -> Column:
-        return F.struct(
-            F.when(F.trim(p) == "", F.lit(NONE)).otherwise(F.xxhash64(F.trim(p))).alias("h"),
-            (F.length(p) - F.length(F.translate(p, SPACES, "")) >= min_words - 1).alias("long"),
-        )
+#: Marks cuts for a moment; where a text holds it, its md5 is added to tell them apart.
+CUT = "\ue000"
+#: One row in so many is looked at to find hot values.
+SAMPLE = 16
+#: Bound of the number of hot values, and the rows of the sample that make a value hot at least.
+HOT, OFTEN = 10_000, 8
+LOW = 2**32 - 1
+
+
+def pieces(text: Column, separators: bool = True) -> Column:
+    """The pieces of a text; with separators they are the text again when joined."""
+    mark = F.when(F.contains(text, F.lit(CUT)), F.concat(F.lit(CUT), F.md5(text))).otherwise(F.lit(CUT))
+    kept = F.lit("$1$2$3" if separators else "$1")
+    return F.split(F.regexp_replace(text, F.lit(BREAK), F.concat(kept, mark)), mark)
+
+
+def hashed(text: Column) -> Column:
+    """(i, h, w) for each of ``pieces`` with a word: position, hash, number of words."""
+
+    def one(p: Column, i: Column) -> Column:
+        bare = F.trim(p)
+        spaces = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit("")))
+        return F.when(bare != "", F.struct(i.alias("i"), F.xxhash64(bare).alias("h"), (spaces + 1).alias("w")))
+
+    return F.array_compact(F.transform(pieces(text, separators=False), one))
+
+
+def length(k: Column, way: int, min_words: int) -> Column:
+    """Pieces of the window that starts (way 1) or ends (way -1) at piece k; null if words lack."""
+    words = F.get("w", k)
+    found = F.when(words >= min_words, 1)
+    for j in range(1, min_words):
+        words = words + F.get("w", k + way * j)
+        found = found.when(words >= min_words, j + 1)
+    return found
+
+
+def together(k: Column, n: Column) -> Column:
+    """One hash of the n pieces from k on."""
+    return F.aggregate(F.slice("h", k + 1, n), F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x))
 
-    return F.transform(bare, one)
 
+def packed(k: Column) -> Column:
+    """The text's hash and a position in one number."""
+    return F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(k.cast("long"))
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, p, h, left, right): the fingerprints of all texts.
 
-    ``p`` packs 32 bits of the text's hash with the position, ``left`` and ``right`` are the
-    hashes of the neighbours, zero at the ends of the text.
+def prints(cut: DataFrame, min_words: int) -> DataFrame:
+    """(id, p, v): the fingerprints of all texts.
+
+    ``p`` packs the text's hash with twice the place of a long piece, or twice the place of
+    the first of some short pieces plus one.
     """
-    key, first, _ = row_key(id_col, text_col)
-    cut = (
-        docs.select(key, first, hashed(text_or_empty(text_col), min_words).alias("__x"))
-        .withColumn("__hash", F.col("__x.h"))
-        .withColumn("__v", F.transform("__hash", lambda h, i: h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i)))
-    )
-    n = F.size("__v")
-    windows = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))),
-        lambda j: F.least(*[F.get("__v", j + k) for k in range(WINDOW)]),
-    )
-    long = F.filter(F.transform("__x", lambda x, i: F.when(x["long"], F.get("__v", i))), lambda v: v.isNotNull())
-    chosen = cut.withColumn("__at", F.array_distinct(F.concat(F.array(F.get("__v", F.lit(0)), F.get("__v", n - 1)), windows, long)))
-
-    def row(v: Column) -> Column:
-        i = v.bitwiseAND(F.lit(PLACE)).cast("int")
-        left, right = (F.coalesce(F.get("__hash", i + k), F.lit(0)) for k in (-1, 1))
-        return F.struct(
-            F.shiftleft("__h1", 32).bitwiseOR(i).alias("p"),
-            F.get("__hash", i).alias("h"),
-            left.alias("left"),
-            right.alias("right"),
+    ahead = cut.withColumn("n", F.transform("w", lambda w, k: length(k, 1, min_words)))
+
+    def row(n: Column, k: Column) -> Column:
+        # only the last piece of a shortest window can be long
+        alone, short = n == 1, F.get("w", k + n - 1) < min_words
+        return F.when(
+            alone | short,
+            F.struct(packed(2 * k + F.when(alone, 0).otherwise(1)).alias("p"), F.when(alone, F.get("h", k)).otherwise(together(k, n)).alias("v")),
         )
 
-    return chosen.select("__id", F.explode(F.transform("__at", row)).alias("f")).select("__id", "f.*").where(f"h <> {NONE}")
+    return ahead.select("id", F.explode(F.array_compact(F.transform("n", row))).alias("r")).select("id", "r.*")
 
 
-def _found(rows: DataFrame, left: Column | int, right: Column | int) -> DataFrame:
-    """(id, text's hash, s, e): so many pieces around the fingerprints of ``rows``."""
-    i = F.col("p").bitwiseAND(F.lit(LOW)).cast("int")
-    return rows.select(
-        "__id", F.shiftright("p", 32).cast("int").alias("__t"), F.greatest(i - left, F.lit(0)).alias("s"), (i + right).alias("e")
-    )
+def often(drawn: DataFrame) -> DataFrame:
+    """(hot): the values ``v`` that are frequent in a sample; at most ``HOT``."""
+    counted = written(drawn.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "line-often")
+    least = max(OFTEN, (counted.agg(F.sum("n")).first()[0] or 0) // HOT)
+    return counted.where(F.col("n") >= least).select(F.col("v").alias("hot"))
 
 
-def _later(rows: DataFrame, by: list[str], bar: int) -> DataFrame:
-    """The ``rows`` whose values in ``by`` occurred earlier; values with over ``bar`` rows are not shuffled."""
-    first = rows.groupBy(*[F.col(c).alias(f"f_{c}") for c in by]).agg(F.count("*").alias("n"), F.min(F.struct("__id", "p")).alias("f"))
-    same = [F.col(c) == F.col(f"f_{c}") for c in by]
-    # so many rows each: at most HOT_PRINTS values
-    hot = F.broadcast(first.where(F.col("n") > bar))
-    dealt = rows.join(hot, same, "left_anti").join(first.where((F.col("n") > 1) & (F.col("n") <= bar)), same)
-    return rows.join(hot, same).unionByName(dealt).where(F.struct("__id", "p") != F.col("f")).select("__id", "p")
+def again(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(id, t, at): the fingerprints of each text that occur more than once."""
+    marked = rows.join(F.broadcast(hot), F.col("v") == F.col("hot"), "left")
+    # hot values are spread: they need no count
+    spread = F.when(F.col("hot").isNotNull(), F.xxhash64("id", "p"))
+    found = marked.withColumn("n", F.count("*").over(Window.partitionBy("v", spread))).where("n > 1 or hot is not null")
+    text, f = F.shiftright("p", 32).cast("int"), F.col("p").bitwiseAND(F.lit(LOW)).cast("int")
+    return found.groupBy("id", text.alias("t")).agg(F.array_sort(F.collect_set(f)).alias("at"))
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """The pieces that occurred earlier with each fingerprint of ``rows``, dealt by fingerprint."""
-    me = F.struct("__id", "p")
-    first = {k: F.min(me).over(Window.partitionBy("h", *k)) for k in ((), ("left",), ("right",))}
-    seen = rows.withColumns({"f": first[()], "fl": first["left",], "fr": first["right",]}).where(me != F.col("f"))
-    return _found(seen, (me != F.col("fl")).cast("int"), (me != F.col("fr")).cast("int"))
+def windows(met: DataFrame, min_words: int) -> DataFrame:
+    """(id, p, v, e): the windows with a fingerprint of ``at``, by positions in the text.
+
+    A shortest window has a long piece only at its end, if seen from the first piece, or
+    at its start, if seen from the last one.
+    """
+    gap = lambda f, j: f - F.coalesce(F.get("at", j - 1), F.lit(-1)) - 1
+    flags = F.flatten(F.transform("at", lambda f, j: F.concat(F.array_repeat(F.lit(False), gap(f, j)), F.array(F.lit(True)))))
+    on = lambda f: F.coalesce(F.get("flags", f), F.lit(False))
+    both = met.withColumns({
+        "flags": flags, "n": F.transform("w", lambda w, k: length(k, 1, min_words)),
+        "m": F.transform("w", lambda w, k: F.when(w < min_words, length(k, -1, min_words))),
+    })
+
+    def window(k: Column, n: Column) -> Column:
+        # with the blank pieces up to the next one
+        end = F.coalesce(F.get("i", k + n) - 1, F.get("i", k + n - 1))
+        one = F.struct(packed(F.get("i", k)).alias("p"), together(k, n).alias("v"), end.alias("e"))
+        return F.when(on(2 * k) | on(2 * k + 1) | on(2 * (k + n - 1)), one)
+
+    # a window that is the same seen from both ends counts once
+    behind = F.transform("m", lambda m, k: F.when(m != F.get("n", k - m + 1), window(k - m + 1, m)))
+    found = F.array_compact(F.concat(F.transform("n", lambda n, k: window(k, n)), behind))
+    return both.select("id", F.explode(found).alias("r")).select("id", "r.*")
+
+
+def later(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(id, p, e): the ``rows`` whose value occurred earlier."""
+    same, me = F.col("v") == F.col("hot"), F.struct("id", "p")
+    # at most HOT rows, each from a combining aggregate
+    first = rows.join(F.broadcast(hot), same, "left_semi").groupBy(F.col("v").alias("hot")).agg(F.min(me).alias("first"))
+    rare = rows.join(F.broadcast(hot), same, "left_anti").withColumn("first", F.min(me).over(Window.partitionBy("v")))
+    both = rare.unionByName(rows.join(F.broadcast(first), same).drop("hot"))
+    return both.where(F.col("first") < me).select("id", "p", "e")
 
 
 def runs(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, text's hash, runs): for each document the sorted runs that occurred before."""
-    prints = written(fingerprints(docs, id_col, text_col, min_words), "line-prints")
-    counted = prints.groupBy(F.col("h").alias("rh")).agg(F.count("*").alias("n"))
-    bar = max(prints.count() // HOT_PRINTS, 2)
-    # at most HOT_PRINTS fingerprints can have so many rows each
-    hot = F.broadcast(counted.where(F.col("n") > bar).select("rh"))
-    repeated = counted.where((F.col("n") > 1) & (F.col("n") <= bar)).select("rh")
-    same = F.col("h") == F.col("rh")
-    often = written(prints.join(hot, same).drop("rh"), "line-hot")
-    spread = [_found(_later(often, ["h", *side], bar), *reach) for side, reach in (([], (0, 0)), (["left"], (1, 0)), (["right"], (0, 1)))]
-    dealt = _dealt(prints.join(hot, same, "left_anti").join(repeated, same))
-    matched = reduce(DataFrame.unionByName, spread, dealt).distinct()
-    by = Window.partitionBy("__id", "__t").orderBy("s", "e")
-    before = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        matched.withColumn("new", (F.col("s") > F.coalesce(before, F.lit(-2)) + 1).cast("int"))
-        .withColumn("run", F.sum("new").over(by))
-        .groupBy("__id", "__t", "run")
-        .agg(F.min("s").alias("s"), F.max("e").alias("e"))
-        .groupBy(F.col("__id").alias("__ri"), F.col("__t").alias("__rt"))
-        .agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("__runs"))
-    )
+    """(id, text's hash, runs): for each document the sorted (s, e) of pieces that occurred before."""
+    key, first, _ = row_key(id_col, text_col)
+    text_hash = F.shiftright(F.shiftleft(first, 32), 32).cast("int")
+    made = docs.select(key.alias("id"), text_hash.alias("t"), hashed(text_or_empty(text_col)).alias("x"))
+    cut = written(made.select("id", "t", F.col("x.i").alias("i"), F.col("x.h").alias("h"), F.col("x.w").alias("w")), "line-pieces")
+    one_in = lambda *key: F.pmod(F.xxhash64(*key), F.lit(SAMPLE)) == 0
+    seen = again(prints(cut, min_words), often(prints(cut.where(one_in("id", "t")), min_words))).withColumnsRenamed({"id": "ci", "t": "ct"})
+    met = cut.join(seen, (F.col("id") == F.col("ci")) & (F.col("t") == F.col("ct"))).drop("ci", "ct")
+    rows = written(windows(met, min_words), "line-windows")
+    text, s = F.shiftright("p", 32).cast("int"), F.col("p").bitwiseAND(F.lit(LOW)).cast("int")
+    by = later(rows, often(rows.where(one_in("id", "p")))).groupBy(F.col("id").alias("__ri"), text.alias("__rt"))
+    own = by.agg(F.array_sort(F.collect_set(F.struct(s.alias("s"), "e"))).alias("__own"))
+    # sorted by start, windows are sorted by end too: a run ends where the next window leaves a gap
+    starts = F.filter("__own", lambda w, k: F.coalesce(w["s"] > F.get("__own", k - 1)["e"] + 1, F.lit(True)))
+    ends = F.filter("__own", lambda w, k: F.coalesce(F.get("__own", k + 1)["s"] > w["e"] + 1, F.lit(True)))
+    merged = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda z: F.struct(z["a"]["s"].alias("s"), z["b"]["e"].alias("e")))
+    return own.select("__ri", "__rt", merged.alias("__runs"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later repeats of runs cut out of the text column, plus ``__cut``.
 
-    ``__cut`` has the number of runs and words cut.  The first occurrence, by id, then by
-    a hash of the text, then by position, always stays, also where a text repeats itself.
-    Rows that share id and text are one document and get the same result.  Null and empty
-    texts are returned as they are; null ids come first.  All other columns pass through.
+    ``__cut`` has the number of runs and words cut.  Of equal runs the one with the smallest
+    id, then text hash, then position stays, also where a text repeats itself.  Rows that
+    share id and text are one document and get the same result.  Null and empty texts are
+    returned as they are; null ids come first; an empty table gives an empty result.  All
+    other columns pass through.
     """
     key, first, _ = row_key(id_col, text_col)
     keyed = docs.withColumns({"__di": key, "__dt": F.shiftright(F.shiftleft(first, 32), 32).cast("int")})
     joined = keyed.join(
         runs(docs, id_col, text_col, min_words), (F.col("__di") == F.col("__ri")) & (F.col("__dt") == F.col("__rt")), "left"
     )
-    # 1 at the first piece of a run and at the first piece behind it
-    ends = F.flatten(
+    # for each piece whether it goes, up to the last run's end
+    flags = F.flatten(
         F.transform(
             "__runs",
             lambda r, k: F.concat(
-                F.array_repeat(F.lit(0), F.coalesce(r["s"] - F.get("__runs", k - 1)["e"] - 2, r["s"])),
-                F.array(F.lit(1)),
-                F.array_repeat(F.lit(0), r["e"] - r["s"]),
-                F.array(F.lit(1)),
+                F.array_repeat(F.lit(False), r["s"] - F.coalesce(F.get("__runs", k - 1)["e"], F.lit(-1)) - 1),
+                F.array_repeat(F.lit(True), r["e"] - r["s"] + 1),
             ),
         )
     )
     # zipped, not looked up from the lambda, where the optimizer might build the array anew
-    both = F.arrays_zip(pieces(text_or_empty(text_col)).alias("p"), F.col("__ends").alias("e"))
-    marked = F.transform(both, lambda x: F.when(x["e"] == 1, F.concat(F.lit(END), x["p"])).otherwise(x["p"]))
-    # split at the marks, every second part is a run
-    parts = F.transform(
-        F.split(F.array_join(marked, ""), END),
-        lambda t, k: F.struct(t.alias("t"), F.when(k % 2 == 1, F.size(words_of(t))).otherwise(0).alias("n")),
-    )
-    long = F.filter("__parts", lambda p: p["n"] >= min_words)
-    rest = F.array_join(F.transform(F.filter("__parts", lambda p: p["n"] < min_words), lambda p: p["t"]), "")
+    parts = F.arrays_zip(pieces(text_or_empty(text_col)).alias("p"), flags.alias("cut"))
+    gone = lambda x: F.coalesce(x["cut"], F.lit(False))
+    rest = F.array_join(F.transform(F.filter("__parts", lambda x: ~gone(x)), lambda x: x["p"]), "")
+    words = F.size(words_of(F.array_join(F.transform(F.filter("__parts", gone), lambda x: x["p"]), "")))
     return (
-        joined.withColumn("__ends", ends)
-        .withColumn("__parts", F.when(F.col("__ends").isNotNull(), parts))
-        .withColumn("__long", long)
-        .withColumn(text_col, F.when(F.size("__long") > 0, rest).otherwise(F.col(text_col)))
+        joined.withColumn("__parts", F.when(F.col("__runs").isNotNull(), parts))
+        .withColumn(text_col, F.when(F.col("__parts").isNotNull(), rest).otherwise(F.col(text_col)))
         .withColumn(
             "__cut",
             F.struct(
-                F.greatest(F.coalesce(F.size("__long"), F.lit(0)), F.lit(0)).cast("long").alias("runs"),
-                F.coalesce(F.aggregate("__long", F.lit(0), lambda a, r: a + r["n"]), F.lit(0)).cast("long").alias("words"),
+                F.coalesce(F.size("__runs"), F.lit(0)).cast("long").alias("runs"),
+                F.when(F.col("__parts").isNotNull(), words).otherwise(0).cast("long").alias("words"),
             ),
         )
-        .drop("__di", "__dt", "__ri", "__rt", "__runs", "__ends", "__parts", "__long")
+        .drop("__di", "__dt", "__ri", "__rt", "__runs", "__parts")
     )
 
 
