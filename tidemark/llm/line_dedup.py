@@ -62,16 +62,25 @@ def hashed(text: Column) -> Column:
     return F.array_compact(F.transform(pieces(text, separators=False), one))
 
 
-def length(k: Column, way: int, min_words: int) -> Column:
-    """Pieces of the window that starts (way 1) or ends (way -1) at piece k; null if words lack."""
-    words = F.get("w", k)
+def length(k: Column, min_words: int) -> Column:
+    """Pieces of the window that starts at piece k of ``x``; null where the text has too few words."""
+    words = F.get("x", k)["w"]
     found = F.when(words >= min_words, 1)
     for j in range(1, min_words):
-        words = words + F.get("w", k + way * j)
+        words = words + F.get("x", k + j)["w"]
         found = found.when(words >= min_words, j + 1)
     return found
 
 
+def reach(start: Column, way: int, words: Column, min_words: int) -> Column:
+    """Pieces from ``start`` on, one way, that keep a number of words below ``min_words``."""
+    found = F.lit(min_words - 1)
+    steps = [words := words + F.coalesce(F.get("w", start + way * j), F.lit(min_words)) for j in range(min_words - 1)]
+    for j, so_far in reversed(list(enumerate(steps))):
+        found = F.when(so_far >= min_words, j).otherwise(found)
+    return found
+
+
 def together(k: Column, n: Column) -> Column:
     """One hash of the n pieces from k on."""
     return F.aggregate(F.slice("h", k + 1, n), F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x))
@@ -88,7 +97,6 @@ def prints(cut: DataFrame, min_words: int) -> DataFrame:
     ``p`` packs the text's hash with twice the place of a long piece, or twice the place of
     the first of some short pieces plus one.
     """
-    ahead = cut.withColumn("n", F.transform("w", lambda w, k: length(k, 1, min_words)))
 
     def row(n: Column, k: Column) -> Column:
         # only the last piece of a shortest window can be long
@@ -98,7 +106,7 @@ def prints(cut: DataFrame, min_words: int) -> DataFrame:
             F.struct(packed(2 * k + F.when(alone, 0).otherwise(1)).alias("p"), F.when(alone, F.get("h", k)).otherwise(together(k, n)).alias("v")),
         )
 
-    return ahead.select("id", F.explode(F.array_compact(F.transform("n", row))).alias("r")).select("id", "r.*")
+    return cut.select("id", F.explode(F.array_compact(F.transform("n", row))).alias("r")).select("id", "r.*")
 
 
 def often(drawn: DataFrame) -> DataFrame:
@@ -121,27 +129,32 @@ def again(rows: DataFrame, hot: DataFrame) -> DataFrame:
 def windows(met: DataFrame, min_words: int) -> DataFrame:
     """(id, p, v, e): the windows with a fingerprint of ``at``, by positions in the text.
 
-    A shortest window has a long piece only at its end, if seen from the first piece, or
-    at its start, if seen from the last one.
+    A fingerprint is a window by itself.  A long piece is also the end of the windows that
+    start in the short pieces before it, and any fingerprint is the start of those that end
+    in the short pieces behind it, as far as they stay shortest windows.
     """
-    gap = lambda f, j: f - F.coalesce(F.get("at", j - 1), F.lit(-1)) - 1
-    flags = F.flatten(F.transform("at", lambda f, j: F.concat(F.array_repeat(F.lit(False), gap(f, j)), F.array(F.lit(True)))))
-    on = lambda f: F.coalesce(F.get("flags", f), F.lit(False))
-    both = met.withColumns({
-        "flags": flags, "n": F.transform("w", lambda w, k: length(k, 1, min_words)),
-        "m": F.transform("w", lambda w, k: F.when(w < min_words, length(k, -1, min_words))),
-    })
-
-    def window(k: Column, n: Column) -> Column:
+    none = F.array().cast("array<struct<k:int,n:int>>")
+
+    def each(count: Column, of) -> Column:  # noqa: ANN001
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), of)).otherwise(none)
+
+    def around(f: Column) -> Column:
+        k, alone = F.shiftright(f, 1), f % 2 == 0
+        n = F.when(alone, 1).otherwise(F.get("n", k))
+        window = lambda k, n: F.struct(k.alias("k"), n.cast("int").alias("n"))
+        rest = F.when(alone, 0).otherwise(F.aggregate(F.slice("w", k + 2, n - 1), F.lit(0), lambda a, w: a + w))
+        before = F.when(alone, each(reach(k - 1, -1, F.lit(0), min_words), lambda d: window(k - d, d + 1))).otherwise(none)
+        behind = each(reach(k + n, 1, rest, min_words), lambda d: window(k, n + d))
+        return F.concat(F.array(window(k, n)), before, behind)
+
+    def row(w: Column) -> Column:
+        k, n = w["k"], w["n"]
         # with the blank pieces up to the next one
         end = F.coalesce(F.get("i", k + n) - 1, F.get("i", k + n - 1))
-        one = F.struct(packed(F.get("i", k)).alias("p"), together(k, n).alias("v"), end.alias("e"))
-        return F.when(on(2 * k) | on(2 * k + 1) | on(2 * (k + n - 1)), one)
+        return F.struct(packed(F.get("i", k)).alias("p"), together(k, n).alias("v"), end.alias("e"))
 
-    # a window that is the same seen from both ends counts once
-    behind = F.transform("m", lambda m, k: F.when(m != F.get("n", k - m + 1), window(k - m + 1, m)))
-    found = F.array_compact(F.concat(F.transform("n", lambda n, k: window(k, n)), behind))
-    return both.select("id", F.explode(found).alias("r")).select("id", "r.*")
+    found = met.withColumn("ws", F.flatten(F.transform("at", around)))
+    return found.select("id", F.explode(F.transform("ws", row)).alias("r")).select("id", "r.*")
 
 
 def later(rows: DataFrame, hot: DataFrame) -> DataFrame:
@@ -159,7 +172,9 @@ def runs(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS
     key, first, _ = row_key(id_col, text_col)
     text_hash = F.shiftright(F.shiftleft(first, 32), 32).cast("int")
     made = docs.select(key.alias("id"), text_hash.alias("t"), hashed(text_or_empty(text_col)).alias("x"))
-    cut = written(made.select("id", "t", F.col("x.i").alias("i"), F.col("x.h").alias("h"), F.col("x.w").alias("w")), "line-pieces")
+    # from x itself: a field of it would be made anew for each piece
+    made = made.withColumn("n", F.transform("x", lambda v, k: length(k, min_words)))
+    cut = written(made.select("id", "t", "n", *[F.col(f"x.{c}").alias(c) for c in "ihw"]), "line-pieces")
     one_in = lambda *key: F.pmod(F.xxhash64(*key), F.lit(SAMPLE)) == 0
     seen = again(prints(cut, min_words), often(prints(cut.where(one_in("id", "t")), min_words))).withColumnsRenamed({"id": "ci", "t": "ct"})
     met = cut.join(seen, (F.col("id") == F.col("ci")) & (F.col("t") == F.col("ct"))).drop("ci", "ct")
