@@ -1,19 +1,20 @@
 """Chat formatting: tool calls linked with their results, ordered, validated, as canonical JSON.
 
 Method: calls and results are hash-joined by (conversation, identifier); calls are put in
-topological order of the results that they depend on, a level per round of joins;
-arguments are checked against schemas that are compiled into column expressions; every
+topological order of the results that they depend on; arguments are checked against schemas that are compiled into column expressions; every
 message becomes one line of canonical JSON (sorted keys, no white space).
 
 Calls come from ``<tool_call>{...}</tool_call>`` in the messages of assistants (a JSON
 object with ``id``, ``name``, ``arguments`` and optionally ``depends_on``), results from
 ``<tool_result>{...}</tool_result>`` in messages of the role ``tool`` (``id``,
-``content``).  Where a conversation has no markup, every user turn counts as a call of
-``reply`` whose identifier is its turn, and an assistant's next turn as its result.
+``content``).  Besides, every user turn counts as a call of ``reply`` whose identifier is its
+turn, and an assistant's next turn, if it holds no call, as its result.
 
 Scale: rows stay messages; nothing is collected per conversation, so that a conversation
 with a third of all rows is only a set of rows of its own.  Joins are by (conversation,
-identifier), which AQE may split.  DataFrame functions only.
+identifier), which AQE may split.  Chains of calls that depend on one call each are ordered
+by pointer doubling, in a logarithmic number of rounds; only calls that wait for several
+take a round for each level of such calls.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import removed, stored, written
 
 CALL = r"(?s)<tool_call>(.*?)</tool_call>"
 RESULT = r"(?s)<tool_result>(.*?)</tool_result>"
@@ -117,11 +118,31 @@ def raw_json(kind: str) -> Column:
     return F.to_json(F.struct(F.lit(kind).alias("kind"), F.col("broken").alias("raw")))
 
 
+def jumped(single: DataFrame) -> DataFrame:
+    """(conv_id, id, up, far): where chains of calls with one dependency (conv_id, id, up) end, and how far off.
+
+    Chains on a cycle keep an end that has a dependency itself.
+    """
+    now, path = stored(single.withColumn("far", F.lit(1).cast("long")), "chat-chains")
+    rounds = max(now.count(), 1).bit_length() + 1
+    for _ in range(rounds):
+        more = now.select("conv_id", F.col("id").alias("up"), F.col("up").alias("next"), F.col("far").alias("step"))
+        joined = now.join(more, ["conv_id", "up"], "left")
+        last = path
+        now, path = stored(joined.select(*ID, F.coalesce("next", "up").alias("up"), (F.col("far") + F.coalesce("step", F.lit(0))).alias("far"), F.col("next").isNotNull().alias("moved")), "chat-chains")
+        removed(now.sparkSession, last)
+        moved = not now.where("moved").isEmpty()
+        now = now.drop("moved")
+        if not moved:
+            break
+    return now
+
+
 def levels(own: DataFrame) -> DataFrame:
     """(conv_id, id, level): 0 without dependencies, else one more than the last of them.
 
-    One round for each level.  Calls on a cycle, or behind one, get a null level, and
-    dependencies on calls that do not exist count as met.
+    Calls on a cycle, or behind one, get a null level, and dependencies on calls that do
+    not exist count as met.
     """
     nodes = own.select(*ID).distinct()
     edges = (
@@ -133,20 +154,32 @@ def levels(own: DataFrame) -> DataFrame:
     edges = written(edges, "chat-edges")
     if edges.isEmpty():
         return nodes.withColumn("level", F.lit(0))
-    done = written(nodes.join(edges, ID, "left_anti").withColumn("level", F.lit(0)), "chat-levels")
-    while True:
+    spark = edges.sparkSession
+    waits = edges.groupBy(*ID).agg(F.count("*").alias("n"), F.min("d").alias("up"))
+    chains = jumped(waits.where("n = 1").select(*ID, "up"))
+    # what each dependency of the others comes down to: a call that is no link of a chain
+    many = edges.join(waits.where("n > 1").select(*ID), ID, "left_semi")
+    ends = chains.select("conv_id", F.col("id").alias("d"), "up", "far")
+    many = written(many.join(ends, ["conv_id", "d"], "left").select(*ID, F.coalesce("up", "d").alias("up"), F.coalesce("far", F.lit(0).cast("long")).alias("far")), "chat-merges")
+    done, path = stored(nodes.join(waits.select(*ID), ID, "left_anti").withColumn("level", F.lit(0).cast("long")), "chat-levels")
+    paths, schema = [path], done.schema
+    while not many.isEmpty():
         ready = (
-            edges.join(done.select("conv_id", F.col("id").alias("d"), F.col("level").alias("l")), ["conv_id", "d"], "left")
+            many.join(done.select("conv_id", F.col("id").alias("up"), "level"), ["conv_id", "up"], "left")
             .groupBy(*ID)
-            .agg(F.count(F.when(F.col("l").isNull(), 1)).alias("open"), F.max("l").alias("l"))
+            .agg(F.count_if(F.col("level").isNull()).alias("open"), (F.max(F.col("level") + F.col("far")) + 1).alias("level"))
             .where("open = 0")
-            .select(*ID, (F.col("l") + 1).alias("level"))
+            .select(*ID, "level")
             .join(done, ID, "left_anti")
         )
-        ready = written(ready, "chat-levels")
-        if ready.isEmpty():
-            return nodes.join(done, ID, "left")
-        done = written(done.unionByName(ready), "chat-levels")
+        new, path = stored(ready, "chat-levels")
+        if new.isEmpty():
+            break
+        paths.append(path)
+        done = spark.read.schema(schema).parquet(*paths)
+    at_end = done.select("conv_id", F.col("id").alias("up"), F.col("level").alias("base"))
+    linked = chains.join(at_end, ["conv_id", "up"]).select(*ID, (F.col("base") + F.col("far")).cast("int").alias("level"))
+    return nodes.join(done.select(*ID, F.col("level").cast("int").alias("level")).unionByName(linked), ID, "left")
 
 
 def formatted(
@@ -205,3 +238,39 @@ def formatted(
         F.to_json(F.struct(F.col("text").alias("content"), F.lit("message").alias("kind"), F.col("role"))).alias("json"),
     )
     return asked.unionByName(answered).unionByName(rest)
+
+
+#: Schemas of the calls of ``with_tools``.
+TOOLS: dict[str, dict[str, tuple[str, bool]]] = {**SCHEMAS, "lookup": {"n": ("integer", True), "q": ("string", True)}}
+
+
+def with_tools(conversations: DataFrame) -> DataFrame:
+    """``conversations`` (conv_id, turn, role, text) with tool calls, for a table that has none.
+
+    ``r``, which is 0 to 9 by conversation and turn, decides on each turn of an assistant.
+    Below 3 it stays as it is; else its text gets a call of ``lookup``, most of them with a
+    dependency on the call two turns before, and a tool answers in the same turn.  3 repeats
+    an identifier, 4 names an unknown tool that never answers, 5 to 7 have arguments that
+    break the schema, 6 is answered for another identifier and 7 not at all, 9 depends on
+    itself.
+    """
+    rows = conversations.select("conv_id", "turn", "role", "text")
+    r = F.pmod(F.col("conv_id") * 31 + F.col("turn") * 7, F.lit(10))
+    asks = (F.lower("role") == "assistant") & (r >= 3)
+    name = lambda k: F.concat(F.lit("c"), (F.col("turn") - k).cast("string"))
+    own = F.when(r == 3, name(2)).otherwise(name(0))
+    query = F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 8)
+    n = F.col("turn")
+    arguments = (
+        F.when(r == 5, F.to_json(F.struct(F.lit("x").alias("n"))))
+        .when(r == 6, F.to_json(F.struct(F.lit(1).alias("z"), n.alias("n"), query.alias("q"))))
+        .when(r == 7, F.to_json(F.struct(n.alias("n"))))
+        .otherwise(F.to_json(F.struct(n.alias("n"), query.alias("q"))))
+    )
+    tool = F.when(r == 4, "nope").otherwise("lookup")
+    needs = F.when(r.between(4, 8), F.to_json(F.array(name(2)))).when(r == 9, F.to_json(F.array(name(0)))).otherwise("[]")
+    call = F.format_string('<tool_call>{"id":"%s","name":"%s","arguments":%s,"depends_on":%s}</tool_call>', own, tool, arguments, needs)
+    reply = F.format_string('<tool_result>{"id":"%s","content":"found %s"}</tool_result>', F.when(r == 6, "zz").otherwise(own), n)
+    asked = rows.withColumn("text", F.when(asks, F.concat(F.coalesce("text", F.lit("")), call)).otherwise(F.col("text")))
+    answers = rows.where(asks & ~r.isin(4, 7)).select("conv_id", "turn", F.lit("tool").alias("role"), reply.alias("text"))
+    return asked.unionByName(answers)

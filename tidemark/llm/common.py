@@ -46,12 +46,23 @@ def work_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage."""
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Writes ``df`` to a new folder of the shared one and reads it back; the folder's path too."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: cuts the lineage."""
+    return stored(df, label)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ``stored`` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -87,9 +98,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     ``root`` is the smallest node of the component; nodes without an edge are absent.
     Alternates large-star and small-star rounds, each a hash aggregate of one minimum
     per node and a join that AQE may split at a hot node; no group is ever collected.
-    Every round is written to the shared folder, so a lost executor costs one round.
+    Every round is written to the shared folder, so a lost executor costs one round; the
+    round before is deleted then.
     """
-    now = written(
+    now, path = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         label,
     )
@@ -108,7 +120,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             .union(low.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        now = written(small, label)
+        last = path
+        now, path = stored(small, label)
+        removed(now.sparkSession, last)
         seen = now.agg(
             F.count("*").alias("n"),
             F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"),

@@ -60,23 +60,29 @@ class Words:
         self.ids: dict[str, int] = {}
         self.table = np.zeros((4096, 4), np.uint64)
 
-    def add(self, word: str) -> None:
-        core = word.strip(EDGES)
+    def about(self, word: str) -> tuple[int, int, int, int]:
+        """Hash, kind, whether it ends a sentence, flags (1: unit, 2: no word) of a word."""
+        plain = word.isalpha()
+        core = word if plain else word.strip(EDGES)
         low = core.lower()
-        kind = NUM if NUMBER.match(core) else NAME if core[:1].isupper() else LITERAL
-        value = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
-        ends = word == LINE or word.rstrip("\"'”’»)")[-1:] in ENDS or not core
-        k = self.ids[word] = len(self.ids)
-        if k == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[k] = (value, kind, int(ends), (low in UNITS) + 2 * (not core))
+        kind = NAME if core[:1].isupper() else LITERAL
+        ends = 0
+        if not plain:
+            kind = NUM if NUMBER.match(core) else kind
+            ends = int(word == LINE or word.rstrip("\"'”’»)")[-1:] in ENDS or not core)
+        return xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")), kind, ends, (low in UNITS) + 2 * (not core)
 
     def look_up(self, words: list[str]) -> np.ndarray:
-        """Columns hash, kind, ends a sentence, flags (1: unit, 2: no word)."""
+        """A row of ``about`` for each word."""
         if len(self.ids) > CACHE:
             self.ids.clear()
-        for w in set(words).difference(self.ids):
-            self.add(w)
+        new = list(set(words).difference(self.ids))
+        if new:
+            n = len(self.ids)
+            self.ids.update(zip(new, range(n, n + len(new)), strict=True))
+            while n + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[n : n + len(new)] = np.array([self.about(w) for w in new], np.uint64)
         return self.table[np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))]
 
 
@@ -94,13 +100,25 @@ def template(text: str, known: Words) -> tuple[np.ndarray, np.ndarray]:
     return kind, value
 
 
-def mixed(token: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """Hashes of ``size`` tokens from each position in ``at``."""
-    h = np.full(len(at), seed, np.uint64)
-    for k in range(size):
-        h = (h ^ token[at + k]) * PRIME
-        h ^= h >> np.uint64(29)
-    return h
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes."""
+    h = a * PRIME + b
+    h ^= h >> np.uint64(32)
+    h *= PRIME
+    return h ^ (h >> np.uint64(29))
+
+
+def mixed(token: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of ``size`` tokens from each position on, from those of 1, 2, 4 .. tokens."""
+    n = len(token) - size + 1
+    h, part, done, width = np.full(n, size, np.uint64), token, 0, 1
+    while True:
+        if size & width:
+            h = joined(h, part[done : done + n])
+            done += width
+        if done == size:
+            return h
+        part, width = joined(part[:-width], part[width:]), 2 * width
 
 
 def windows(kind: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +130,10 @@ def windows(kind: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray,
     literal = np.concatenate(([0], np.cumsum(kind == LITERAL)))
     rich = literal[size:] - literal[:-size] >= LITERALS
     at, few = np.flatnonzero(rich), np.flatnonzero(~rich) if size >= LITERALS else np.zeros(0, np.int64)
-    h = np.concatenate((mixed(token, at, size, size), mixed(value, few, size, size + 1000)))
+    h = np.full(len(few), size + 1000, np.uint64)
+    for k in range(size):
+        h = joined(h, value[few + k])
+    h = np.concatenate((mixed(token, size)[at], h))
     return np.concatenate((at, few)), h, np.arange(len(h)) >= len(at)
 
 

@@ -128,10 +128,10 @@ def rates(table: DataFrame, names: list[str], targets: dict[str, float], budget:
     """The fitted rate as an expression of ``__p`` and ``__tokens``, and the last misfits.
 
     ``budget`` is the total of expected tokens, by default all that there are.  Targets are
-    scaled to one over the domains that are known; unknown domains are an error.
+    scaled to one; domains without a target get none, unknown domains are an error.
     """
-    if set(targets) - set(names) == set(targets):
-        raise ValueError("no target names a known domain")
+    if unknown := set(targets) - set(names):
+        raise ValueError(f"targets for unknown domains: {sorted(unknown)}")
     k = len(names)
     p = [F.get("__p", F.lit(j)) for j in range(k)]
     t = F.col("__tokens").cast("double")
@@ -168,24 +168,34 @@ def mix(
     budget: float | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, tokens, domain, posterior, rate): one row for each row of ``docs``.
+    """(id, keep, tokens, domain, posterior, rate, misfit): one row for each row of ``docs``.
 
     ``posterior`` maps domains to probabilities, ``domain`` is the likeliest (ties: the
     first by name), ``rate`` the expected number of times that the document is taken, zero
     or more.  Null and empty texts have no tokens and the prior as posterior; repeated rows
     are fitted one by one.  Without any label the rate is the same for all documents.
+    ``misfit`` is the largest share of all tokens by which a domain misses its target, the
+    same in all rows: targets that cannot be met show there.  ``targets`` for domains that
+    no label has are an error; of the default ones they are left out.  ``keep`` names more
+    columns of ``docs`` to pass through, other than those made here.
     """
     model = train(docs, domains, id_col, text_col) or {"all": [0.0] * (BUCKETS + 1)}
     names = sorted(model)
-    wanted = {d: w for d, w in (targets or TARGETS).items() if d in model} or {d: 1.0 for d in names}
-    table = written(membership(docs.select(id_col, text_col), model, text_col).select(id_col, "__tokens", "__p"), "posteriors")
-    rate, _ = rates(table, names, wanted, budget)
+    wanted = targets if targets and names != ["all"] else {d: w for d, w in TARGETS.items() if d in model} or {d: 1.0 for d in names}
+    kept = [c for c in keep if c not in (id_col, "tokens", "domain", "posterior", "rate", "misfit")]
+    own = docs.select(id_col, *{text_col: 0, **dict.fromkeys(kept)})
+    table = written(membership(own, model, text_col).select(id_col, *kept, "__tokens", "__p"), "posteriors")
+    rate, misfit = rates(table, names, wanted, budget)
+    total = table.agg(F.sum("__tokens")).first()[0] if budget is None else budget
     best = F.get(F.array(*[F.lit(d) for d in names]), (F.array_position("__p", F.array_max("__p")) - 1).cast("int"))
     return table.select(
         id_col,
+        *kept,
         F.col("__tokens").alias("tokens"),
         best.alias("domain"),
         F.map_from_arrays(F.array(*[F.lit(d) for d in names]), "__p").alias("posterior"),
         rate.alias("rate"),
+        F.lit(max(map(abs, misfit)) / total if total else 0.0).alias("misfit"),
     )

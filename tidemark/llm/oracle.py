@@ -13,22 +13,43 @@ FROM p LEFT JOIN f ON p.d = f.d
 """
 
 OP6 = r"""
-WITH c AS (SELECT DISTINCT conv_id, turn, lower(coalesce(role, '')) AS role, coalesce(text, '') AS text FROM conversations),
-calls AS (SELECT * FROM c WHERE role = 'user'),
-results AS (SELECT * FROM c WHERE role = 'assistant')
-SELECT c.conv_id, c.turn, 0 AS part, 'call' AS kind, 'turn:' || c.turn AS call_id,
-       CASE WHEN r.turn IS NULL THEN 'unanswered' ELSE 'answered' END AS status, 0 AS level, '' AS errors,
-       json_object('arguments', json_object('prompt', c.text), 'id', 'turn:' || c.turn, 'kind', 'call', 'name', 'reply')::VARCHAR AS json
-FROM calls c LEFT JOIN results r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1
+WITH RECURSIVE c AS (
+  SELECT DISTINCT conv_id, turn, lower(coalesce(role, '')) AS role, coalesce(text, '') AS text,
+         lower(coalesce(role, '')) = 'assistant' AND (conv_id * 31 + turn * 7) % 10 >= 3 AS asks, (conv_id * 31 + turn * 7) % 10 AS r
+  FROM conversations),
+a AS (
+  SELECT conv_id, turn, r, CASE r WHEN 3 THEN 'c' || (turn - 2) ELSE 'c' || turn END AS id,
+         CASE r WHEN 4 THEN 'nope' ELSE 'lookup' END AS name,
+         CASE r WHEN 5 THEN json_object('n', 'x')
+                WHEN 6 THEN json_object('n', turn, 'q', substr(md5(text), 1, 8), 'z', 1)
+                WHEN 7 THEN json_object('n', turn)
+                ELSE json_object('n', turn, 'q', substr(md5(text), 1, 8)) END AS args,
+         CASE r WHEN 4 THEN 'unknown tool' WHEN 5 THEN 'not integer: n; missing: q' WHEN 6 THEN 'unknown: z' WHEN 7 THEN 'missing: q' ELSE '' END AS errors,
+         CASE WHEN r BETWEEN 4 AND 8 THEN 'c' || (turn - 2) WHEN r = 9 THEN 'c' || turn END AS dep
+  FROM c WHERE asks),
+calls AS (
+  SELECT conv_id, turn, id, name, args, errors, dep FROM a
+  UNION ALL SELECT conv_id, turn, 'turn:' || turn, 'reply', json_object('prompt', text), '', NULL FROM c WHERE role = 'user'),
+results AS (
+  SELECT conv_id, turn, CASE r WHEN 6 THEN 'zz' ELSE id END AS id, 'found ' || turn AS content FROM a WHERE r NOT IN (4, 7)
+  UNION ALL SELECT conv_id, turn, 'turn:' || (turn - 1), text FROM c WHERE role = 'assistant' AND NOT asks),
+nodes AS (SELECT conv_id, id, min(turn) AS first FROM calls GROUP BY ALL),
+edges AS (SELECT DISTINCT k.conv_id, k.id, k.dep FROM calls k JOIN nodes n ON n.conv_id = k.conv_id AND n.id = k.dep),
+lv AS (
+  SELECT conv_id, id, 0 AS level FROM nodes ANTI JOIN edges USING (conv_id, id)
+  UNION ALL SELECT e.conv_id, e.id, lv.level + 1 FROM edges e JOIN lv ON lv.conv_id = e.conv_id AND lv.id = e.dep),
+answers AS (SELECT DISTINCT conv_id, id FROM results)
+SELECT k.conv_id, k.turn, 0 AS part, 'call' AS kind, k.id AS call_id,
+       CASE WHEN k.turn <> n.first THEN 'duplicate' WHEN w.id IS NULL THEN 'unanswered' ELSE 'answered' END AS status,
+       lv.level, k.errors, json_object('arguments', k.args, 'id', k.id, 'kind', 'call', 'name', k.name)::VARCHAR AS json
+FROM calls k JOIN nodes n USING (conv_id, id) LEFT JOIN lv USING (conv_id, id) LEFT JOIN answers w USING (conv_id, id)
 UNION ALL
-SELECT r.conv_id, r.turn, 0, 'result', 'turn:' || (r.turn - 1),
-       CASE WHEN c.turn IS NULL THEN 'orphan' ELSE 'linked' END, CASE WHEN c.turn IS NULL THEN NULL ELSE 1 END, '',
-       json_object('content', r.text, 'id', 'turn:' || (r.turn - 1), 'kind', 'result')::VARCHAR
-FROM results r LEFT JOIN calls c ON c.conv_id = r.conv_id AND c.turn = r.turn - 1
+SELECT r.conv_id, r.turn, 0, 'result', r.id, CASE WHEN n.id IS NULL THEN 'orphan' WHEN r.turn < n.first THEN 'early' ELSE 'linked' END,
+       lv.level + 1, '', json_object('content', r.content, 'id', r.id, 'kind', 'result')::VARCHAR
+FROM results r LEFT JOIN nodes n USING (conv_id, id) LEFT JOIN lv USING (conv_id, id)
 UNION ALL
-SELECT conv_id, turn, 0, 'message', NULL, NULL, NULL, '',
-       json_object('content', text, 'kind', 'message', 'role', role)::VARCHAR
-FROM c WHERE role NOT IN ('user', 'assistant')
+SELECT conv_id, turn, 0, 'message', NULL, NULL, NULL, '', json_object('content', text, 'kind', 'message', 'role', role)::VARCHAR
+FROM c WHERE role NOT IN ('user', 'assistant', 'tool') OR (asks AND regexp_matches(text, '\S'))
 """
 
 OP8 = r"""

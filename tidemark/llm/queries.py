@@ -45,7 +45,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.formatted(table(spark, sf_dir, "conversations"))
+    """The conversations with derived tool calls, linked, ordered, validated and serialised."""
+    return chat_format.formatted(chat_format.with_tools(table(spark, sf_dir, "conversations")), chat_format.TOOLS)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tagger = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, tagger).select("doc_id", "held_out", "score", "predicted")
+    return toxicity.score(docs, tagger)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

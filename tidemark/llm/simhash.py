@@ -8,7 +8,9 @@ way, and leaves compare exactly, so no pair within the radius is lost whatever t
 looks like.  A shard returns only a spanning star of what it linked.
 
 Scale: the tree's shape comes from a bounded sample (``SAMPLE`` fingerprints); shards are
-added once a shard would own more than ``SHARD_ROWS`` fingerprints.
+added once a shard would own more than ``SHARD_ROWS`` fingerprints.  Owners and visitors of
+a shard are counted first, and dealt to blocks and chunks of at most about ``GROUP_ROWS``
+each: a group of tasks' rows has one block and one chunk, whatever the skew.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KEY, components, row_key, text_or_empty, written
+from tidemark.llm.common import KEY, components, row_key, text_or_empty, words_of, written
 
 #: Fingerprints that shape the sharding tree (a bound, not a filter: all are sharded).
 SAMPLE = 4096
@@ -31,6 +33,8 @@ DEPTH = 6
 SHARD_ROWS = 1_000_000
 LEAF = 192
 BLOCK = 4096
+#: Rows of a shard's owners, and of its visitors, that meet in one group at most, about.
+GROUP_ROWS = 1_000_000
 
 
 def simhash(text: str, shingle: int = 4) -> int:
@@ -116,12 +120,12 @@ class Links:
                 label[:] = up
 
 
-def link_shard(points: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (point, smallest linked point) between home points and all points."""
+def link_shard(points: np.ndarray, home: np.ndarray, asks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (point, smallest linked point) between the home points and those that ask."""
     order = np.argsort(points, kind="stable")
-    points, home = points[order], home[order]
+    points, home, asks = points[order], home[order], asks[order]
     links = Links(len(points))
-    stack = [(np.flatnonzero(home), np.arange(len(points)), 0)]
+    stack = [(np.flatnonzero(home), np.flatnonzero(asks), 0)]
     while stack:
         own, ask, level = stack.pop()
         if not len(own) or not len(ask):
@@ -146,6 +150,29 @@ def link_shard(points: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.nd
     return points[child], points[links.label[child]]
 
 
+def grouped(dealt: DataFrame, key: str, rows: int) -> DataFrame:
+    """``dealt`` (shard, home, ..) with ``block``, ``chunk`` and ``asks``: groups of bounded size.
+
+    The home rows of a shard are dealt to blocks by a hash of ``key``, all its rows to
+    chunks; each block meets each chunk once.  ``asks`` is false for the home rows of
+    another chunk.
+    """
+    sizes = dealt.groupBy("shard").agg(F.count_if("home").alias("own"), F.count("*").alias("all")).collect()  # a row a shard
+    many = {r["shard"]: (-(-r["own"] // rows) or 1, -(-r["all"] // rows)) for r in sizes if r["all"] > rows}
+    if not many:
+        return dealt.withColumns({"block": F.lit(0), "chunk": F.lit(0), "asks": F.lit(True)})
+    of = lambda j: F.coalesce(F.get(F.create_map(*[F.lit(x) for s, n in many.items() for x in (s, n[j])]), F.col("shard")), F.lit(1))
+    cell = F.xxhash64(F.lit(11), key)
+    block, chunk = F.pmod(cell, of(0)).cast("int"), F.pmod(cell, of(1)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    as_home = dealt.where("home").withColumns({"block": block, "own": chunk}).withColumn("chunk", F.explode(every(of(1))))
+    as_home = as_home.withColumn("asks", F.col("chunk") == F.col("own")).drop("own")
+    # a home row also asks the other blocks of its shard
+    visits = dealt.withColumns({"chunk": chunk, "own": F.when(F.col("home"), block)}).withColumn("block", F.explode(every(of(0))))
+    visits = visits.where("own is null or own <> block").withColumns({"home": F.lit(False), "asks": F.lit(True)}).drop("own")
+    return as_home.unionByName(visits)
+
+
 def link(prints: DataFrame, radius: int = 4) -> DataFrame:
     """Components (node, root) of the distinct fingerprints ``prints`` (fp) within ``radius``.
 
@@ -170,13 +197,13 @@ def link(prints: DataFrame, radius: int = 4) -> DataFrame:
                     {"shard": np.int32(shard), "fp": points[own].view(np.int64), "home": at[own] == shard}
                 )
 
-    def join(shard: pd.DataFrame) -> pd.DataFrame:
-        points = shard["fp"].to_numpy(np.int64).view(np.uint64)
-        a, b = link_shard(points, shard["home"].to_numpy(bool), radius)
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        points = group["fp"].to_numpy(np.int64).view(np.uint64)
+        a, b = link_shard(points, group["home"].to_numpy(bool), group["asks"].to_numpy(bool), radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     dealt = prints.select("fp").mapInPandas(deal, "shard int, fp long, home boolean")
-    edges = dealt.groupBy("shard").applyInPandas(join, "a long, b long")
+    edges = grouped(dealt, "fp", GROUP_ROWS).groupBy("shard", "block", "chunk").applyInPandas(join, "a long, b long")
     return components(edges, "simhash")
 
 
@@ -237,26 +264,57 @@ def bits_at(similarity: float, bits: int, slack: float = 0.0) -> int:
     return round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def link_similar(prints: np.ndarray, sizes: np.ndarray, home: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (index, index) of a shard whose prints are estimated as similar.
+def hook(links: Links, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links the pairs, and gives those that joined two groups: never more than there are points."""
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:
+        la, lb = links.label[a], links.label[b]
+        apart = la != lb
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        if not len(a):
+            return tuple(np.concatenate([k[j] for k in kept]) if kept else np.zeros(0, np.int64) for j in (0, 1))
+        # the first pair of each larger group hooks it to a smaller one
+        _, first = np.unique(np.maximum(la, lb), return_index=True)
+        kept.append((a[first], b[first]))
+        links.add(a[first], b[first])
+
+
+def link_similar(prints: np.ndarray, sizes: np.ndarray, home: np.ndarray, asks: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (index, index) of a group that may be similar: a forest, likely pairs first.
 
     The points are ordered by size: the distance ``|log a - log b|`` to an empty text is
     the first level of the tree, and only its ring around a block can hold neighbours.
-    Pairs that are linked already are not compared in full.
+    Pairs that their fingerprints make sure are hooked at once; those within three standard
+    deviations of ``similarity`` later, by distance, where their groups are still apart.
     """
     order = np.argsort(sizes, kind="stable")
-    prints, sizes, home = prints[order], sizes[order], home[order]
-    near = bits_at(similarity, 64 * WORDS, 1.0)
-    sift = bits_at(similarity, 64 * SIFT_WORDS, 2.5)
+    prints, sizes, home, asks = prints[order], sizes[order], home[order], asks[order]
+    sure, near = (bits_at(similarity, 64 * WORDS, x) for x in (-3.0, 3.0))
+    sift = bits_at(similarity, 64 * SIFT_WORDS, 3.0)
     links = Links(len(sizes))
-    own = np.flatnonzero(home)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    maybe: list[np.ndarray] = []
+    held = 0
+
+    def closest(rows: list[np.ndarray]) -> np.ndarray:
+        """Of pairs (distance, a, b) between two groups the closest one, by distance."""
+        all_rows = np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
+        la, lb = links.label[all_rows[:, 1]], links.label[all_rows[:, 2]]
+        all_rows, la, lb = all_rows[la != lb], la[la != lb], lb[la != lb]
+        best = np.lexsort((all_rows[:, 0], np.maximum(la, lb), np.minimum(la, lb)))
+        all_rows, la, lb = all_rows[best], np.minimum(la, lb)[best], np.maximum(la, lb)[best]
+        new = np.append(True, (la[1:] != la[:-1]) | (lb[1:] != lb[:-1]))[: len(la)]
+        return all_rows[new][np.argsort(all_rows[new][:, 0], kind="stable")]
+
+    own, ask_all = np.flatnonzero(home), np.flatnonzero(asks)
+    ask_sizes = sizes[ask_all]
     for j in range(0, len(own), LEAF):
         block = own[j : j + LEAF]
-        lo = np.searchsorted(sizes, math.floor(sizes[block[0]] * similarity), "left")
-        hi = np.searchsorted(sizes, math.ceil(sizes[block[-1]] / similarity), "right")
+        lo = np.searchsorted(ask_sizes, math.floor(sizes[block[0]] * similarity), "left")
+        hi = np.searchsorted(ask_sizes, math.ceil(sizes[block[-1]] / similarity), "right")
         part = [np.ascontiguousarray(prints[block, k]) for k in range(SIFT_WORDS)]
         for k in range(lo, hi, BLOCK):
-            ask = np.arange(k, min(hi, k + BLOCK))
+            ask = ask_all[k : min(hi, k + BLOCK)]
             d = np.bitwise_count(prints[ask, 0][:, None] ^ part[0])
             for w in range(1, SIFT_WORDS):
                 d = d + np.bitwise_count(prints[ask, w][:, None] ^ part[w])
@@ -268,10 +326,21 @@ def link_similar(prints: np.ndarray, sizes: np.ndarray, home: np.ndarray, simila
                 # in slices: what the first ones link needs no comparison later
                 x, y, a, b = a[:20_000], b[:20_000], a[20_000:], b[20_000:]
                 ratio = np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y])
-                full = np.bitwise_count(prints[x] ^ prints[y]).sum(1, dtype=np.int64) <= near
-                links.add(x[ratio & full], y[ratio & full])
-    child = np.flatnonzero(links.label != np.arange(len(sizes)))
-    return order[child], order[links.label[child]]
+                x, y = x[ratio], y[ratio]
+                far = np.bitwise_count(prints[x] ^ prints[y]).sum(1, dtype=np.int64)
+                found.append(hook(links, x[far <= sure], y[far <= sure]))
+                some = (far > sure) & (far <= near)
+                maybe.append(np.column_stack((far[some], x[some], y[some])))
+                held += int(some.sum())
+                if held > 1_000_000:
+                    maybe = [closest(maybe)]
+                    held = -len(maybe[0])
+    for k in range(sure + 1, near + 1):
+        rest = closest(maybe) if k == sure + 1 else rest
+        at = rest[rest[:, 0] == k]
+        found.append(hook(links, at[:, 1], at[:, 2]))
+    a, b = (np.concatenate([f[j] for f in found]).astype(np.int64) for j in (0, 1)) if found else (np.zeros(0, np.int64),) * 2
+    return order[a], order[b]
 
 
 #: Points that a size shard owns, at most about; more shards cost more visits.
@@ -279,15 +348,46 @@ OWN = 150_000
 LEAST_SHARDS = 24
 
 
+def shingles(text: str, shingle: int) -> tuple[Column, Column]:
+    """The words ``__w`` of a text column, and from them its distinct hashed shingles.
+
+    Fewer words than a shingle are one shingle, no words are none.
+    """
+    words = words_of(F.lower(text))
+    at = F.sequence(F.lit(0), F.size("__w") - shingle)
+    many = F.transform(at, lambda k: F.xxhash64(*[F.get("__w", k + j) for j in range(shingle)]))
+    return words, F.when(F.size("__w") > shingle, F.array_distinct(many)).when(F.size("__w") > 0, F.array(F.xxhash64("__w"))).otherwise(F.array().cast("array<long>"))
+
+
+def verified(edges: DataFrame, docs: DataFrame, key: list, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The ``edges`` (a, b) of keys whose texts have the Jaccard similarity, by their shingles."""
+    names = [f"{side}.{c}" for side in ("a", "b") for c in KEY]
+    edges = edges.select(*[F.col(n).alias(n.replace(".", "")) for n in names])
+    asked = edges.select(*[F.col(f"a{c}").alias(f"q{c}") for c in KEY]).union(edges.select(*[f"b{c}" for c in KEY])).distinct()
+    words, sets = shingles("__t", shingle)
+    own = docs.select(*key, text_or_empty(text_col).alias("__t")).join(asked, [F.col(c) == F.col(f"q{c}") for c in KEY], "left_semi")
+    # rows that share a key share the text
+    own = written(own.dropDuplicates(KEY).withColumn("__w", words).select(*KEY, sets.alias("s")), "shingles")
+    for side in ("a", "b"):
+        mine = own.select(*[F.col(c).alias(f"m{c}") for c in KEY], F.col("s").alias(f"s{side}"))
+        edges = edges.join(mine, [F.col(f"{side}{c}") == F.col(f"m{c}") for c in KEY]).drop(*[f"m{c}" for c in KEY])
+    both = F.size(F.array_intersect("sa", "sb"))
+    kept = edges.where(both >= similarity * (F.size("sa") + F.size("sb") - both))
+    return kept.select(*[F.col(f"{side}{c}") for side in ("a", "b") for c in KEY])
+
+
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, h1, h2, group): the group of each document, by estimated shingle similarity.
+    """(id, h1, h2, group): the group of each document, by shingle similarity.
 
     Fingerprints of a similarity of 0.8 differ in 15 bits of 100, and random ones in 50, so
     a tree of Hamming balls cannot prune here.  The vantage point is therefore the empty
     text: shards are rings of sizes (numbers of distinct shingles), and a point also visits
     the shards of smaller sizes that its search ball, sizes down to ``similarity`` times its
     own, overlaps.  Texts with equal prints and sizes are one point.  Inside its ring every
-    pair is compared: the work grows with the square of the points, in numpy.
+    pair is compared: the work grows with the square of the points, in numpy, in groups of
+    at most about ``OWN`` points.  Each group gives a forest of pairs that may be similar, no
+    more than it has points; they are verified by the shingles themselves, so that every
+    link is one of two texts with the similarity.
     """
     key = row_key(id_col, text_col)
 
@@ -298,7 +398,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5
     made = docs.select(*key, text_or_empty(text_col).alias("t")).withColumn("x", fp("t"))
     prints = written(made.select(*KEY, "x.fp", "x.n").distinct(), "long-prints")
     points = written(
-        prints.groupBy("fp", "n").agg(F.min(F.struct(*KEY)).alias("k")).select("fp", "n", F.xxhash64("fp", "n").alias("p")), "points"
+        prints.groupBy("fp", "n").agg(F.min(F.struct(*KEY)).alias("k")).select("fp", "n", "k", F.xxhash64("fp", "n").alias("p")), "points"
     )
     count = points.count()
     shards = max(LEAST_SHARDS, -(-count // OWN))
@@ -314,14 +414,24 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5
                 own = at - back >= low
                 yield batch[own].assign(shard=(at - back)[own].astype(np.int32), home=back == 0)
 
-    def join(shard: pd.DataFrame) -> pd.DataFrame:
-        fps = np.frombuffer(b"".join(shard["fp"]), "<u8").reshape(-1, WORDS)
-        a, b = link_similar(fps, shard["n"].to_numpy(), shard["home"].to_numpy(bool), similarity)
-        p = shard["p"].to_numpy()
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        fps = np.frombuffer(b"".join(group["fp"]), "<u8").reshape(-1, WORDS)
+        a, b = link_similar(fps, group["n"].to_numpy(), group["home"].to_numpy(bool), group["asks"].to_numpy(bool), similarity)
+        p = group["p"].to_numpy()
         return pd.DataFrame({"a": p[a], "b": p[b]})
 
-    dealt = points.mapInPandas(deal, "fp binary, n long, p long, shard int, home boolean")
-    roots = components(dealt.groupBy("shard").applyInPandas(join, "a long, b long"), "similar")
+    dealt = points.select("fp", "n", "p").mapInPandas(deal, "fp binary, n long, p long, shard int, home boolean")
+    pairs = written(grouped(dealt, "p", OWN).groupBy("shard", "block", "chunk").applyInPandas(join, "a long, b long"), "similar-pairs")
+    named = points.select(F.col("p").alias("x"), "k")
+    for side in ("a", "b"):
+        pairs = pairs.join(named.withColumnRenamed("k", f"k{side}"), F.col(side) == F.col("x")).drop("x")
+    sure = verified(pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b")), docs, key, text_col, shingle, similarity)
+    ends = [F.struct(*[F.col(f"{side}{c}").alias(c) for c in KEY]) for side in ("a", "b")]
+    back = points.select(F.col("k").alias("x"), "p")
+    linked = sure.select(ends[0].alias("ka"), ends[1].alias("kb"))
+    for side in ("a", "b"):
+        linked = linked.join(back.withColumnRenamed("p", side), F.col(f"k{side}") == F.col("x")).drop("x")
+    roots = components(linked.select("a", "b"), "similar")
     return (
         prints.withColumn("p", F.xxhash64("fp", "n"))
         .join(roots.withColumnRenamed("node", "p"), "p", "left")

@@ -10,7 +10,7 @@ labelled toxic when its word, or one of its prefixes, is markedly more frequent
 documents than in clean ones; every other token counts as labelled clean.
 
 The CRF is fitted on a bounded sample, at most ``TRAIN_CLEAN`` and ``TRAIN_TOXIC``
-documents drawn by a hash of the id, near copies of each other thinned out.  The class balance is counted over
+documents of at most ``TRAIN_CHARS`` characters drawn by a hash of the id, near copies of each other thinned out.  The class balance is counted over
 all labels, and every document is scored over its whole text.
 """
 
@@ -32,6 +32,8 @@ from tidemark.llm.common import text_or_empty, words_of
 
 #: Bounds of the training sample: documents of each class.
 TRAIN_CLEAN, TRAIN_TOXIC = 3000, 1000
+#: Longer texts are scored like any other, but not drawn for the training sample.
+TRAIN_CHARS = 200_000
 BITS = 18
 PREFIXES = range(4, 9)
 ROUNDS = 30
@@ -45,8 +47,14 @@ WORD = re.compile(r"[^\W\d_]+")
 RESULT = "score double, predicted int, spans array<struct<start:int,end:int,p:double>>"
 
 
+def lowered(text: str) -> str:
+    """Lower case of the same length, so that offsets hold: letters that grow stay as they are."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def lines_of_words(text: str) -> list[list[str]]:
-    return [WORD.findall(line) for line in text.lower().split("\n")]
+    return [WORD.findall(line) for line in lowered(text).split("\n")]
 
 
 def features(word: str) -> list[str]:
@@ -257,6 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pairs = F.transform(F.sequence(F.lit(1), F.size("__w") - 1), lambda i: F.xxhash64(F.get("__w", i - 1), F.get("__w", i)))
     sample = (
         docs.select(F.col(id_col).alias("__i"), text_or_empty(text_col).alias("__t"))
+        .where(F.length("__t") <= TRAIN_CHARS)
         .join(F.broadcast(drawn[0].union(drawn[1])), "__i")
         .withColumn("__w", words)
         # near copies mostly agree in their smallest word pair: one of them is enough
@@ -265,8 +274,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .agg(F.min(F.struct(F.xxhash64("__i").alias("k"), F.col("__t").alias("t"))).alias("d"))
         .select("__y", "d.k", "d.t")
     )
-    rows = sample.toPandas().sort_values(["k", "t"], kind="stable")
-    rows = pd.concat([rows[rows["__y"] == y].head(most[y]) for y in (0, 1)])
+    # an id may have any number of texts: the bound holds for rows
+    rows = pd.concat([sample.where(F.col("__y") == y).orderBy("k", "t").limit(most[y]).toPandas() for y in (0, 1)])
     return fit(rows["t"].tolist(), rows["__y"].tolist(), ones / n if n else 0.0)
 
 
@@ -323,9 +332,7 @@ def verdicts(text: Column, tagger: Tagger) -> Column:
                 hot[docs[p >= 0.5]] = True
                 for j, t in enumerate(own):
                     part = p[ends[j - 1] if j else 0 : ends[j]]
-                    # lower-casing can change a text's length, never its words' order
-                    same = hot[j] and len(WORD.findall(t)) == len(part)
-                    out.append((float(score[j]), int(score[j] >= 0.5), spans(t, part) if same else []))
+                    out.append((float(score[j]), int(score[j] >= 0.5), spans(lowered(t), part) if hot[j] else []))
             yield pd.DataFrame(out, columns=["score", "predicted", "spans"])
 
     return tag(F.coalesce(text.cast("string"), F.lit("")))

@@ -8,8 +8,9 @@ logistic regression over hashed word, word-shape and repetition features is trai
 whole text of every document.
 
 Scale: votes take one scan; only counts of vote patterns reach the driver, at most
-3 ** labellers of them whatever the input.  Training reads at most ``TRAIN_DOCS``
-documents for each side, drawn by a hash of the id.  Scoring is one scan.
+3 ** labellers of them whatever the input.  Training takes at most ``TRAIN_DOCS``
+documents for each side, drawn by a hash of id and text; their features are made in tasks,
+so the driver gets at most 2 ** ``BITS`` numbers for each.  Scoring is one scan.
 """
 
 from __future__ import annotations
@@ -170,10 +171,11 @@ def counts(text: str, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarr
     return np.append(slot, STUTTER), np.append(value, stutter(words))
 
 
-def fit_scorer(texts: list[str], target: list[float]) -> np.ndarray:
-    """Weights, the last one the bias: logistic regression on soft targets by Adam."""
-    known: dict[str, list[int]] = {}
-    rows = [counts(t, known) for t in texts]
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: list[float]) -> np.ndarray:
+    """Weights, the last one the bias: logistic regression on soft targets by Adam.
+
+    ``rows`` has the (slots, values) of each text.
+    """
     size = 1 << BITS
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     if not rows:
@@ -194,11 +196,26 @@ def fit_scorer(texts: list[str], target: list[float]) -> np.ndarray:
 
 
 def vote_column(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, votes): the votes on each row's whole text, and the text's hash."""
+
     @F.pandas_udf("string")
     def vote(texts: pd.Series) -> pd.Series:
         return texts.map(votes)
 
-    return docs.select(F.col(id_col).alias(id_col), vote(text_or_empty(text_col)).alias("votes"))
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).alias(id_col), F.xxhash64(text).alias("h"), vote(text).alias("votes"))
+
+
+def feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(i, h, votes, slots, values) of (i, h, votes, t), the values of equal slots added up."""
+    known: dict[str, list[int]] = {}
+    for batch in batches:
+        made = []
+        for text in batch["t"]:
+            slot, value = counts(text, known)
+            own, at = np.unique(slot, return_inverse=True)
+            made.append((own.astype(np.int32), np.bincount(at, value, len(own))))
+        yield batch.drop(columns="t").assign(slots=[m[0] for m in made], values=[m[1] for m in made])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[VoteModel, np.ndarray, DataFrame]:
@@ -210,16 +227,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     is_good = F.col("votes").isin(good)
     drawn = [
         voted.where(c & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("__i"), "votes")
-        .orderBy(F.xxhash64("__i"), "__i", "votes")
+        .select(F.col(id_col).cast("long").alias("i"), "h", "votes")
+        .distinct()
+        .orderBy(F.xxhash64("i", "h"), "i", "h")
         .limit(TRAIN_DOCS)
         for c in (is_good, ~is_good)
     ]
-    sample = docs.select(F.col(id_col).alias("__i"), text_or_empty(text_col).alias("t")).join(
-        F.broadcast(drawn[0].union(drawn[1]).groupBy("__i").agg(F.min("votes").alias("votes"))), "__i"
-    )
-    rows = sample.toPandas().sort_values(["__i", "t"], kind="stable")
-    weights = fit_scorer(rows["t"].tolist(), [model.posterior(p) for p in rows["votes"]])
+    text = text_or_empty(text_col)
+    own = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("h"), text.alias("t"))
+    sample = own.join(F.broadcast(drawn[0].union(drawn[1])), ["i", "h"]).select("i", "h", "votes", "t")
+    made = sample.mapInPandas(feature_rows, "i long, h long, votes string, slots array<int>, values array<double>")
+    rows = made.dropDuplicates(["i", "h"]).toPandas().sort_values(["i", "h"], kind="stable")  # at most 2 * TRAIN_DOCS
+    features = [(np.asarray(s, np.int64), np.asarray(v, float)) for s, v in zip(rows["slots"], rows["values"], strict=True)]
+    weights = fit_scorer(features, [model.posterior(p) for p in rows["votes"]])
     return model, weights.astype(np.float32), voted
 
 
