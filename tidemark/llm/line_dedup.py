@@ -30,13 +30,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_key, text_or_empty, words_of, written
+from tidemark.llm.common import row_key, text_or_empty, written
 
 MIN_WORDS = 10
 #: What separates pieces: white space behind a sentence end, or a line end.
 BREAK = r"([.!?;:][^\x20\x09-\x0D\p{L}\p{N}]{0,3})([ \t]+)|(\n)"
 #: Marks cuts for a moment; where a text holds it, its md5 is added to tell them apart.
 CUT = "\ue000"
+#: A word, as in ``common.WORD_BREAK``.
+WORD = r"[^\x20\x09-\x0D]+"
 #: One row in so many is looked at to find hot values.
 SAMPLE = 16
 #: Bound of the number of hot values, and the rows of the sample that make a value hot at least.
@@ -63,11 +65,11 @@ def hashed(text: Column) -> Column:
 
 
 def length(k: Column, min_words: int) -> Column:
-    """Pieces of the window that starts at piece k of ``x``; null where the text has too few words."""
-    words = F.get("x", k)["w"]
+    """Pieces of the window that starts at piece k; null where the text has too few words."""
+    words = F.get("w", k)
     found = F.when(words >= min_words, 1)
     for j in range(1, min_words):
-        words = words + F.get("x", k + j)["w"]
+        words = words + F.get("w", k + j)
         found = found.when(words >= min_words, j + 1)
     return found
 
@@ -100,13 +102,13 @@ def prints(cut: DataFrame, min_words: int) -> DataFrame:
 
     def row(n: Column, k: Column) -> Column:
         # only the last piece of a shortest window can be long
-        alone, short = n == 1, F.get("w", k + n - 1) < min_words
-        return F.when(
-            alone | short,
-            F.struct(packed(2 * k + F.when(alone, 0).otherwise(1)).alias("p"), F.when(alone, F.get("h", k)).otherwise(together(k, n)).alias("v")),
-        )
+        return (
+            F.when(n == 1, F.struct(packed(2 * k).alias("p"), F.get("h", k).alias("v")))
+            .when(F.get("w", k + n - 1) < min_words, F.struct(packed(2 * k + 1).alias("p"), together(k, n).alias("v")))
+        )
 
-    return cut.select("id", F.explode(F.array_compact(F.transform("n", row))).alias("r")).select("id", "r.*")
+    ahead = cut.withColumn("n", F.transform("w", lambda w, k: F.when(w >= min_words, 1).otherwise(length(k, min_words))))
+    return ahead.select("id", F.explode(F.array_compact(F.transform("n", row))).alias("r")).select("id", "r.*")
 
 
 def often(drawn: DataFrame) -> DataFrame:
@@ -138,9 +140,12 @@ def windows(met: DataFrame, min_words: int) -> DataFrame:
     def each(count: Column, of) -> Column:  # noqa: ANN001
         return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), of)).otherwise(none)
 
-    def around(f: Column) -> Column:
+    def own(f: Column) -> Column:
         k, alone = F.shiftright(f, 1), f % 2 == 0
-        n = F.when(alone, 1).otherwise(F.get("n", k))
+        return F.struct(k.alias("k"), alone.alias("alone"), F.when(alone, 1).otherwise(length(k, min_words)).alias("n"))
+
+    def around(f: Column) -> Column:
+        k, alone, n = f["k"], f["alone"], f["n"]
         window = lambda k, n: F.struct(k.alias("k"), n.cast("int").alias("n"))
         rest = F.when(alone, 0).otherwise(F.aggregate(F.slice("w", k + 2, n - 1), F.lit(0), lambda a, w: a + w))
         before = F.when(alone, each(reach(k - 1, -1, F.lit(0), min_words), lambda d: window(k - d, d + 1))).otherwise(none)
@@ -153,7 +158,7 @@ def windows(met: DataFrame, min_words: int) -> DataFrame:
         end = F.coalesce(F.get("i", k + n) - 1, F.get("i", k + n - 1))
         return F.struct(packed(F.get("i", k)).alias("p"), together(k, n).alias("v"), end.alias("e"))
 
-    found = met.withColumn("ws", F.flatten(F.transform("at", around)))
+    found = met.withColumn("ws", F.flatten(F.transform(F.transform("at", own), around)))
     return found.select("id", F.explode(F.transform("ws", row)).alias("r")).select("id", "r.*")
 
 
@@ -172,9 +177,7 @@ def runs(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS
     key, first, _ = row_key(id_col, text_col)
     text_hash = F.shiftright(F.shiftleft(first, 32), 32).cast("int")
     made = docs.select(key.alias("id"), text_hash.alias("t"), hashed(text_or_empty(text_col)).alias("x"))
-    # from x itself: a field of it would be made anew for each piece
-    made = made.withColumn("n", F.transform("x", lambda v, k: length(k, min_words)))
-    cut = written(made.select("id", "t", "n", *[F.col(f"x.{c}").alias(c) for c in "ihw"]), "line-pieces")
+    cut = written(made.select("id", "t", *[F.col(f"x.{c}").alias(c) for c in "ihw"]), "line-pieces")
     one_in = lambda *key: F.pmod(F.xxhash64(*key), F.lit(SAMPLE)) == 0
     seen = again(prints(cut, min_words), often(prints(cut.where(one_in("id", "t")), min_words))).withColumnsRenamed({"id": "ci", "t": "ct"})
     met = cut.join(seen, (F.col("id") == F.col("ci")) & (F.col("t") == F.col("ct"))).drop("ci", "ct")
@@ -217,7 +220,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     parts = F.arrays_zip(pieces(text_or_empty(text_col)).alias("p"), flags.alias("cut"))
     gone = lambda x: F.coalesce(x["cut"], F.lit(False))
     rest = F.array_join(F.transform(F.filter("__parts", lambda x: ~gone(x)), lambda x: x["p"]), "")
-    words = F.size(words_of(F.array_join(F.transform(F.filter("__parts", gone), lambda x: x["p"]), "")))
+    words = F.regexp_count(F.array_join(F.transform(F.filter("__parts", gone), lambda x: x["p"]), ""), F.lit(WORD))
     return (
         joined.withColumn("__parts", F.when(F.col("__runs").isNotNull(), parts))
         .withColumn(text_col, F.when(F.col("__parts").isNotNull(), rest).otherwise(F.col(text_col)))
