@@ -20,8 +20,8 @@ def mulberry32(seed: int):  # noqa: ANN201
     a = seed & M32
     while True:
         a = (a + 0x6D2B79F5) & M32
-        t = ((a ^ (a >> 15)) * (1 | a)) & M32
-        t = (t + (((t ^ (t >> 7)) * (61 | t)) & M32) & M32) ^ t
+        t = ((a ^ (a >> 15)) * (a | 1)) & M32
+        t ^= (t + (((t ^ (t >> 7)) * (t | 61)) & M32)) & M32
         yield ((t ^ (t >> 14)) & M32) / 4294967296
 
 

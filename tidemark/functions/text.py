@@ -22,8 +22,6 @@ MARKERS = {
 }
 #: An edge of a word of ASCII letters, digits and underscores.
 EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-#: Company suffixes.
-LEGAL = r"(?iu)[,\s]+(gmbh & co\. kg|gmbh|mbh|ag|se|kg|inc\.?|ltd\.?|limited|llc|corp\.?|b\.?v\.?|n\.?v\.?|s\.?a\.?|sarl|sas|plc)\s*$"
 
 
 def js_trim(c: Column) -> Column:
@@ -33,8 +31,8 @@ def js_trim(c: Column) -> Column:
 
 def fingerprint(title: Column, company: Column, description: Column) -> Column:
     """md5 of title, company and the first 500 characters of the description."""
-    part = lambda c: F.lower(js_trim(F.coalesce(c, F.lit(""))))
-    return F.md5(F.concat_ws("|", part(title), part(company), part(F.substring(F.coalesce(description, F.lit("")), 1, 500))))
+    part = lambda c: js_trim(F.lower(F.coalesce(c, F.lit(""))))
+    return F.md5(F.concat_ws("|", part(title), part(company), F.left(part(description), F.lit(500))))
 
 
 def preview(html: Column, length: int = 200) -> Column:
@@ -43,11 +41,6 @@ def preview(html: Column, length: int = 200) -> Column:
     return F.when(F.length(bare) > length, F.concat(F.substring(bare, 1, length), F.lit("..."))).otherwise(bare)
 
 
-def company_name(name: Column) -> Column:
-    """Lower case without legal suffix."""
-    return js_trim(F.lower(F.regexp_replace(js_trim(F.coalesce(name, F.lit(""))), LEGAL, "")))
-
-
 def marker_language(text: Column, density: float = 0.15, head: int = 600) -> Column:
     """The first language whose markers are more than ``density`` of the words of the
     text's head; null for short texts (100 characters, 20 words) and for others."""
@@ -64,12 +57,6 @@ def marker_language(text: Column, density: float = 0.15, head: int = 600) -> Col
     return F.coalesce(*[F.when(long & (hits(ms) / words > density), F.lit(lang)) for lang, ms in MARKERS.items()])
 
 
-def site_of(url: Column) -> Column:
-    """The site of a URL: its host without www and blog or m sub-domains, two labels at least."""
-    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-z]+://([^/?#:]+)", 1))
-    return F.nullif(F.regexp_replace(host, r"^(?:(?:www|blog|m)\.)+(?=[^.]+\.[^.]+)", ""), F.lit(""))
-
-
 def experience_of(title: Column) -> Column:
     """Level named by a title, the first rule that fits; Mid without any."""
     # Words of each level, in the order in which levels are tried

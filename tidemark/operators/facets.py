@@ -41,6 +41,50 @@ def facet(column: str, values: list[str]) -> Column:
     return F.col(column).isin(values) if values else F.lit(False)
 
 
+def country(column: str, values: list[str]) -> Column:
+    """Any of the countries, whatever the case and outer spaces."""
+    return facet_of(F.upper(F.trim(F.col(column))), [v.strip().upper() for v in values])
+
+
+def facet_of(value: Column, values: list[str]) -> Column:
+    return value.isin(values) if values else F.lit(False)
+
+
+def facet_or_all(column: str, values: list[str], known: list[str]) -> Column:
+    """The known ones of the values; with none left, everything."""
+    own = [v for v in values if v in known]
+    return F.col(column).isin(own) if own else F.lit(True)
+
+
+def offers(*columns: str) -> Column:
+    """All of the offers are available."""
+    found = F.lit(True)
+    for c in columns:
+        found &= F.coalesce(F.col(c) == "available", F.lit(False))
+    return found
+
+
+def has_salary(tier: str) -> Column:
+    return F.coalesce(F.col(tier), F.lit("")) != ""
+
+
+def allowed(filters: QueryFilters, premium: bool, reserved: tuple[str, ...]) -> tuple[QueryFilters, list[str]]:
+    """What of the filters a caller may use, and the names of those left out; premium callers may use all."""
+    if premium:
+        return filters, []
+    gone = [c for c in filters.facets if c in reserved]
+    salary = "salary" in reserved and (filters.salary_min is not None or filters.salary_max is not None)
+    kept = {c: v for c, v in filters.facets.items() if c not in gone}
+    own = (None, None) if salary else (filters.salary_min, filters.salary_max)
+    return QueryFilters(kept, *own, filters.search, filters.window), gone + ["salary"] * salary
+
+
+def open_counts(rows: DataFrame, column: str) -> DataFrame:
+    """(facet, value, n) of a facet without a fixed list, upper case and trimmed."""
+    value = F.upper(F.trim(F.col(column)))
+    return rows.where(F.coalesce(value, F.lit("")) != "").groupBy(value.alias("value")).agg(F.count("*").alias("n")).select(F.lit(column).alias("facet"), "value", "n")
+
+
 def salary_overlaps(lo: float | None, hi: float | None, low: str = "SalaryMin", high: str = "SalaryMax") -> Column:
     """The posted range meets [lo, hi]; one open end is fine, two are not."""
     a, b = F.col(low), F.col(high)

@@ -6,10 +6,14 @@ and the accepted rows come from the same scan.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import names
 from tidemark.functions.text import EDGE, fingerprint, js_trim, marker_language
+from tidemark.operators.ranking import first_per_key
 
 # Role words of titles that are never published.
 BANNED_ROLES = [
@@ -109,3 +113,19 @@ def judged(postings: DataFrame, verdicts: DataFrame) -> DataFrame:
         .when(F.col("v.confidence") < 0.6, "rejected").when(F.col("v.confidence") >= 0.85, "active").otherwise("pending_review")
     )
     return met.withColumn("Status", band).drop("v")
+
+
+def fits_keywords(title: Column, keywords: list[str]) -> Column:
+    """Any keyword of the source in the title; without keywords every title fits."""
+    return F.lower(F.coalesce(title, F.lit(""))).rlike("|".join(re.escape(k.lower()) for k in keywords)) if keywords else F.lit(True)
+
+
+def first_arrivals(rows: DataFrame, title: str, company: str, *order: str) -> DataFrame:
+    """The first row of each company and title, by ``order``: later ones are the same job in another city or entity."""
+    keyed = rows.withColumns({"_company": names.company_key(F.col(company)), "_title": names.title_key(F.col(title))})
+    return first_per_key(keyed, ["_company", "_title"], *order).drop("_company", "_title")
+
+
+def summary(rows: DataFrame, site: str) -> DataFrame:
+    """(site, reason, n): how many rows were accepted, and rejected for which reason."""
+    return rows.groupBy(site, F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))

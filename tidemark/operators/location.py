@@ -44,3 +44,91 @@ def surely_german(place: Column) -> Column:
     """A German place and no word that leaves the place open; false for null."""
     low = F.lower(F.coalesce(place, F.lit("")))
     return low.rlike(any_of(GERMAN_PLACES)) & ~low.rlike(any_of(OPEN_PLACES))
+
+
+def names_germany(place: Column) -> Column:
+    """Germany by name or a German place, for a second look at all locations of a posting."""
+    return F.lower(F.coalesce(place, F.lit(""))).rlike(any_of(GERMAN_PLACES))
+
+
+def is_germany(name: Column) -> Column:
+    return F.lower(F.coalesce(name, F.lit(""))).isin("germany", "deutschland")
+
+
+def any_place(values: Column, fits) -> Column:  # noqa: ANN001
+    """Whether any element of an array fits; false for null."""
+    return F.coalesce(F.exists(values, fits), F.lit(False))
+
+
+def lever_in_germany(country: Column, place: Column, places: Column, workplace: Column, text: Column) -> Column:
+    """A country code decides; else the places; else remote work in Germany by the text."""
+    code = F.lower(F.trim(country))
+    said = (workplace == "remote") & F.lower(F.coalesce(text, F.lit(""))).rlike("remote in germany|remote - germany|germany remote")
+    return F.when(F.coalesce(country, F.lit("")) != "", code.isin("de", "deu")).otherwise(
+        mentions_germany(place) | any_place(places, mentions_germany) | F.coalesce(said, F.lit(False))
+    )
+
+
+def recruitee_in_germany(places: Column, code: Column, country: Column, city: Column, place: Column) -> Column:
+    """Code, country or city of any structured place, then of the flat fields."""
+    own = lambda code, country, city: (F.upper(F.coalesce(code, F.lit(""))) == "DE") | is_germany(country) | names_germany(city)
+    return any_place(places, lambda p: own(p["country_code"], p["country"], p["city"])) | own(code, country, city) | names_germany(place)
+
+
+def ashby_in_germany(place: Column, country: Column, others: Column) -> Column:
+    code = F.lower(F.coalesce(country, F.lit(""))).isin("de", "deu")
+    return mentions_germany(place) | code | mentions_germany(country) | any_place(others, mentions_germany)
+
+
+def teamtailor_in_germany(addresses: Column, title: Column) -> Column:
+    fits = lambda a: F.lower(F.coalesce(a["country"], F.lit(""))).isin("de", "deu") | mentions_germany(a["country"]) | mentions_germany(a["city"])
+    return any_place(addresses, fits) | mentions_germany(title)
+
+
+def workday_in_germany(place: Column, fields: Column) -> Column:
+    return mentions_germany(place) | mentions_germany(F.array_join(F.coalesce(fields, F.array().cast("array<string>")), " "))
+
+
+def workplace_name(value: Column) -> Column:
+    low = F.lower(F.coalesce(value, F.lit("")))
+    return F.when(low.contains("remote"), "Remote").when(low.contains("hybrid"), "Hybrid").when(low.rlike("onsite|on-site|on_site|office"), "Onsite").otherwise("Unspecified")
+
+
+def employment_name(value: Column) -> Column:
+    low = F.lower(F.coalesce(value, F.lit("")))
+    names = {"full": "FullTime", "part": "PartTime", "intern": "Intern", "temp": "Temporary", "contract|freelance": "Contract"}
+    found = F.lit(None).cast("string")
+    for part, name in reversed(names.items()):
+        found = F.when(low.rlike(part), name).otherwise(found)
+    return found
+
+
+def country_code(value: Column) -> Column:
+    clean = F.nullif(F.trim(value), F.lit(""))
+    return F.when(is_germany(clean), "DE").when(F.length(clean) == 2, F.upper(clean)).otherwise(clean)
+
+
+def filled_workplace(value: Column, place: Column, text: Column) -> Column:
+    """A known workplace stays; else by the words of place and the text's first 500 characters."""
+    own = F.trim(F.coalesce(value, F.lit("")))
+    words = F.concat_ws(" ", F.lower(F.coalesce(place, F.lit(""))), F.left(F.lower(F.coalesce(text, F.lit(""))), F.lit(500)))
+    found = F.when(words.rlike("remote|work from home"), "Remote").when(words.contains("hybrid"), "Hybrid").otherwise("Unspecified")
+    return F.when((own != "") & (F.lower(own) != "unspecified"), own).otherwise(found)
+
+
+def stored_place(place: Column, others: Column, remote: Column) -> Column:
+    """ "City, Germany" from the first place that names a German city; else Remote, Germany, or the place's parts once each."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    every = F.concat(F.array(text(place)), F.coalesce(others, F.array().cast("array<string>")))
+    german = F.filter(every, names_germany)
+    clean = F.transform(german, lambda p: F.regexp_replace(p, r"(?i)\s*[-–—]\s*(Office|Hybrid|Remote|On-?site|Onsite)\s*$", ""))
+    parts = F.transform(F.flatten(F.transform(clean, lambda p: F.split(p, ","))), lambda p: F.trim(p))
+    cities = F.filter(parts, lambda p: (p != "") & ~is_germany(p) & names_germany(p))
+    first = F.get(cities, F.lit(0))
+    words = F.transform(F.split(first, " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1000))))
+    city = F.concat(F.array_join(words, " "), F.lit(", Germany"))
+    own = F.filter(F.transform(F.split(text(place), ","), lambda p: F.trim(p)), lambda p: p != "")
+    low = F.transform(own, lambda p: F.lower(p))
+    once = F.array_join(F.filter(own, lambda p, k: F.array_position(low, F.lower(p)) == k + 1), ", ")
+    away = F.exists(german, lambda p: F.lower(p).contains("remote")) | F.coalesce(remote, F.lit(False))
+    return F.when(first.isNotNull(), city).when(away, "Remote, Germany").when(F.size(german) > 0, "Germany").when(text(place) != "", once).otherwise("Germany")

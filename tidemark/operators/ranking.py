@@ -37,3 +37,23 @@ def at_least_or_all(rows: DataFrame, narrow: Column, least: int) -> DataFrame:
     """The narrowed rows if there are ``least`` of them, else all rows."""
     hits = rows.where(narrow).limit(least).count()
     return rows.where(narrow) if hits >= least else rows
+
+
+def daily_page(rows: DataFrame, key: str, order: list[int], first: int, size: int, path: str) -> DataFrame:
+    """(pos, key): a page of the exact daily order, by the permutation ``order`` of the rows sorted by ``key``.
+
+    Places in the sorted rows come from a range sort, written to the new folder ``path``,
+    and one count for each partition, so no task sees all rows.
+    """
+    spark = rows.sparkSession
+    placed = rows.select(key).orderBy(key).withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
+    placed.withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id").write.parquet(path)
+    placed = spark.read.parquet(path)
+    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a partition
+    start, before = 0, {}
+    for part in sorted(sizes):
+        before[part], start = start, start + sizes[part]
+    wanted = spark.createDataFrame([(pos, order[pos]) for pos in range(first, min(first + size, len(order)))], "pos long, _place long")
+    base = F.try_element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_part")) if before else F.lit(0)
+    found = placed.withColumn("_place", base + F.col("_at"))
+    return found.join(F.broadcast(wanted), "_place").select("pos", key)

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], as_of: datetime) -> DataFrame:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for tables between jobs: ``spark.checkpoint.dir``; a temporary one on a local master only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="tidemark-")
+
+
+def upsert(old: DataFrame, new: DataFrame, key: list[str], as_of: datetime, *order: str) -> DataFrame:
     """``old`` with the rows of ``new`` put in: createdAt is kept, updatedAt is set.
 
-    One full outer join on the key.  Of repeated new keys any one may win; use
-    ``last_per_key`` first where that matters.
+    One full outer join on the key.  Of repeated new keys the row with the largest values of
+    ``order`` wins, without it the one with the largest values of all columns.
     """
     now = F.lit(as_of).cast("timestamp")
-    fresh = new.dropDuplicates(key).withColumn("_new", F.lit(True))
+    fresh = last_per_key(new, key, *(order or [c for c in new.columns if c not in key])).withColumn("_new", F.lit(True))
     o, n = old.alias("o"), fresh.alias("n")
     both = o.join(n, key, "full_outer")
     hit = F.col("_new").isNotNull()
@@ -69,18 +78,39 @@ def changed_boards(rows: DataFrame, state: DataFrame, board: str, row_key: str)
     return now.join(state.select(board, "hash", "n"), [board, "hash", "n"], "left_anti")
 
 
-def identity_matches(requests: DataFrame, visitors: DataFrame, signals: list[str]) -> DataFrame:
-    """(request, vid, score): the known visitor that shares most of the signals, two at least.
+def first_missing(target: DataFrame, rows: DataFrame, key: list[str], *order: str) -> DataFrame:
+    """The first row of each key of ``rows`` that ``target`` lacks: what a merge that keeps existing rows appends."""
+    rest = [c for c in rows.columns if c not in key]
+    best = F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("_b")
+    first = rows.groupBy(*key).agg(best).join(target.select(*key), key, "left_anti")
+    return first.select(*key, *[F.col(f"_b.{c}").alias(c) for c in rest])
 
-    One equi-join per signal instead of a join on any of them; ties go to the visitor seen
-    last, then to the smallest id.
-    """
-    hits = None
-    for s in signals:
-        one = requests.where(F.col(s).isNotNull()).select("request", F.col(s).alias("_s")).join(
-            visitors.where(F.col(s).isNotNull()).select("vid", "lastSeenAt", F.col(s).alias("_s")), "_s"
-        ).drop("_s")
-        hits = one if hits is None else hits.unionByName(one)
-    scored = hits.groupBy("request", "vid", "lastSeenAt").agg(F.count("*").alias("score")).where("score >= 2")
-    by = Window.partitionBy("request").orderBy(F.desc("score"), F.desc("lastSeenAt"), "vid")
-    return scored.withColumn("_n", F.row_number().over(by)).where("_n = 1").select("request", "vid", "score")
+
+def by_id(rows: DataFrame, wanted: str, *ids: str) -> DataFrame:
+    """The one row with the wanted id, by the first of the id columns that has it."""
+    hit = F.lit(False)
+    place = F.lit(len(ids))
+    for k, c in reversed(list(enumerate(ids))):
+        fits = F.coalesce(F.col(c).cast("string") == wanted, F.lit(False))
+        hit, place = hit | fits, F.when(fits, k).otherwise(place)
+    return rows.where(hit).orderBy(place, *ids).limit(1)
+
+
+def content_hash(keys: Column) -> Column:
+    """SHA-256 of the sorted strings of an array, one a line: the same whatever their order."""
+    return F.sha2(F.array_join(F.array_sort(keys), "\n"), 256)
+
+
+def listed(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(value): the lines of text files that fit a pattern, in lower case, each once."""
+    line = F.lower(F.trim("value"))
+    return spark.read.text(path).select(line.alias("value")).where(F.col("value").rlike(pattern)).distinct()
+
+
+def appended(rows: DataFrame, path: str) -> None:
+    """Appends the rows of a run's log."""
+    rows.write.mode("append").parquet(path)
+
+
+def outdated(ts: str, as_of: datetime, days: int = 90) -> Column:
+    return F.col(ts) < F.lit(as_of - timedelta(days=days))

@@ -5,7 +5,7 @@ The tables hold no postings: ``postings`` makes some of orders, customers and na
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -99,9 +99,9 @@ def nothing_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings(spark, sf_dir).where(facets.predicate(asked, AS_OF)).select("JobID")
 
 
-@query("f07_search", POSTINGS + f"SELECT JobID, Location FROM postings WHERE {LIVE} AND (contains(lower(JobTitle), 'an') OR contains(lower(Company), 'an') OR contains(lower(Location), 'an'))")
+@query("f07_search", POSTINGS + f"SELECT JobID, Location FROM postings WHERE {LIVE} AND (contains(lower(JobTitle), 'ion_2') OR contains(lower(Company), 'ion_2') OR contains(lower(Location), 'ion_2'))")
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(spark, sf_dir).where(facets.live() & facets.contains_text(" AN ")).select("JobID", "Location")
+    return postings(spark, sf_dir).where(facets.live() & facets.contains_text(" ION_2 ")).select("JobID", "Location")
 
 
 @query("f09_window_fallback", POSTINGS + "SELECT count(*) AS n FROM postings WHERE coalesce(PostedDate, scrapedAt) >= TIMESTAMP '1997-12-02'")
@@ -161,10 +161,10 @@ def verdict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "doc_id", "left").groupBy(hit.alias("cache"), F.coalesce("quality", F.lit(-1)).alias("quality")).agg(F.count("*").alias("n"))
 
 
-FINGER = "md5(lower(regexp_replace(lang, '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g')) || '|' || lower(source) || '|' || lower(regexp_replace(substr(text, 1, 500), '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g')))"
+FINGER = "md5(lower(lang) || '|' || lower(source) || '|' || substr(regexp_replace(lower(text), '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g'), 1, 500))"
 
 
-@query("w04_first_wins_dedup", f"SELECT fp, min(doc_id) AS doc_id FROM (SELECT doc_id, {FINGER} AS fp FROM documents) GROUP BY 1")
+@query("a15_first_per_fingerprint", f"SELECT fp, min(doc_id) AS doc_id FROM (SELECT doc_id, {FINGER} AS fp FROM documents) GROUP BY 1")
 def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", text.fingerprint(F.col("lang"), F.col("source"), F.col("text")).alias("fp"))
     return ranking.first_per_key(rows, ["fp"], "doc_id")
@@ -201,12 +201,6 @@ def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", canonical.yearly_euros(F.col("o_totalprice"), currency, interval).alias("y"))
 
 
-@query("x19_site_of_url", r"""SELECT site, count(*) AS n FROM (SELECT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^(?:(?:www|blog|m)\.)+([^.]+\.[^.]+)', '\1') AS site
- FROM pages) GROUP BY 1""")
-def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").groupBy(text.site_of(F.col("url")).alias("site")).agg(F.count("*").alias("n"))
-
-
 @query("p16_preview", r"""SELECT page_id, CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END AS preview FROM (SELECT page_id,
  regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') AS t FROM pages)""")
 def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,10 +232,7 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t04_change_feed", """SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events)
  WHERE r = 1 AND event_type <> 'error'""")
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return changes.followed(spark, sf_dir, shared or tempfile.mkdtemp(prefix="tidemark-"))
+    return changes.followed(spark, sf_dir, store.shared_dir(spark))
 
 
 @query("f31_least_or_all", POSTINGS + f"SELECT count(*) AS n FROM postings WHERE {LIVE} AND (Category = 'BUILDING' OR (SELECT count(*) FROM postings WHERE {LIVE} AND Category = 'BUILDING') < 20)")
@@ -257,10 +248,25 @@ def manual_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(known, F.lower("name") == F.col("k"), "left_anti")
 
 
-@query("o01_daily_order")
+M32 = "4294967295::UBIGINT"
+ORDER_DAY = "2026-01-01"
+
+
+@query("o01_daily_order", f"""WITH RECURSIVE rows AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 3 = 0),
+ n AS (SELECT count(*)::BIGINT AS n FROM rows),
+ fy AS (SELECT n - 1 AS i, {shuffle.fnv1a(ORDER_DAY)}::UBIGINT AS a, range(n) AS l FROM n
+  UNION ALL SELECT i - 1, b, list_transform(l, lambda x, p: CASE WHEN p = i + 1 THEN l[j + 1] WHEN p = j + 1 THEN l[i + 1] ELSE x END)
+  FROM (SELECT i, b, l, CAST(floor((xor(u, u >> 14) & {M32})::DOUBLE / 4294967296 * (i + 1)) AS BIGINT) AS j
+   FROM (SELECT i, b, l, xor((t + ((xor(t, t >> 7) * (61 | t)) & {M32})) & {M32}, t) AS u
+    FROM (SELECT i, b, l, (xor(b, b >> 15) * (1 | b)) & {M32} AS t FROM (SELECT i, l, (a + 1831565813) & {M32} AS b FROM fy WHERE i > 0))))),
+ done AS (SELECT l FROM fy WHERE i = (SELECT least(0, n - 1) FROM n)),
+ placed AS (SELECT unnest(l) AS place, generate_subscripts(l, 1) - 1 AS pos FROM done)
+ SELECT pos, k AS o_orderkey FROM placed JOIN rows USING (place)""")
 def daily_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = postings(spark, sf_dir).where(facets.live())
-    return facets.page(rows, 1, 30, *shuffle.daily_key("2026-01-01", "JobID")).select("JobID", "Company")
+    """The exact daily order of some orders, whole."""
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_orderkey % 3 = 0")
+    order = shuffle.permutation(rows.count(), ORDER_DAY)
+    return ranking.daily_page(rows, "o_orderkey", order, 0, len(order), f"{store.shared_dir(spark)}/daily-{uuid.uuid4().hex}")
 
 
 MARKED = " ".join(
@@ -288,12 +294,6 @@ def experience(spark: SparkSession, sf_dir: str) -> DataFrame:
 GERMAN = f"regexp_matches(lower(place), '{location.any_of(location.GERMAN_PLACES)}"
 
 
-@query("f22_mentions_germany", f"SELECT lang, source, count(*) FILTER ({GERMAN}|\\bde\\b')) AS german, count(*) AS n FROM (SELECT lang, source, text AS place FROM documents) GROUP BY ALL")
-def mentions_germany(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.count_if(location.mentions_germany(F.col("text"))).alias("german")
-    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(found, F.count("*").alias("n"))
-
-
 @query("f21_surely_german", POSTINGS + f"""SELECT place, count(*) AS n FROM (SELECT Location || CASE JobID % 4 WHEN 0 THEN ', Köln' WHEN 1 THEN ' (Remote)' WHEN 2 THEN ', Paris' ELSE '' END AS place
  FROM postings) WHERE {GERMAN}') AND NOT regexp_matches(lower(place), '{location.any_of(location.OPEN_PLACES)}') GROUP BY 1""")
 def surely_german(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,49 +2,136 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.operators.store import apply_changes
 
+# Root fields whose change matters to a query.
+SIGNIFICANT = [
+    "Status", "JobTitle", "Company", "Country", "WorkplaceType", "EmploymentType", "ExperienceLevel", "Category", "Domain",
+    "SubDomain", "Description", "DescriptionHtml", "ApplicationURL", "DirectApplyURL", "PostedDate", "SalaryMin",
+    "SalaryMax", "SalaryCurrency", "SalaryInterval", "filterWorkplace", "filterExperience", "filterEmployment",
+    "filterSalaryTier", "filterSalaryMin", "filterSalaryMax",
+]
+
+
+def kind(operation: Column) -> Column:
+    """What a change does: upsert, delete, reconcile (the whole table is in question) or nothing."""
+    return (
+        F.when(operation.isin("insert", "replace", "update"), "upsert").when(operation == "delete", "delete")
+        .when(operation.isin("drop", "dropDatabase", "rename"), "reconcile")
+    )
+
+
+def matters(operation: Column, touched: Column, fields: list[str] | None = None) -> Column:
+    """False for updates that touch no significant root field; other changes, and updates without a list, matter."""
+    roots = F.transform(touched, lambda f: F.split_part(f, F.lit("."), F.lit(1)))
+    some = F.arrays_overlap(roots, F.array(*[F.lit(f) for f in fields or SIGNIFICANT]))
+    return F.when(F.coalesce(operation, F.lit("")) != "update", F.lit(True)).otherwise(F.coalesce(some, F.lit(True)))
+
 
 class CurrentTable:
-    """A Parquet table of versions; each micro-batch writes the next one.
+    """A Parquet table in key buckets; each micro-batch rewrites the buckets that it touches.
 
-    A batch that is repeated after a failure finds its version written and skips it, so
-    the feed is applied once.  Versions are folders ``v=N`` below ``path``.
+    A version N is a folder ``v=N`` with the new state of some buckets, and is committed by
+    a record of them in ``_log/v=N``, written last.  A new object finds the committed
+    versions in the log; a batch that is repeated after a failure finds its version there
+    and is skipped, or writes it anew if it was not committed, from versions before it only.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str], deleted: Column, order: str) -> None:
-        self.spark, self.path, self.key, self.deleted, self.order = spark, path, key, deleted, order
-        self.version = -1
+    def __init__(
+        self, spark: SparkSession, path: str, schema: StructType, key: list[str], deleted: Column, order: str, buckets: int = 16,
+        reconcile: Column | None = None, snapshot: Callable[[], DataFrame] | None = None,
+    ) -> None:
+        self.spark, self.path, self.schema, self.key, self.deleted, self.order = spark, path, schema, key, deleted, order
+        self.buckets, self.reconcile, self.snapshot = buckets, reconcile, snapshot
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.files = place.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def start(self, table: DataFrame) -> None:
-        self.version = 0
-        table.write.mode("overwrite").parquet(f"{self.path}/v=0")
+    def exists(self, path: str) -> bool:
+        return self.files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path))
+
+    def latest(self, before: int | None = None) -> dict[int, int]:
+        """The last committed version of each bucket, below ``before``."""
+        if not self.exists(f"{self.path}/_log"):
+            return {}
+        log = self.spark.read.schema("bucket int, v long").parquet(f"{self.path}/_log")
+        rows = (log if before is None else log.where(F.col("v") < before)).groupBy("bucket").agg(F.max("v").alias("v"))
+        return {r["bucket"]: r["v"] for r in rows.collect()}  # a row a bucket
+
+    def read(self, latest: dict[int, int]) -> DataFrame:
+        paths = [p for b, v in sorted(latest.items()) if self.exists(p := f"{self.path}/v={v}/bucket={b}")]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def current(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={self.version}")
+        return self.read(self.latest())
+
+    def write(self, rows: DataFrame, touched: list[int], version: int) -> None:
+        """The new state of the ``touched`` buckets, then the record that commits it."""
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        rows.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={version}")
+        self.spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_log/v={version}")
+
+    def start(self, table: DataFrame) -> None:
+        """Version 0, if nothing has been committed yet."""
+        if not self.latest():
+            self.write(table.select(*self.schema.names), list(range(self.buckets)), 0)
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        new = apply_changes(self.current(), batch, self.key, self.deleted, self.order)
-        new.write.mode("overwrite").parquet(f"{self.path}/v={number + 1}")
-        self.version = number + 1
+        version = number + 1
+        if self.exists(f"{self.path}/_log/v={version}/_SUCCESS"):
+            return
+        if self.snapshot and self.reconcile is not None and not batch.where(self.reconcile).isEmpty():
+            self.write(self.snapshot().select(*self.schema.names), list(range(self.buckets)), version)
+            return
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        touched = sorted(r[0] for r in batch.select(bucket.alias("b")).distinct().collect())  # at most all buckets
+        latest = self.latest(version)
+        old = self.read({b: latest[b] for b in touched if b in latest})
+        self.write(apply_changes(old, batch, self.key, self.deleted, self.order), touched, version)
 
     def follow(self, changes: DataFrame, available_now: bool = True):  # noqa: ANN201
-        """Starts the stream; the checkpoint lies beside the table."""
+        """Starts the stream; the checkpoint, which keeps the place in the feed, lies beside the table."""
         writer = changes.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.path}/_state")
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="300 milliseconds")).start()
 
 
+def kept_up(start: Callable[[], object], refresh: Callable[[], None], tries: int = 5, first_wait: float = 1.0, most_wait: float = 60.0) -> None:
+    """Runs a stream to its end; after an error, refreshes from a snapshot, waits longer each time and starts anew."""
+    wait = first_wait
+    for k in range(tries):
+        try:
+            start().awaitTermination()  # type: ignore[attr-defined]
+            return
+        except StreamingQueryException:
+            if k == tries - 1:
+                raise
+            refresh()
+            time.sleep(wait)
+            wait = min(2 * wait, most_wait)
+
+
+def changed_mark(table: DataFrame, ts: str, seen: tuple | None) -> tuple | None:
+    """(rows, latest time) of a table where it differs from the one seen before, else null: what a poll looks at."""
+    row = table.agg(F.count("*").alias("n"), F.max(ts).alias("t")).first()
+    return None if seen == (row["n"], row["t"]) else (row["n"], row["t"])
+
+
 def followed(spark: SparkSession, sf_dir: str, shared: str) -> DataFrame:
     """The last event of each user, kept by a stream over the events; errors take users out."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet")
+    operation = F.when(F.col("event_type") == "error", "delete").otherwise("update")
     changes = feed.parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_id", "event_type", "value")
-    table = CurrentTable(spark, f"{shared}/current-{uuid.uuid4().hex}", ["user_id"], F.col("event_type") == "error", "event_id")
+    deleted = kind(operation) == "delete"
+    table = CurrentTable(spark, f"{shared}/current-{uuid.uuid4().hex}", changes.schema, ["user_id"], deleted, "event_id")
     table.start(spark.createDataFrame([], changes.schema))
     table.follow(changes).awaitTermination()
     return table.current()
