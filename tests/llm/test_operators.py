@@ -75,6 +75,43 @@ def test_one_of_each_keeps_the_first(spark):
     assert ids.count(4) == 2 and len({1, 2, 3} & set(ids)) == 2  # one of the empty texts
 
 
+def test_bounded_groups_link_the_same(spark, monkeypatch):
+    r = random.Random(5)
+    base = [r.getrandbits(64) for _ in range(40)]
+    points = list({b ^ sum(1 << k for k in r.sample(range(64), r.randrange(5))) for b in base for _ in range(12)})
+    prints = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in points], "fp long")
+    whole = sorted(map(tuple, simhash.link(prints).collect()))
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 60)
+    monkeypatch.setattr(simhash, "SAMPLE", 200)
+    assert whole == sorted(map(tuple, simhash.link(prints).collect())) and len(whole) > 300
+
+
+def test_similar_groups_against_all_pairs(spark, monkeypatch):
+    r = random.Random(3)
+    texts = []
+    for k in range(12):
+        base = prose(k, 120).split()
+        for _ in range(6):
+            own = list(base)
+            for at in r.sample(range(120), r.choice([0, 1, 2, 3, 5, 8])):
+                own[at] = f"edit{r.random()}"
+            texts.append(" ".join(own))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for _ in range(6):
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    for own in (simhash.OWN, 20):  # 20: many blocks and chunks
+        monkeypatch.setattr(simhash, "OWN", own)
+        kept = {x["doc_id"] for x in simhash.one_of_each(docs_of(spark, list(enumerate(texts)))).collect()}
+        want = set(root)
+        assert want <= kept  # nothing goes without a partner of 0.8
+        assert len(kept - want) <= 0.1 * (len(texts) - len(want))  # recall of 0.9 at least
+    assert simhash.one_of_each(docs_of(spark, [(1, "x")]).where("false")).count() == 0
+
+
 def test_similar_groups_scale_with_jaccard():
     base = prose(1, 500).split()
     far = base[:250] + prose(2, 250).split()
@@ -173,6 +210,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert keys == sorted(keys)
 
 
+def test_warc_times_large_records_and_clashing_columns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER", 50_000)  # records take several members
+    big = prose(3, 60_000)
+    rows = [(1, "http://a/", big, None, "x"), (2, "http://a/", "y", "2024-05-05T00:00:00", "x"), (3, "http://a/", None, "2023-05-05T00:00:00", "z"), (3, "http://a/", None, "2023-05-05T00:00:00", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, fetched_at string, digest string")
+    found = warc.captures(pages, time_col="fetched_at").collect()
+    assert [r["page_id"] for r in found] == [1, 3, 3, 2] and found[0]["ts"] is None and all(r["payload_ok"] for r in found)
+    assert found[0]["payload_bytes"] == len(big)
+    assert warc.captures(pages).count() == 4 and warc.captures(pages.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8])
 def test_loser_tree(k):
     r = random.Random(k)
@@ -232,6 +280,22 @@ def test_chat_links_orders_and_validates(spark):
     assert chat_format.formatted(chat.where("false")).count() == 0
 
 
+def test_chat_levels_of_chains_merges_and_cycles(spark):
+    r = random.Random(2)
+    needs = {f"n{k}": [f"n{k - 1}"] if k else [] for k in range(40)}
+    needs |= {f"m{k}": [f"n{r.randrange(40)}", f"m{k - 1}" if k else "n0", "gone"] for k in range(4)}
+    needs |= {"c0": ["c1"], "c1": ["c0"], "c2": ["c1", "n3"], "s": ["s"]}
+    rows = [(1, i, d or None) for i, d in needs.items()]
+    own = spark.createDataFrame(rows, "conv_id long, id string, depends_on array<string>")
+    level: dict[str, int] = {}
+    for _ in range(60):
+        for i, d in needs.items():
+            deps = [x for x in d if x in needs]
+            if all(x in level for x in deps):
+                level[i] = max((level[x] + 1 for x in deps), default=0)
+    assert {x["id"]: x["level"] for x in chat_format.levels(own).collect()} == {i: level.get(i) for i in needs}
+
+
 def test_chat_keeps_text_around_markup_and_broken_markup(spark):
     rows = [(1, 0, "assistant", 'Let me see. <tool_call>{"id":"a","name":"f","arguments":{}}</tool_call> And <tool_call>{"id": oops</tool_call> done.'),
             (1, 1, "tool", 'before <tool_result>{"id":"a","content":"3"}</tool_result><tool_result>[no</tool_result>\n'), (1, 2, "assistant", '<tool_call>{"id":"b","name":"f"}</tool_call>\n')]
@@ -275,6 +339,9 @@ def test_mixing_meets_targets(spark):
     assert all(r["rate"] >= 0 for r in got) and len(got) == len(rows)
     assert all(r["domain"] == ("a" if r["doc_id"] % 4 else "b") for r in got if r["doc_id"] < 200)
     assert mixing.mix(docs_of(spark, rows).where("false"), domains).count() == 0
+    assert max(r["misfit"] for r in got) < 1e-3
+    with pytest.raises(ValueError, match="unknown"):
+        mixing.mix(docs_of(spark, rows), domains, {"a": 0.4, "c": 0.6})
     assert {round(r["rate"], 9) for r in mixing.mix(docs_of(spark, rows), domains.where("false")).collect()} == {1.0}
 
 
@@ -322,4 +389,29 @@ def test_pipeline_on_planted_cases(spark):
         docs = written(stage(spark, docs, SF), name)
         seen.append(docs.count())
     assert seen == sorted(seen, reverse=True) and seen[-1] > 100
-    assert docs.where(F.col("rate") < 0).count() == 0
+    assert docs.where(F.col("rate") < 0).count() == 0 and {"text", "lang", "source"} <= set(docs.columns)
+
+
+def test_pipeline_stages_on_planted_cases(spark, tmp_path):
+    import shutil
+
+    import corpus_pipeline
+
+    sf = tmp_path / "sf"
+    shutil.copytree(SF, sf)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    own, near = prose(900, 200), prose(901, 200).split()
+    passage = " ".join(f"shared{k} words." if k % 8 == 7 else f"shared{k}" for k in range(64))
+    planted = [
+        (10**6, f"{own} {passage} {prose(902, 60)}"), (10**6 + 1, f"{prose(903, 60)}. {passage} {prose(904, 60)}"),
+        (10**6 + 2, " ".join(near)), (10**6 + 3, " ".join([*near[:100], "edited", *near[101:]])), (10**6 + 4, f"{prose(905, 40)}. {item} {prose(906, 40)}"), (10**6 + 5, None), (10**6 + 6, ""),
+    ]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in planted], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(more)
+    left = docs
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        left = stage(spark, left, str(sf))
+    found = {r["doc_id"]: r["text"] for r in left.where("doc_id >= 1000000").collect()}
+    assert "shared3" in found[10**6] and "shared3" not in found[10**6 + 1] and 10**6 + 2 in found
+    assert not {10**6 + 3, 10**6 + 4} & set(found)

@@ -161,7 +161,7 @@ def grouped(dealt: DataFrame, key: str, rows: int) -> DataFrame:
     many = {r["shard"]: (-(-r["own"] // rows) or 1, -(-r["all"] // rows)) for r in sizes if r["all"] > rows}
     if not many:
         return dealt.withColumns({"block": F.lit(0), "chunk": F.lit(0), "asks": F.lit(True)})
-    of = lambda j: F.coalesce(F.get(F.create_map(*[F.lit(x) for s, n in many.items() for x in (s, n[j])]), F.col("shard")), F.lit(1))
+    of = lambda j: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for s, n in many.items() for x in (s, n[j])]), F.col("shard")), F.lit(1))
     cell = F.xxhash64(F.lit(11), key)
     block, chunk = F.pmod(cell, of(0)).cast("int"), F.pmod(cell, of(1)).cast("int")
     every = lambda n: F.sequence(F.lit(0), n - 1)
