@@ -413,5 +413,6 @@ def test_pipeline_stages_on_planted_cases(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[1:4]:
         left = stage(spark, left, str(sf))
     found = {r["doc_id"]: r["text"] for r in left.where("doc_id >= 1000000").collect()}
-    assert "shared3" in found[10**6] and "shared3" not in found[10**6 + 1] and 10**6 + 2 in found
-    assert not {10**6 + 3, 10**6 + 4} & set(found)
+    assert "shared11 " in found[10**6] and "shared11 " not in found[10**6 + 1] and 10**6 + 2 in found
+    # line dedup has cut what the near copy repeats, so it is no near copy any more
+    assert 10**6 + 4 not in found and len(found.get(10**6 + 3, "").split()) < 60
