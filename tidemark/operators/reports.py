@@ -39,7 +39,7 @@ def top_and_rest(rows: DataFrame, column: str, n: int) -> DataFrame:
 
 def freshness(rows: DataFrame, ts: str, as_of: datetime, warn_hours: int = 30, fail_hours: int = 48) -> DataFrame:
     """One row: ok, warn or fail by the age of the latest row; without rows warn."""
-    hours = (F.unix_micros(F.lit(as_of)) - F.unix_micros(F.max(ts))) / 3_600_000_000
+    hours = (F.unix_micros(F.lit(as_of)) - F.unix_micros(F.max(ts).cast("timestamp"))) / 3_600_000_000
     return rows.agg(hours.alias("hours")).select(
         F.when(F.col("hours") > fail_hours, "fail").when((F.col("hours") > warn_hours) | F.col("hours").isNull(), "warn").otherwise("ok").alias("status")
     )

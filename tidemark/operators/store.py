@@ -114,3 +114,67 @@ def appended(rows: DataFrame, path: str) -> None:
 
 def outdated(ts: str, as_of: datetime, days: int = 90) -> Column:
     return F.col(ts) < F.lit(as_of - timedelta(days=days))
+
+
+def of_company(name: str, company: str = "Company") -> Column:
+    """The company's postings, whatever the case; the name is no pattern."""
+    return F.lower(F.col(company)) == name.lower()
+
+
+#: What is kept of a verdict.
+VERDICT = "fingerprint string, germanRequired boolean, confidence double, domain string, subDomain string, createdAt timestamp, updatedAt timestamp"
+
+
+def verdict_store(spark: SparkSession, path: str, buckets: int = 16):  # noqa: ANN201
+    """The store of verdicts by fingerprint."""
+    from tidemark.operators.buckets import BucketStore
+
+    return BucketStore(spark, path, spark.createDataFrame([], VERDICT).schema, ["fingerprint"], buckets).start()
+
+
+def save_verdicts(kept, verdicts: DataFrame, as_of: datetime, *order: str) -> list[int]:  # noqa: ANN001
+    """Upserts verdicts by fingerprint: createdAt is set once; what is missing counts as false, 0, Unclear and Other; rows without a fingerprint are left out."""
+    text = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other)).alias(c)
+    rows = verdicts.where(F.coalesce("fingerprint", F.lit("")) != "").select(
+        "fingerprint", F.coalesce("germanRequired", F.lit(False)).alias("germanRequired"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"),
+        text("domain", "Unclear"), text("subDomain", "Other"), *order,
+    )
+    return kept.upsert(rows, as_of, *order)
+
+
+def mail_key(column: str = "email") -> Column:
+    return F.lower(F.trim(F.col(column)))
+
+
+def subscribe(users, asked: DataFrame, as_of: datetime, *order: str) -> list[int]:  # noqa: ANN001
+    """Accounts by email that want the digest: a known one keeps what the request leaves empty, another is added."""
+    now, old, new = F.lit(as_of).cast("timestamp"), lambda c: F.col(f"o.{c}"), lambda c: F.col(f"n.{c}")
+    nobody = F.array().cast("array<string>")
+    matched = {
+        "location": F.coalesce(F.nullif(new("location"), F.lit("")), old("location")),
+        "desiredCategories": F.coalesce(new("desiredCategories"), old("desiredCategories"), nobody),
+        "isSubscribed": F.lit(True), "updatedAt": now, "createdAt": old("createdAt"),
+    }
+    inserted = {
+        "location": F.nullif(new("location"), F.lit("")), "desiredCategories": F.coalesce(new("desiredCategories"), nobody), "isSubscribed": F.lit(True),
+        "createdAt": now, "updatedAt": now,
+    }
+    return users.merge(asked.withColumn("email", mail_key()), list(order), matched, inserted)
+
+
+def unsubscribe(users, emails: DataFrame, as_of: datetime) -> list[int]:  # noqa: ANN001
+    return users.update(emails.select(mail_key().alias("email")), {"isSubscribed": F.lit(False), "updatedAt": F.lit(as_of).cast("timestamp")})
+
+
+def mailed(users, emails: DataFrame, as_of: datetime) -> list[int]:  # noqa: ANN001
+    """Stamps the accounts that have just had a mail."""
+    now = F.lit(as_of).cast("timestamp")
+    return users.update(emails.select("email"), {"lastEmailSent": now, "updatedAt": now})
+
+
+def add_curated(postings, rows: DataFrame, *order: str, site: str = "Curated") -> list[int]:  # noqa: ANN001
+    """Adds postings by hand, keyed by ApplicationURL: none whose address is known, none without title, address and company."""
+    whole = F.lit(True)
+    for c in ("JobTitle", "ApplicationURL", "Company"):
+        whole &= F.coalesce(F.col(c), F.lit("")) != ""
+    return postings.insert_missing(rows.where(whole).withColumn("sourceSite", F.lit(site)), *order)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import people, queries, reports, texts
+from tidemark.plans import people, queries, reports, stores, texts
 
-MODULES = (queries, texts, people, reports)
+MODULES = (queries, texts, people, reports, stores)
 QUERIES, ORACLE_SQL = queries.QUERIES, queries.ORACLE_SQL

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.operators.store import apply_changes
+from tidemark.operators.buckets import BucketStore
+from tidemark.operators.store import apply_changes, last_per_key
 
 # Root fields whose change matters to a query.
 SIGNIFICANT = [
@@ -37,65 +38,31 @@ def matters(operation: Column, touched: Column, fields: list[str] | None = None)
     return F.when(F.coalesce(operation, F.lit("")) != "update", F.lit(True)).otherwise(F.coalesce(some, F.lit(True)))
 
 
-class CurrentTable:
-    """A Parquet table in key buckets; each micro-batch rewrites the buckets that it touches.
+class CurrentTable(BucketStore):
+    """A ``BucketStore`` kept current by micro-batches: each rewrites the buckets that it touches, once.
 
-    A version N is a folder ``v=N`` with the new state of some buckets, and is committed by
-    a record of them in ``_log/v=N``, written last.  A new object finds the committed
-    versions in the log; a batch that is repeated after a failure finds its version there
-    and is skipped, or writes it anew if it was not committed, from versions before it only.
+    The number of a batch is in the record that commits it, so a batch that is repeated after
+    a failure is skipped, or written anew if it was not committed.  A batch with a change that
+    puts the whole table in question replaces it by the snapshot.  Every ``tidy`` versions the
+    log is summed up and folders that no state needs are removed.
     """
 
     def __init__(
         self, spark: SparkSession, path: str, schema: StructType, key: list[str], deleted: Column, order: str, buckets: int = 16,
-        reconcile: Column | None = None, snapshot: Callable[[], DataFrame] | None = None,
+        reconcile: Column | None = None, snapshot: Callable[[], DataFrame] | None = None, tidy: int = 64,
     ) -> None:
-        self.spark, self.path, self.schema, self.key, self.deleted, self.order = spark, path, schema, key, deleted, order
-        self.buckets, self.reconcile, self.snapshot = buckets, reconcile, snapshot
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        self.files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def exists(self, path: str) -> bool:
-        return self.files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path))
-
-    def latest(self, before: int | None = None) -> dict[int, int]:
-        """The last committed version of each bucket, below ``before``."""
-        if not self.exists(f"{self.path}/_log"):
-            return {}
-        log = self.spark.read.schema("bucket int, v long").parquet(f"{self.path}/_log")
-        rows = (log if before is None else log.where(F.col("v") < before)).groupBy("bucket").agg(F.max("v").alias("v"))
-        return {r["bucket"]: r["v"] for r in rows.collect()}  # a row a bucket
-
-    def read(self, latest: dict[int, int]) -> DataFrame:
-        paths = [p for b, v in sorted(latest.items()) if self.exists(p := f"{self.path}/v={v}/bucket={b}")]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-
-    def current(self) -> DataFrame:
-        return self.read(self.latest())
-
-    def write(self, rows: DataFrame, touched: list[int], version: int) -> None:
-        """The new state of the ``touched`` buckets, then the record that commits it."""
-        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
-        rows.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={version}")
-        self.spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_log/v={version}")
-
-    def start(self, table: DataFrame) -> None:
-        """Version 0, if nothing has been committed yet."""
-        if not self.latest():
-            self.write(table.select(*self.schema.names), list(range(self.buckets)), 0)
+        super().__init__(spark, path, schema, key, buckets)
+        self.deleted, self.order, self.reconcile, self.snapshot, self.tidy = deleted, order, reconcile, snapshot, tidy
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        version = number + 1
-        if self.exists(f"{self.path}/_log/v={version}/_SUCCESS"):
+        if self.has_batch(number):
             return
         if self.snapshot and self.reconcile is not None and not batch.where(self.reconcile).isEmpty():
-            self.write(self.snapshot().select(*self.schema.names), list(range(self.buckets)), version)
-            return
-        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
-        touched = sorted(r[0] for r in batch.select(bucket.alias("b")).distinct().collect())  # at most all buckets
-        latest = self.latest(version)
-        old = self.read({b: latest[b] for b in touched if b in latest})
-        self.write(apply_changes(old, batch, self.key, self.deleted, self.order), touched, version)
+            self.replace(self.snapshot(), number)
+        else:
+            self.rewrite(batch, lambda old: apply_changes(old, batch, self.key, self.deleted, self.order), number)
+        if self.tidy and self.version() % self.tidy == 0:
+            self.vacuum(keep=2)
 
     def follow(self, changes: DataFrame, available_now: bool = True):  # noqa: ANN201
         """Starts the stream; the checkpoint, which keeps the place in the feed, lies beside the table."""
@@ -124,14 +91,34 @@ def changed_mark(table: DataFrame, ts: str, seen: tuple | None) -> tuple | None:
     return None if seen == (row["n"], row["t"]) else (row["n"], row["t"])
 
 
+def fed(events: DataFrame, path: str, parts: int = 4) -> None:
+    """The events as a feed: files in the order of event ids, with what each operation is.  Errors are deletes; one file has a drop."""
+    last = events.agg(F.max("event_id").alias("m")).first()["m"]
+    operation = F.when(F.col("event_type") == "error", "delete").when(F.col("event_id") % 2 == 0, "update").otherwise("insert")
+    feed = events.select("user_id", "event_id", "event_type", "value", operation.alias("op"))
+    for k in range(parts):
+        own = feed.where(F.floor(F.col("event_id") * parts / F.lit((last or 0) + 1)) == k)
+        if k == parts // 2:
+            own = own.unionByName(events.sparkSession.range(1).select(F.lit("drop").alias("op")), allowMissingColumns=True)
+        own.coalesce(1).write.mode("append").parquet(path)  # a file a trigger; a feed is written by many small runs
+
+
 def followed(spark: SparkSession, sf_dir: str, shared: str) -> DataFrame:
-    """The last event of each user, kept by a stream over the events; errors take users out."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet")
-    operation = F.when(F.col("event_type") == "error", "delete").otherwise("update")
-    changes = feed.parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_id", "event_type", "value")
-    deleted = kind(operation) == "delete"
-    table = CurrentTable(spark, f"{shared}/current-{uuid.uuid4().hex}", changes.schema, ["user_id"], deleted, "event_id")
-    table.start(spark.createDataFrame([], changes.schema))
+    """The last event of each user, kept by a stream over a feed of several files with updates, deletes and a drop."""
+    events, path = spark.read.parquet(f"{sf_dir}/events.parquet"), f"{shared}/feed-{uuid.uuid4().hex}"
+    fed(events, path)
+    schema = spark.read.parquet(path).schema
+    changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    own = StructType([f for f in schema if f.name != "op"])
+
+    def snapshot() -> DataFrame:
+        """What the source has now."""
+        return last_per_key(events.select(*own.names), ["user_id"], "event_id").where("event_type <> 'error'")
+
+    table = CurrentTable(
+        spark, f"{shared}/current-{uuid.uuid4().hex}", own, ["user_id"], kind(F.col("op")) == "delete", "event_id",
+        reconcile=kind(F.col("op")) == "reconcile", snapshot=snapshot, tidy=2,
+    )
+    table.start()
     table.follow(changes).awaitTermination()
     return table.current()
