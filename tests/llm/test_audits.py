@@ -159,7 +159,7 @@ def odd_corpus(seed: int, n: int):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_divergence_is_that_of_brute_force(spark, monkeypatch, seed):
-    monkeypatch.setattr(divergence, "STREAM_ROWS", 10)  # several streams of a language
+    monkeypatch.setattr(divergence, "STREAM_TERMS", 3)  # several streams of a language
     rows = odd_corpus(seed, 150) + [(1, None, "lone", "only"), (2, "rare words", "none", "a"), (3, "too rare", "none", "b")]
     got = divergence.audit(docs_of(spark, rows).repartition(5), min_docs=4)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
@@ -177,19 +177,23 @@ def test_divergence_with_small_bounds(monkeypatch):
     rows = [(k, t or "", lang or "", s or "") for k, (_, t, lang, s) in enumerate(odd_corpus(5, 120))]
     texts = pa.schema([("doc", pa.int64()), ("text", pa.binary()), ("lang", pa.string()), ("source", pa.string())])
     runs = [r for b in divergence.partial_runs(iter(batches_of(texts, [(d, t.encode(), la, s) for d, t, la, s in rows], 9))) for r in b.to_pylist()]
-    runs.sort(key=lambda r: (r["lang"], r["term"], r["source"], r["doc"]))
-    kept = [r for b in divergence.kept_runs(iter([pa.RecordBatch.from_pylist(runs)]), 4) for r in b.to_pylist()]
-    totals, firsts = Counter(), Counter()
+    runs.sort(key=lambda r: (r["lang"], r["term"], r["doc"]))
+    run = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("sources", pa.list_(pa.string())), ("docs", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+    in_batches = [batches_of(run, [tuple(r[c] for c in run.names) for r in runs], k) for k in (1, 3, 1000)]
+    found = [[r for b in divergence.kept_runs(iter(some), 4) for r in b.to_pylist()] for some in in_batches]
+    kept = sorted(found[0], key=lambda r: (r["lang"], r["term"]))
+    assert all(sorted(f, key=lambda r: (r["lang"], r["term"])) == kept for f in found)
+    totals, v = Counter(), Counter(r["lang"] for r in kept)
     for r in kept:
-        totals[r["lang"], r["source"]] += r["n"]
-        firsts[r["lang"], r["source"]] += r["first"]
-    stream = pa.schema([("lang", pa.string()), ("salt", pa.int32()), ("term", pa.binary()), ("source", pa.string()), ("n", pa.int64()), ("first", pa.int64())])
+        for source, n in zip(r["sources"], r["n"], strict=True):
+            totals[r["lang"], source] += n
+    stream = pa.schema([("lang", pa.string()), ("salt", pa.int32()), ("term", pa.binary()), ("sources", pa.list_(pa.string())), ("n", pa.list_(pa.int64())), ("v", pa.int64())])
     sums, terms = Counter(), []
     for lang in sorted({r[2] for r in rows}):
         for salt in range(3):
-            own = [(lang, salt, None, s, totals[lang, s], firsts[lang, s]) for s in sorted({r[3] for r in rows if r[2] == lang})]
-            own += [(lang, salt, r["term"], r["source"], r["n"], r["first"]) for r in kept if r["lang"] == lang and r["term"][0] % 3 == salt]
-            for b in divergence.compared(iter(batches_of(stream, own, 4)), 3):
+            own = [(lang, salt, None, [s], [totals[lang, s]], v[lang]) for s in sorted({r[3] for r in rows if r[2] == lang})]
+            own += [(lang, salt, r["term"], r["sources"], r["n"], 0) for r in kept if r["lang"] == lang and r["term"][0] % 3 == salt]
+            for b in divergence.compared(iter(batches_of(stream, own, 4)), 3, 10**6):
                 for r in b.to_pylist():
                     if r["part"] == "pair":
                         sums[r["lang"], r["source"], r["item"].decode()] += r["value"]
