@@ -99,6 +99,12 @@ def test_merge_deletes_inserts_and_missing_rows(spark, tmp_path):
     assert rows.insert_missing(spark.createDataFrame([(3, 99)], "k long, v long"), "v") == []
     rows.insert_missing(spark.createDataFrame([(3, 99), (77, 2), (77, 1)], "k long, v long"), "v")
     assert {r["k"]: r["v"] for r in rows.current().where("k in (3, 77)").collect()} == {3: 6, 77: 1}
+    # a null is a key like any other
+    rows.merge(spark.createDataFrame([(None, 4, 0)], "k long, v long, at long"), ["at"], inserted={})
+    assert rows.insert_missing(spark.createDataFrame([(None, 5)], "k long, v long"), "v") == []
+    assert [r["v"] for r in rows.current().where("k is null").collect()] == [4]
+    rows.update(spark.createDataFrame([(None,)], "k long"), {"v": F.col("v") + 1})
+    assert [r["v"] for r in rows.current(spark.createDataFrame([(None,)], "k long")).collect()] == [5]
     version = rows.version()
     assert rows.delete(F.col("v") == -1) == [] and rows.version() == version
     rows.delete(F.col("v") >= 10)

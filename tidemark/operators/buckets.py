@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.operators.store import first_missing, last_per_key
+from tidemark.operators.store import last_per_key
 
 
 class Conflict(RuntimeError):
@@ -30,7 +30,7 @@ class Conflict(RuntimeError):
 
 
 class BucketStore:
-    """Rows of ``schema`` by ``key``.
+    """Rows of ``schema`` by ``key``; a null is a key like any other.
 
     ``buckets`` is fixed when the store is made: about rows / buckets rows are rewritten for each
     touched bucket, so choose it by bytes (some 100 MB each).  A bucket is written in ``parts``
@@ -109,7 +109,20 @@ class BucketStore:
         if keys is None:
             return self.read(latest)
         own = self.touched(keys)
-        return self.read({b: v for b, v in latest.items() if b in own}).join(keys.select(*self.key).distinct(), self.key, "left_semi")
+        return self.matched(self.read({b: v for b, v in latest.items() if b in own}), keys.select(*self.key).distinct(), "left_semi")
+
+    def matched(self, left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        """A join by key in which nulls are equal; the left key's columns, or the right's where the left has no row."""
+        names = {c: f"_key_{c}" for c in self.key}
+        fits = F.lit(True)
+        for c, other in names.items():
+            fits &= left[c].eqNullSafe(F.col(other))
+        met = left.join(right.withColumnsRenamed(names), fits, how)
+        if how in ("left_semi", "left_anti"):
+            return met
+        if how == "full_outer":
+            met = met.withColumns({c: F.when(F.col("_old").isNotNull(), left[c]).otherwise(F.col(other)) for c, other in names.items()})
+        return met.drop(*names.values())
 
     def write(self, rows: DataFrame, touched: list[int], version: int, batch: int | None = None) -> None:
         """The new state of the ``touched`` buckets, then the record that commits it."""
@@ -159,8 +172,9 @@ class BucketStore:
             return given[c] if c in given else F.col(f"n.{c}") if c in fresh.columns else fallback
 
         def change(old: DataFrame) -> DataFrame:
-            both = old.withColumn("_old", F.lit(True)).alias("o").join(fresh.alias("n"), self.key, "left" if inserted is None else "full_outer")
-            hit, there = F.col("n._hit").isNotNull(), F.col("o._old").isNotNull()
+            named = lambda rows, side: rows.select(*self.key, F.struct(*[c for c in rows.columns if c not in self.key]).alias(side))
+            both = self.matched(named(old, "o").withColumn("_old", F.lit(True)), named(fresh, "n"), "left" if inserted is None else "full_outer")
+            hit, there = F.col("n._hit").isNotNull(), F.col("_old").isNotNull()
             columns = [
                 F.when(hit & there, value(c, matched or {}, F.col(f"o.{c}"))).when(there, F.col(f"o.{c}"))
                 .otherwise(value(c, inserted or {}, F.lit(None))).cast(self.schema[c].dataType).alias(c)
@@ -177,8 +191,11 @@ class BucketStore:
 
     def insert_missing(self, source: DataFrame, *order: str) -> list[int]:
         """Adds the first row of each key that the store lacks; only buckets with a new key are written."""
-        new = first_missing(self.current(source), source, self.key, *order)
-        return self.rewrite(new, lambda old: old.unionByName(first_missing(old, source, self.key, *order), allowMissingColumns=True))
+        rest = [c for c in source.columns if c not in self.key]
+        best = F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("_b")
+        one = source.groupBy(*self.key).agg(best).select(*self.key, *[F.col(f"_b.{c}").alias(c) for c in rest])
+        new = self.matched(one, self.current(source).select(*self.key), "left_anti")
+        return self.rewrite(new, lambda old: old.unionByName(self.matched(one, old.select(*self.key), "left_anti"), allowMissingColumns=True))
 
     def update(self, keys: DataFrame, values: dict[str, Column]) -> list[int]:
         """Sets columns of the rows with one of the keys; ``values`` are over the stored columns."""
@@ -186,7 +203,7 @@ class BucketStore:
 
         def change(old: DataFrame) -> DataFrame:
             hit = F.col("_hit").isNotNull()
-            return old.join(own, self.key, "left").withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()}).drop("_hit")
+            return self.matched(old, own, "left").withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()}).drop("_hit")
 
         return self.rewrite(own, change)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import people, queries, reports, stores, texts
+from tidemark.plans import people, queries, reports, stores, streams, texts
 
-MODULES = (queries, texts, people, reports, stores)
+MODULES = (queries, texts, people, reports, stores, streams)
 QUERIES, ORACLE_SQL = queries.QUERIES, queries.ORACLE_SQL
