@@ -143,3 +143,77 @@ def test_least_or_all(spark):
     df = spark.range(10)
     assert ranking.at_least_or_all(df, F.col("id") < 3, 3).count() == 3
     assert ranking.at_least_or_all(df, F.col("id") < 3, 4).count() == 10
+
+
+def test_daily_order_is_a_permutation_of_places(spark):
+    for n in (1, 2, 3, 5, 10, 97, 100, 1000, 20_011):
+        a, b, _, steps = shuffle.feistel(n, "2026-01-01")
+        assert n <= a * b < n + a and steps >= 1
+        got = [r[0] for r in spark.range(n).select(shuffle.permuted(F.col("id"), n, "2026-01-01")).collect()]
+        assert sorted(got) == list(range(n))
+        if n > 90:
+            assert sum(abs(k - p) < n / 20 for k, p in enumerate(got)) < n / 5  # far from the order of places
+            other = [r[0] for r in spark.range(n).select(shuffle.permuted(F.col("id"), n, "2026-01-02")).collect()]
+            assert sum(x == y for x, y in zip(got, other, strict=True)) < n / 10
+    assert ranking.listed_order(list("abcdefghij"), "2026-01-01") == list("aeidhbjcfg")
+
+
+def test_places_are_numbered_over_partitions(spark, tmp_path):
+    rows = spark.createDataFrame([(k * 7919 % 1000, "x") for k in range(1000)], "k long, s string").repartition(7)
+    got = ranking.placed(rows, str(tmp_path / "p"), "k")
+    assert sorted((r["place"], r["k"]) for r in got.collect()) == [(k, k) for k in range(1000)]
+    assert ranking.daily_order(rows.limit(0), "k", "2026-01-01", str(tmp_path / "q")).count() == 0
+
+
+def test_hashes_of_names(spark):
+    df = spark.createDataFrame([("2026-01-01",), ("",), ("é日",)], "t string").select(shuffle.fnv1a_of(F.col("t")))
+    assert [r[0] for r in df.collect()] == [shuffle.fnv1a(t) for t in ("2026-01-01", "", "é日")]
+
+
+def test_slugs_take_the_first_free_name(spark):
+    import random
+
+    r = random.Random(2)
+    slugs = ["a", "a", "a-2", *(r.choice(["a", "a-2", "a-2-2", "b", "c-3", "c", "only", "only", None, "d-x", "d-x-2"]) for _ in range(400))]
+
+    def plain():
+        taken, out = set(), []
+        for s in slugs:
+            name, k = s, 2
+            while s is not None and name in taken:
+                name, k = f"{s}-{k}", k + 1
+            taken.add(name)
+            out.append(name)
+        return out
+
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate(slugs)], "k long, s string").repartition(5)
+    got = {x["k"]: x["unique_slug"] for x in visitors.unique_slugs(rows, "s", "k").collect()}
+    assert [got[k] for k in range(len(slugs))] == plain()
+    assert [got[k] for k in range(3)] == ["a", "a-2", "a-2-2"]
+    named = [v for v in got.values() if v is not None]
+    assert len(set(named)) == len(named)
+
+
+def test_entities_are_those_of_html(spark):
+    import html
+
+    from tidemark.functions import prose
+
+    known = [f"a&{name};b" for name in prose.ENTITIES] + [f"x &{name} y" for name in prose.SHORT]
+    known += ["&#252;", "&#xFC;&#x2013;", "&#8364", "&#128;", "&#0;", "&#xD800;", "&#x110000;", "&#99999999999;", "&amp;lt;", "&&amp;&", "no entity", "", "&#x1F600;!", "&#0000065;", "a &b; &c"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in [*known, None]], "t string").select(prose.decoded(F.col("t"))).collect()]
+    assert got[:-1] == [html.unescape(t) for t in known] and got[-1] is None
+
+
+def test_place_names_are_found_by_one_pattern(spark, tmp_path):
+    import re
+
+    from tidemark.operators import location
+
+    names = ["bad homburg", "ulm", "ulmen", "haar", "grenzach-wyhlen", "a.b"]
+    texts = ["in bad homburg", "ulmen", "xhaar", "bad hom", "grenzach-wyhlen", "axb", "a.b", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").rlike(location.tree_of(names)))
+    assert [r[0] for r in df.collect()] == [any(n in t for n in names) for t in texts]
+    assert all(re.search(location.tree_of(location.GERMAN_CITIES), n) for n in location.GERMAN_CITIES)
+    (tmp_path / "names.txt").write_text("Erlangen\nfürth \n\n")
+    assert location.names_of(spark, str(tmp_path / "names.txt")) == ["erlangen", "fürth"]

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from datetime import datetime
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import EDGE, js_trim
 
-# Named entities that are decoded, the ampersand last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00A0", "&amp;": "&"}
+#: Named entities: the names of HTML 4 and the apostrophe, with the characters of HTML 5.
+ENTITIES = {name: html5[f"{name};"] for name in (*name2codepoint, "apos")}
+#: Of these the names that need no semicolon.
+SHORT = sorted(name for name in ENTITIES if name in html5)
+#: What numbers from 128 to 159 stand for: the characters of Windows' code page, where it has one.
+WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
 # What begins the boilerplate at the end of a text.
 TAILS = [
     r"\n\s*(?:we are (?:proud to be )?an equal opportunity employer)", r"\n\s*(?:equal employment opportunity)",
@@ -30,11 +35,39 @@ GERMAN_PHRASES = [
 ]
 
 
+def character(number: Column) -> Column:
+    """The character of a code point; what is none becomes the replacement character."""
+    none = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    windows = F.create_map(*[F.lit(x) for pair in WINDOWS.items() for x in pair])
+    safe = F.when(none, 0xFFFD).otherwise(number).cast("long")
+    return F.when(number.between(128, 159), F.try_element_at(windows, number.cast("int"))).otherwise(F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32"))
+
+
 def decoded(text: Column) -> Column:
-    """Named entities of ``ENTITIES`` as characters."""
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Entities as characters: numbers, the names of HTML 4, and those names that need no semicolon without one."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    short = F.array(*[F.lit(n) for n in SHORT])
+
+    def code(digits: Column, base: int) -> Column:
+        """A number of more than nine digits is no character."""
+        bare = F.ltrim(digits, F.lit("0"))
+        return F.when(F.length(bare) > 9, 0x7FFFFFFF).when(bare == "", 0).otherwise(F.conv(bare, base, 10).cast("long"))
+
+    def part(p: Column) -> Column:
+        """What stands behind an ampersand."""
+        number, hexed, name = F.regexp_extract(p, "^#([0-9]+)", 1), F.regexp_extract(p, "^#[xX]([0-9a-fA-F]+)", 1), F.regexp_extract(p, "^[A-Za-z][A-Za-z0-9]*", 0)
+        rest = lambda n: F.regexp_replace(F.substring(p, n + 1, F.length(p)), "^;", "")
+        ended = F.substring(p, F.length(name) + 1, F.lit(1)) == ";"
+        known = F.when(ended | F.array_contains(short, name), F.try_element_at(names, name))
+        return (
+            F.when(number != "", F.concat(character(code(number, 10)), rest(F.length(number) + 1)))
+            .when(hexed != "", F.concat(character(code(hexed, 16)), rest(F.length(hexed) + 2)))
+            .when(known.isNotNull(), F.concat(known, rest(F.length(name)))).otherwise(F.concat(F.lit("&"), p))
+        )
+
+    parts = F.split(text, "&")
+    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), part), ""))
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def bare(html: Column) -> Column:

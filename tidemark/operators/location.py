@@ -3,25 +3,47 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import EDGE
+from tidemark.operators.store import listed
 
 # Places and words that stand for Germany, looked for as parts of the text.
-GERMAN_PLACES = (
-    "berlin munich münchen hamburg frankfurt cologne köln stuttgart düsseldorf dusseldorf dortmund essen leipzig "
-    "dresden hanover hannover nuremberg nürnberg duisburg bochum wuppertal bielefeld bonn münster munster karlsruhe "
-    "mannheim augsburg wiesbaden mönchengladbach gelsenkirchen braunschweig chemnitz kiel aachen halle magdeburg "
-    "freiburg krefeld lübeck lubeck oberhausen erfurt mainz rostock kassel hagen potsdam saarbrücken saarbrucken hamm "
-    "ludwigshafen leverkusen oldenburg osnabrück osnabruck solingen heidelberg darmstadt regensburg ingolstadt "
-    "würzburg wurzburg wolfsburg göttingen gottingen recklinghausen heilbronn ulm pforzheim offenbach bottrop trier "
-    "jena cottbus siegen hildesheim salzgitter gütersloh gutersloh iserlohn schwerin koblenz zwickau witten gera hanau "
-    "esslingen ludwigsburg tubingen tübingen flensburg konstanz worms marburg lüneburg luneburg bayreuth bamberg "
-    "plauen neubrandenburg wilhelmshaven dormagen bomlitz brunsbüttel brunsbuttel meppen emden cuxhaven celle "
-    "paderborn reutlingen germany deutschland german"
-).split()
+GERMAN_PLACES = [
+    "berlin", "munich", "münchen", "hamburg", "frankfurt", "cologne", "köln", "stuttgart", "düsseldorf", "dusseldorf", "dortmund", "essen",
+    "leipzig", "dresden", "hanover", "hannover", "nuremberg", "nürnberg", "duisburg", "bochum", "wuppertal", "bielefeld", "bonn", "münster",
+    "munster", "karlsruhe", "mannheim", "augsburg", "wiesbaden", "mönchengladbach", "gelsenkirchen", "braunschweig", "chemnitz", "kiel", "aachen",
+    "halle", "magdeburg", "freiburg", "krefeld", "lübeck", "lubeck", "oberhausen", "erfurt", "mainz", "rostock", "kassel", "hagen", "potsdam",
+    "saarbrücken", "saarbrucken", "hamm", "ludwigshafen", "leverkusen", "oldenburg", "osnabrück", "osnabruck", "solingen", "heidelberg", "darmstadt",
+    "regensburg", "ingolstadt", "würzburg", "wurzburg", "wolfsburg", "göttingen", "gottingen", "recklinghausen", "heilbronn", "ulm", "pforzheim",
+    "offenbach", "bottrop", "trier", "jena", "cottbus", "siegen", "hildesheim", "salzgitter", "gütersloh", "gutersloh", "iserlohn", "schwerin",
+    "koblenz", "zwickau", "witten", "gera", "hanau", "esslingen", "ludwigsburg", "tubingen", "tübingen", "flensburg", "konstanz", "worms", "marburg",
+    "lüneburg", "luneburg", "bayreuth", "bamberg", "plauen", "neubrandenburg", "wilhelmshaven", "dormagen", "bomlitz", "brunsbüttel", "brunsbuttel",
+    "meppen", "emden", "cuxhaven", "celle", "paderborn", "reutlingen", "germany", "deutschland", "german",
+]
+# Names by which a posting counts as German when it is taken in: large and middle cities, the country and its states; further names are passed.
+GERMAN_CITIES = [
+    "berlin", "hamburg", "munich", "münchen", "cologne", "köln", "frankfurt", "stuttgart", "düsseldorf", "dusseldorf", "leipzig", "dortmund",
+    "essen", "bremen", "dresden", "hannover", "hanover", "nuremberg", "nürnberg", "duisburg", "bochum", "wuppertal", "bielefeld", "bonn", "münster",
+    "munster", "karlsruhe", "mannheim", "augsburg", "wiesbaden", "mönchengladbach", "gelsenkirchen", "braunschweig", "aachen", "kiel", "chemnitz",
+    "halle", "magdeburg", "freiburg", "krefeld", "lübeck", "lubeck", "oberhausen", "erfurt", "mainz", "rostock", "kassel", "hagen", "potsdam",
+    "saarbrücken", "saarbrucken", "hamm", "ludwigshafen", "leverkusen", "oldenburg", "osnabrück", "osnabruck", "solingen", "heidelberg", "darmstadt",
+    "regensburg", "ingolstadt", "würzburg", "wurzburg", "wolfsburg", "göttingen", "gottingen", "recklinghausen", "heilbronn", "ulm", "pforzheim",
+    "offenbach", "bottrop", "trier", "jena", "cottbus", "siegen", "hildesheim", "salzgitter", "gütersloh", "gutersloh", "iserlohn", "schwerin",
+    "koblenz", "zwickau", "witten", "gera", "hanau", "esslingen", "ludwigsburg", "tübingen", "tubingen", "flensburg", "konstanz", "worms", "marburg",
+    "lüneburg", "luneburg", "bayreuth", "bamberg", "plauen", "neubrandenburg", "wilhelmshaven", "paderborn", "reutlingen", "neuss", "passau",
+    "landshut", "rosenheim", "kaiserslautern", "giessen", "gießen", "fulda", "weimar", "dessau", "celle", "detmold", "schwäbisch gmünd",
+    "ravensburg", "friedrichshafen", "villingen-schwenningen", "sindelfingen", "böblingen", "leonberg", "norderstedt", "delmenhorst", "neumünster",
+    "neustadt", "herford", "minden", "arnsberg", "lüdenscheid", "unna", "bergisch gladbach", "troisdorf", "euskirchen", "dormagen", "grevenbroich",
+    "meerbusch", "ratingen", "velbert", "mettmann", "langenfeld", "monheim", "hürth", "kerpen", "brühl", "erftstadt", "frechen", "pulheim",
+    "bergheim", "hennef", "sankt augustin", "bad honnef", "königswinter", "bornheim", "meckenheim", "rheinbach",
+    "germany", "deutschland", "hessen", "bayern", "bavaria", "sachsen", "saxony", "niedersachsen", "nordrhein-westfalen", "nrw",
+    "baden-württemberg", "baden württemberg", "rheinland-pfalz", "schleswig-holstein", "mecklenburg-vorpommern", "thüringen", "thuringia",
+    "brandenburg", "saarland", "sachsen-anhalt", "saxony-anhalt",
+]
 # Words that leave the place open.
 OPEN_PLACES = [
     "remote", "home office", "hybrid", "flexible", "various", "multiple", "tbd", "to be determined", "europe", "eu",
@@ -34,6 +56,35 @@ def any_of(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
+def tree_of(words: Iterable[str]) -> str:
+    """A pattern for any of the words anywhere, that shares beginnings: a place in a text is tried once for all words."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for c in word:
+            at = at.setdefault(c, {})
+        at[""] = {}  # a word ends: what follows does not matter for a part of a text
+
+    def pattern(at: dict) -> str:
+        if "" in at:
+            return ""
+        parts = [re.escape(c) + pattern(below) for c, below in at.items()]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return pattern(tree)
+
+
+def names_of(spark: SparkSession, path: str) -> list[str]:
+    """Place names from a text file, one a line: a list for people, of thousands at most."""
+    return [r[0] for r in listed(spark, path, r"\S").orderBy("value").collect()]
+
+
+def still_germany(place: Column, others: Column, names: Iterable[str] = GERMAN_CITIES) -> Column:
+    """The country by name, or one of the names, in the place or further places; false for nulls."""
+    every = F.lower(F.concat_ws(" ", F.coalesce(place, F.lit("")), F.array_join(F.coalesce(others, F.array().cast("array<string>")), " ")))
+    return every.rlike(tree_of(["germany", "deutschland", *names]))
+
+
 def mentions_germany(place: Column) -> Column:
     """The country, the lone word ``de`` or a German place; false for null."""
     low = F.lower(F.coalesce(place, F.lit("")))
@@ -116,14 +167,16 @@ def filled_workplace(value: Column, place: Column, text: Column) -> Column:
     return F.when((own != "") & (F.lower(own) != "unspecified"), own).otherwise(found)
 
 
-def stored_place(place: Column, others: Column, remote: Column) -> Column:
+def stored_place(place: Column, others: Column, remote: Column, names: Iterable[str] = GERMAN_CITIES) -> Column:
     """ "City, Germany" from the first place that names a German city; else Remote, Germany, or the place's parts once each."""
+    names = list(names)
+    cities_of, either_of = tree_of(names), tree_of(["germany", "deutschland", *names])
     text = lambda c: F.coalesce(c, F.lit(""))
     every = F.concat(F.array(text(place)), F.coalesce(others, F.array().cast("array<string>")))
-    german = F.filter(every, names_germany)
+    german = F.filter(every, lambda p: F.lower(p).rlike(either_of))
     clean = F.transform(german, lambda p: F.regexp_replace(p, r"(?i)\s*[-–—]\s*(Office|Hybrid|Remote|On-?site|Onsite)\s*$", ""))
     parts = F.transform(F.flatten(F.transform(clean, lambda p: F.split(p, ","))), lambda p: F.trim(p))
-    cities = F.filter(parts, lambda p: (p != "") & ~is_germany(p) & names_germany(p))
+    cities = F.filter(parts, lambda p: (p != "") & ~is_germany(p) & F.lower(p).rlike(cities_of))
     first = F.get(cities, F.lit(0))
     words = F.transform(F.split(first, " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1000))))
     city = F.concat(F.array_join(words, " "), F.lit(", Germany"))

@@ -75,9 +75,20 @@ def appended_new(old: DataFrame, new: DataFrame, key: str, *order: str) -> DataF
 
 
 def week_reset(users: DataFrame, as_of: datetime) -> DataFrame:
-    """``users`` with their weekly counters at zero."""
+    """``users`` with their weekly counters at zero; all else stays."""
     now = F.lit(as_of).cast("timestamp")
-    return users.withColumns({"views": F.lit(0), "clicks": F.lit(0), "weekResetAt": now})
+    return users.withColumns({"views": F.lit(0), "clicks": F.lit(0), "weekResetAt": now, "updatedAt": now})
+
+
+def visitors_reset(visitors: DataFrame, as_of: datetime) -> DataFrame:
+    """``visitors`` with no views, and seen now; all else stays."""
+    return visitors.withColumns({"viewCount": F.lit(0), "seen": F.array().cast("array<string>"), "lastSeenAt": F.lit(as_of).cast("timestamp")})
+
+
+def subscriptions_expired(subscriptions: DataFrame, as_of: datetime) -> DataFrame:
+    """Active ones whose term has ended are expired; without an end, or in another state, they stay."""
+    over = (F.col("status") == "active") & (F.col("expiresAt") < F.lit(as_of))
+    return subscriptions.withColumn("status", F.when(over, "expired").otherwise(F.col("status")))
 
 
 def parse_state(state: Column, since: Column, as_of: datetime, stuck_minutes: int = 10) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import shuffle
+
 
 def cap_per_group(rows: DataFrame, group: Column, cap: int, *order: Column) -> DataFrame:
     """The first ``cap`` rows of each group.  Spark limits each group before the shuffle."""
@@ -39,21 +41,26 @@ def at_least_or_all(rows: DataFrame, narrow: Column, least: int) -> DataFrame:
     return rows.where(narrow) if hits >= least else rows
 
 
-def daily_page(rows: DataFrame, key: str, order: list[int], first: int, size: int, path: str) -> DataFrame:
-    """(pos, key): a page of the exact daily order, by the permutation ``order`` of the rows sorted by ``key``.
+def placed(rows: DataFrame, path: str, *order: str) -> DataFrame:
+    """``rows`` with ``place``, their number from 0 in a total order.
 
-    Places in the sorted rows come from a range sort, written to the new folder ``path``,
-    and one count for each partition, so no task sees all rows.
+    A range sort deals the rows out, which are written to the new folder ``path`` with their number
+    in their partition; what is before a partition is a running sum over one row a partition.
     """
-    spark = rows.sparkSession
-    placed = rows.select(key).orderBy(key).withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
-    placed.withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id").write.parquet(path)
-    placed = spark.read.parquet(path)
-    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a partition
-    start, before = 0, {}
-    for part in sorted(sizes):
-        before[part], start = start, start + sizes[part]
-    wanted = spark.createDataFrame([(pos, order[pos]) for pos in range(first, min(first + size, len(order)))], "pos long, _place long")
-    base = F.try_element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_part")) if before else F.lit(0)
-    found = placed.withColumn("_place", base + F.col("_at"))
-    return found.join(F.broadcast(wanted), "_place").select("pos", key)
+    held = rows.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
+    held.withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id").write.parquet(path)
+    held = rows.sparkSession.read.parquet(path)
+    sizes = held.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return held.join(before, "_part").withColumn("place", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def daily_order(rows: DataFrame, key: str, day: str, path: str) -> DataFrame:
+    """(pos, key) of all rows in the day's order: places by ``key``, permuted row by row; only the number of rows is in the driver."""
+    found = placed(rows.select(key), path, key)
+    return found.select(shuffle.permuted(F.col("place"), max(found.count(), 1), day).alias("pos"), key)
+
+
+def listed_order(rows: list, day: str) -> list:
+    """A list that fits one machine in the exact daily order."""
+    return [rows[k] for k in shuffle.permutation(len(rows), day)]

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import placed
+from tidemark.operators.store import shared_dir
+
 
 def ip_hash(ip: Column, salt: str) -> Column:
     """24 hex digits of a salted SHA-256; null without an address."""
@@ -92,7 +98,41 @@ def unexpired(rows: DataFrame, ts: str, as_of: datetime, seconds: int = 3600) ->
     return rows.where(F.col(ts) > F.lit(as_of).cast("timestamp") - F.make_dt_interval(secs=F.lit(seconds)))
 
 
+def numbered(slugs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, unique_slug): the first free name of each, in order; a family stands together."""
+    family, taken, next_of = None, set(), {}
+    for batch in slugs:
+        rows, found = [], []
+        for own, row, slug in zip(*[batch.column(c).to_pylist() for c in ("_family", "_row", "_slug")], strict=True):
+            if own != family:
+                family, taken, next_of = own, set(), {}
+            name, k = slug, next_of.get(slug, 2)
+            while name in taken:
+                name, k = f"{slug}-{k}", k + 1
+            next_of[slug] = k  # what came before stays taken
+            taken.add(name)
+            rows.append(row)
+            found.append(name)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.string())], ["_row", "unique_slug"])
+
+
 def unique_slugs(rows: DataFrame, slug: str, *order: str) -> DataFrame:
-    """``rows`` with ``unique_slug``: the first of equal slugs keeps it, others get -2, -3 and so on."""
-    n = F.row_number().over(Window.partitionBy(slug).orderBy(*order))
-    return rows.withColumn("unique_slug", F.when(n == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), n.cast("string"))))
+    """``rows`` with ``unique_slug``: in order, each takes its slug, or slug-2, slug-3 and so on, whichever is free first.
+
+    Slugs can only meet those that differ in numbers at the end.  A slug that none of these has
+    is counted: its rows follow each other in a range sort, so a slug of very many rows is no
+    one task's work.  The others go, a family at a time, through a stream that holds the names
+    which the family has taken.  ``order`` is total.  A null slug stays null.
+    """
+    path = f"{shared_dir(rows.sparkSession)}/slugs-{uuid.uuid4().hex}"
+    held = placed(rows, path, slug, *order).withColumnRenamed("place", "_row")
+    first = held.groupBy(F.col(slug).alias("_s")).agg(F.min("_row").alias("_first")).withColumn("_family", F.regexp_replace("_s", r"(-[0-9]+)+$", ""))
+    sizes = first.where("_s is not null").groupBy("_family").agg(F.count("*").alias("_n"))
+    own = held.join(first.join(sizes, "_family", "left"), F.col(slug).eqNullSafe(F.col("_s")))
+    # the rows of slugs that share a family, in the caller's order
+    names = [f"_o{k}" for k in range(len(order))]
+    some = own.where("_n > 1").select("_family", "_row", F.col(slug).alias("_slug"), *[F.col(c).alias(n) for c, n in zip(order, names, strict=True)])
+    folded = some.repartition("_family").sortWithinPartitions("_family", *names).mapInArrow(numbered, "_row long, unique_slug string")
+    k = F.col("_row") - F.col("_first") + 1
+    alone = own.where("_n is null or _n = 1").withColumn("unique_slug", F.when(k == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), k.cast("string"))))
+    return alone.select(*rows.columns, "unique_slug").unionByName(held.join(folded, "_row").select(*rows.columns, "unique_slug"))

@@ -234,10 +234,18 @@ def by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.by_id(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "77", "o_orderkey", "o_custkey")
 
 
-@query("m06_week_reset", "SELECT views, clicks, count(*) AS n FROM (SELECT 0 AS views, 0 AS clicks FROM customer) GROUP BY ALL")
+@query("m06_week_reset", """SELECT c_custkey, 0 AS views, 0 AS clicks, c_name AS name, DATE '2000-01-01' AS reset, 0 AS viewed, c_custkey % 9 = 0 AS flagged,
+ CASE WHEN c_custkey % 4 = 3 THEN NULL WHEN c_custkey % 4 = 0 THEN 'cancelled' WHEN c_custkey % 5 < 2 THEN 'expired' ELSE 'active' END AS status FROM customer""")
 def week_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = table(spark, sf_dir, "customer").withColumns({"views": col("c_nationkey"), "clicks": col("c_nationkey")})
-    return counted_by(members.week_reset(users, AS_OF), col("views"), col("clicks"))
+    """The weekly reset of users, visitors and subscriptions: counters go, the rest stays."""
+    c, key = table(spark, sf_dir, "customer"), col("c_custkey")
+    users = members.week_reset(c.select("c_custkey", col("c_name").alias("name"), (key % 7).alias("views"), (key % 3).alias("clicks")), AS_OF)
+    seen = F.transform(F.sequence(F.lit(0), key % 3), lambda x: x.cast("string"))
+    visitors = members.visitors_reset(c.select("c_custkey", (key % 9 == 0).alias("flagged"), F.size(seen).alias("viewCount"), seen.alias("seen")), AS_OF)
+    days = F.when(key % 5 < 2, -1 - key % 30).when(key % 5 < 4, key % 30)
+    ends = c.where("c_custkey % 4 <> 3").select("c_custkey", F.when(key % 4 == 0, "cancelled").otherwise("active").alias("status"), (F.lit(AS_OF) + F.make_dt_interval(days=days.cast("int"))).alias("expiresAt"))
+    both = users.join(visitors, "c_custkey").join(members.subscriptions_expired(ends, AS_OF), "c_custkey", "left")
+    return both.select("c_custkey", "views", "clicks", "name", F.to_date("weekResetAt").alias("reset"), (F.size("seen") + col("viewCount")).alias("viewed"), "flagged", "status")
 
 
 @query("m14_dead_pages", "SELECT page_id FROM pages WHERE CASE page_id % 5 WHEN 0 THEN 404 WHEN 1 THEN 410 WHEN 2 THEN 500 WHEN 3 THEN 200 END IN (404, 410)")

@@ -248,25 +248,26 @@ def manual_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(known, F.lower("name") == F.col("k"), "left_anti")
 
 
-M32 = "4294967295::UBIGINT"
 ORDER_DAY = "2026-01-01"
 
 
-@query("o01_daily_order", f"""WITH RECURSIVE rows AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 3 = 0),
- n AS (SELECT count(*)::BIGINT AS n FROM rows),
- fy AS (SELECT n - 1 AS i, {shuffle.fnv1a(ORDER_DAY)}::UBIGINT AS a, range(n) AS l FROM n
-  UNION ALL SELECT i - 1, b, list_transform(l, lambda x, p: CASE WHEN p = i + 1 THEN l[j + 1] WHEN p = j + 1 THEN l[i + 1] ELSE x END)
-  FROM (SELECT i, b, l, CAST(floor((xor(u, u >> 14) & {M32})::DOUBLE / 4294967296 * (i + 1)) AS BIGINT) AS j
-   FROM (SELECT i, b, l, xor((t + ((xor(t, t >> 7) * (61 | t)) & {M32})) & {M32}, t) AS u
-    FROM (SELECT i, b, l, (xor(b, b >> 15) * (1 | b)) & {M32} AS t FROM (SELECT i, l, (a + 1831565813) & {M32} AS b FROM fy WHERE i > 0))))),
- done AS (SELECT l FROM fy WHERE i = (SELECT least(0, n - 1) FROM n)),
- placed AS (SELECT unnest(l) AS place, generate_subscripts(l, 1) - 1 AS pos FROM done)
- SELECT pos, k AS o_orderkey FROM placed JOIN rows USING (place)""")
+def walked(day: str) -> str:
+    """One step of the keyed permutation over places v, as SQL: four rounds, then the place of both halves."""
+    keys = shuffle.feistel(1, day)[2]
+    more = lambda x, k: f"((({x} + {keys[k][0]}) % {shuffle.PRIME}) * (({x} + {keys[k][1]}) % {shuffle.PRIME}) % {shuffle.PRIME})"
+    turns = "SELECT k, n, a, b, steps, v // b AS l, v % b AS r FROM walk WHERE steps = 0 OR v >= n"
+    for j in range(shuffle.ROUNDS):
+        l, r = ("l", f"(r + {more('l', j)}) % b") if j % 2 else (f"(l + {more('r', j)}) % a", "r")  # noqa: E741
+        turns = f"SELECT k, n, a, b, steps, {l} AS l, {r} AS r FROM ({turns})"
+    return f"SELECT k, n, a, b, steps + 1, l * b + r FROM ({turns})"
+
+
+@query("o01_daily_order", f"""WITH RECURSIVE size AS (SELECT n, floor(sqrt(n - 1))::BIGINT + 1 AS a FROM (SELECT count(*) AS n FROM orders)),
+ walk AS (SELECT o_orderkey AS k, n, a, (n + a - 1) // a AS b, 0 AS steps, row_number() OVER (ORDER BY o_orderkey) - 1 AS v FROM orders, size UNION ALL {walked(ORDER_DAY)})
+ SELECT v AS pos, k AS o_orderkey FROM walk WHERE steps > 0 AND v < n""")
 def daily_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact daily order of some orders, whole."""
-    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_orderkey % 3 = 0")
-    order = shuffle.permutation(rows.count(), ORDER_DAY)
-    return ranking.daily_page(rows, "o_orderkey", order, 0, len(order), f"{store.shared_dir(spark)}/daily-{uuid.uuid4().hex}")
+    """All orders in the day's order."""
+    return ranking.daily_order(table(spark, sf_dir, "orders"), "o_orderkey", ORDER_DAY, f"{store.shared_dir(spark)}/daily-{uuid.uuid4().hex}")
 
 
 MARKED = " ".join(

@@ -175,7 +175,6 @@ for _key, _made, _sql in (
     ("x12_workplace_name", lambda: location.workplace_name(col("WorkplaceType")), "CASE WHEN contains(lower(WorkplaceType), 'remote') THEN 'Remote' WHEN contains(lower(WorkplaceType), 'hybrid') THEN 'Hybrid' ELSE 'Unspecified' END"),
     ("x12_employment_name", lambda: location.employment_name(col("EmploymentType")), "CASE EmploymentType WHEN 'Full-time' THEN 'FullTime' WHEN 'full_time' THEN 'FullTime' WHEN 'PartTime' THEN 'PartTime' WHEN 'Intern' THEN 'Intern' WHEN 'temp' THEN 'Temporary' WHEN 'Freelance contract' THEN 'Contract' END"),
     ("x12_country_code", lambda: location.country_code(col("CountryCode")), "CASE trim(CountryCode) WHEN '' THEN NULL WHEN 'DEU' THEN 'DEU' ELSE upper(trim(CountryCode)) END"),
-    ("f16_names_germany", lambda: location.names_germany(col("Location")).cast("string"), f"{any_sql('lower(Location)', location.GERMAN_PLACES)}::VARCHAR"),
     ("f22_mentions_germany", lambda: location.mentions_germany(col("Location")).cast("string"), f"({any_sql('lower(Location)', location.GERMAN_PLACES)} OR regexp_matches(lower(Location), '\\bde\\b'))::VARCHAR"),
     ("f14_banned_role", lambda: F.lower("JobTitle").rlike("|".join(ingest.BANNED_ROLES)).cast("string"), f"{any_sql('lower(JobTitle)', ingest.BANNED_ROLES)}::VARCHAR"),
     ("f15_keywords", lambda: ingest.fits_keywords(col("JobTitle"), ["Engineer", "manager"]).cast("string"), "(contains(lower(JobTitle), 'engineer') OR contains(lower(JobTitle), 'manager'))::VARCHAR"),
@@ -192,6 +191,38 @@ for _key, _made, _sql in (
 GERMAN_CITY = any_sql("lower(x)", location.GERMAN_PLACES)
 
 
+#: Places of postings: the place, further ones, whether it is in Germany, and how it is stored.
+SITES = [
+    ("Bremen", None, True, "Bremen, Germany"), ("Walldorf, BW", None, True, "Walldorf, Germany"), ("fürth - Hybrid", None, True, "Fürth, Germany"),
+    ("Kaiserslautern", None, True, "Kaiserslautern, Germany"), ("Vienna", "Graz|erlangen, Bavaria", True, "Erlangen, Germany"), ("Deutschland", None, True, "Germany"),
+    ("Remote - Germany", None, True, "Remote - Germany, Germany"), ("Remote, Germany", None, True, "Remote, Germany"), ("German speaking, Vienna", None, False, "German speaking, Vienna"),
+    ("Paris, paris, France", "Lyon", False, "Paris, France"), (None, "Villingen-Schwenningen", True, "Villingen-schwenningen, Germany"), (None, None, False, "Germany"),
+    ("Schwäbisch Gmünd – Onsite", None, True, "Schwäbisch Gmünd, Germany"), ("Zürich", "", False, "Zürich"),
+]
+said = lambda v: "NULL" if v is None else f"'{v}'"
+AT = f"(VALUES {', '.join(f'({k}, {said(p)}, {str(g).upper()}, {said(s)})' for k, (p, _, g, s) in enumerate(SITES))}) AS site(k, place, german, stored)"
+#: Further names that a caller passes besides the list.
+MORE_PLACES = ("erlangen", "fürth", "walldorf")
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with a place each."""
+    pick = lambda j: F.element_at(F.array(*[F.lit(s[j]) for s in SITES]), (col("c_custkey") % len(SITES) + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", pick(0).alias("place"), F.split(pick(1), r"\|").alias("others"))
+
+
+@query("f16_names_germany", f"SELECT c_custkey, german FROM customer JOIN {AT} ON c_custkey % {len(SITES)} = k")
+def still_german(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = (*location.GERMAN_CITIES, *MORE_PLACES)
+    return sites(spark, sf_dir).select("c_custkey", location.still_germany(col("place"), col("others"), names).alias("german"))
+
+
+@query("x13_stored_place_named", f"SELECT c_custkey, stored AS place FROM customer JOIN {AT} ON c_custkey % {len(SITES)} = k")
+def stored_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = (*location.GERMAN_CITIES, *MORE_PLACES)
+    return sites(spark, sf_dir).select("c_custkey", location.stored_place(col("place"), col("others"), F.lit(False), names).alias("place"))
+
+
 @query("x13_stored_place", JOBS + """SELECT place, count(*) AS n FROM (SELECT CASE Location WHEN 'Berlin, Germany' THEN 'Berlin, Germany' WHEN 'Remote - Germany' THEN 'Remote - Germany, Germany' WHEN 'München' THEN 'München, Germany' WHEN 'Paris, France' THEN 'Paris, France'
  WHEN 'Köln - Hybrid' THEN 'Köln, Germany' WHEN 'Rio de Janeiro' THEN 'Rio de Janeiro' WHEN '' THEN 'Germany' WHEN 'Ulm, Baden, ulm' THEN 'Ulm, Germany' WHEN 'Frankfurt am main; Bonn' THEN 'Frankfurt Am Main; Bonn, Germany' ELSE 'Remote Kiel|jena, Germany' END AS place FROM jobs) GROUP BY 1""")
 def stored_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,8 +230,17 @@ def stored_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).groupBy(made.alias("place")).agg(F.count("*").alias("n"))
 
 
-@query("x17_bare_text", r"""SELECT page_id, md5(trim(regexp_replace(t, '[\s\x{00A0}]+', ' ', 'g'))) AS text FROM (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(d, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t
- FROM (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS d FROM pages))""")
+def undone(t: str) -> str:
+    """The entities that the pages hold, as SQL; the ampersand last."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("apos", "''"), ("nbsp", "\u00A0"), ("copy", "©"), ("middot", "·")):
+        t = f"replace({t}, '&{name};', '{char}')"
+    return f"replace(regexp_replace({t}, '&amp([^A-Za-z0-9;]|$)', '&\\1', 'g'), '&amp;', '&')"
+
+
+TAGLESS = f"regexp_replace({undone('html')}, '<[^>]+>', '', 'g')"
+
+
+@query("x17_bare_text", rf"""SELECT page_id, md5(trim(regexp_replace(t, '[\s\x{{00A0}}]+', ' ', 'g'))) AS text FROM (SELECT page_id, {undone(TAGLESS)} AS t FROM pages)""")
 def bare_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(prose.bare(col("html"))).alias("text"))
 
@@ -211,10 +251,10 @@ def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("x34_german_context", r"""SELECT doc_id, CASE WHEN length(t) >= 100 THEN md5(trim(substr(t, greatest(p - 1000, 0)::BIGINT + 1, p + 8 + 1000 - greatest(p - 1000, 0)), E' \n\t\r\x0b\x0c')) END AS context FROM (SELECT doc_id, t, instr(t, 'german required'::VARCHAR) - 1 AS p
- FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '[^a-z \n]', 'x', 'g') || ' german required ' || regexp_replace(text, '[^a-z \n]', 'x', 'g') ELSE '' END AS t FROM documents)) WHERE p >= 0""".replace("p + 8", "p + 15"))
+ FROM (SELECT doc_id, regexp_replace(text, '[^a-z \n]', 'x', 'g') || ' german required ' || regexp_replace(text, '[^a-z \n]', 'x', 'g') AS t FROM documents)) WHERE p >= 0""".replace("p + 8", "p + 15"))
 def german_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = F.regexp_replace("text", "[^a-z \n]", "x")
-    rows = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", F.concat(clean, F.lit(" german required "), clean).alias("t"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(clean, F.lit(" german required "), clean).alias("t"))
     return rows.select("doc_id", F.md5(prose.german_context(col("t"))).alias("context"))
 
 
@@ -261,9 +301,11 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(store.content_hash(F.collect_list(col("event_id").cast("string"))).alias("hash"))
 
 
-@query("x24_fnv1a", "SELECT 2049302883 AS seed")
+@query("x24_fnv1a", """SELECT c_custkey, list_reduce(list_prepend(2166136261, list_transform(string_split(c_name || '/2026', ''), lambda c: unicode(c)::BIGINT)),
+ lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS seed FROM customer""")
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(shuffle.fnv1a("2026-01-01"),)], "seed long")
+    """The 32-bit hash of each customer's name."""
+    return table(spark, sf_dir, "customer").select("c_custkey", shuffle.fnv1a_of(F.concat("c_name", F.lit("/2026"))).alias("seed"))
 
 
 ENGLISH = "JobTitle <> '' AND NOT contains(lower(JobTitle), 'werkstudent') AND NOT contains(lower(JobTitle), 'german-speaking')"
