@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import people, queries, reports, stores, streams, texts
+from tidemark.plans import intake, people, queries, reports, stores, streams, texts
 
-MODULES = (queries, texts, people, reports, stores, streams)
+MODULES = (queries, texts, people, reports, stores, streams, intake)
 QUERIES, ORACLE_SQL = queries.QUERIES, queries.ORACLE_SQL
