@@ -96,3 +96,9 @@ def board_guesses(company: Column, least: int = 3) -> Column:
 def clean_list(values: Column) -> Column:
     """Trimmed, non-empty strings of an array, each once, in the order of first sight."""
     return F.array_distinct(F.filter(F.transform(values, js_trim), lambda v: v.isNotNull() & (v != "")))
+
+
+def clean_skills(skills: Column, categories: list[str], fallback: str = "Other") -> Column:
+    """Skills (name, category) with a name, trimmed; a category that is not listed becomes the fallback."""
+    named = F.filter(skills, lambda s: js_trim(F.coalesce(s["name"], F.lit(""))) != "")
+    return F.transform(named, lambda s: F.struct(js_trim(s["name"]).alias("name"), F.when(s["category"].isin(categories), s["category"]).otherwise(fallback).alias("category")))

@@ -8,7 +8,7 @@ from html.entities import html5, name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import EDGE, js_trim
+from tidemark.functions.text import EDGE, js_trim, let
 
 #: Named entities: the names of HTML 4 and the apostrophe, with the characters of HTML 5.
 ENTITIES = {name: html5[f"{name};"] for name in (*name2codepoint, "apos")}
@@ -84,31 +84,80 @@ def gated_preview(text: Column, length: int = 150) -> Column:
 def found_at(text: Column, pattern: str) -> Column:
     """(place from 0, length) of the first match; null without one."""
     java = "(?iu)" + pattern.replace(r"\b", EDGE)
-    place = F.regexp_instr(text, F.lit(java))
-    return F.when(place > 0, F.struct((place - 1).alias("at"), F.length(F.regexp_extract(text, java, 0)).alias("n")))
+    found = lambda place: F.when(place > 0, F.struct((place - 1).alias("at"), F.length(F.regexp_extract(text, java, 0)).alias("n")))
+    return let(F.regexp_instr(text, F.lit(java)), found)
 
 
 def without_tail(text: Column) -> Column:
     """Tracking tags out; boilerplate cut where it begins in the last 30 % of the text."""
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), "#LI-[A-Za-z0-9]+", "")
-    late = [F.when(found_at(clean, p)["at"] > F.length(clean) * 0.7, found_at(clean, p)["at"]) for p in TAILS]
-    cut = F.coalesce(js_trim(F.left(clean, F.coalesce(*late))), clean)
-    return js_trim(F.regexp_replace(cut, "[\\s\u00A0]{3,}", "\n\n"))
+
+    def cut(clean: Column) -> Column:
+        late = F.coalesce(*[let(found_at(clean, p)["at"], lambda at: F.when(at > F.length(clean) * 0.7, at)) for p in TAILS])
+        return F.coalesce(js_trim(F.left(clean, late)), clean)
+
+    whole = let(F.regexp_replace(F.coalesce(text, F.lit("")), "#LI-[A-Za-z0-9]+", ""), cut)
+    return js_trim(F.regexp_replace(whole, "[\\s\u00A0]{3,}", "\n\n"))
 
 
 def german_context(text: Column, around: int = 1000) -> Column:
     """The text around the first phrase, by the order of phrases, that asks for German; null below 100 characters."""
-    hit = F.coalesce(*[found_at(text, p) for p in GERMAN_PHRASES])
-    start = F.greatest(hit["at"] - around, F.lit(0))
-    part = F.substring(text, start + 1, hit["at"] + hit["n"] + around - start)
-    return F.when(F.length(text) >= 100, js_trim(part))
 
+    def part(hit: Column) -> Column:
+        start = F.greatest(hit["at"] - around, F.lit(0))
+        return js_trim(F.substring(text, start + 1, hit["at"] + hit["n"] + around - start))
+
+    return F.when(F.length(text) >= 100, let(F.coalesce(*[found_at(text, p) for p in GERMAN_PHRASES]), part))
+
+
+# Headings of what a posting asks for, and of what follows it.
+ASKED_HEADINGS = [
+    "requirements", "what you['']ll bring", "what we['']re looking for", "your profile", "qualifications", "what you bring", "your expertise", "who you are",
+    "must[- ]?have", "minimum requirements", "required skills", "key requirements", "what we expect", "your skills", "skills and experience", "about you",
+    "what you need", "desired qualifications", "preferred qualifications", "you have", "humble expectations", "technical qualifications", "core competencies",
+    "essential skills", "your background", "key qualifications", "what you['']ll need", "experience and skills", "our requirements",
+]
+ASKED_HEADINGS_DE = [
+    "anforderungen", "was du mitbringst", "dein profil", "qualifikationen", "was wir erwarten", "deine skills", "voraussetzungen", "das bringst du mit",
+    "was sie mitbringen", "ihr profil", "das solltest du mitbringen", "deine qualifikationen", "das zeichnet dich aus", "das erwarten wir", "dein hintergrund",
+]
+OTHER_HEADINGS = [
+    "benefits", "what we offer", "how we['']ll take care", "our commitment", "about us", "about the", "the team", "your responsibilities", "what you['']ll do",
+    "our offer", "was wir bieten", "unser angebot", "location", "salary", "compensation", "perks", "why join", "why us", "apply", "how to apply",
+    "nice to have", "bonus points", "unsere benefits", "was wir dir bieten",
+]
+
+
+def heading(words: list[str], start: str) -> str:
+    """A line that is one of the headings, with a colon or dash at most."""
+    return rf"{start}[\s\u00A0]*(?:{'|'.join(words)})[\s\u00A0]*[:\-]?[\s\u00A0]*\n"
+
+
+def asked_section(text: Column, least: int = 100, most: int = 3000) -> Column:
+    """What stands under the first heading of requirements, English before German, up to another heading; null below ``least`` characters."""
+
+    def section(rest: Column) -> Column:
+        end = F.coalesce(found_at(rest, heading(OTHER_HEADINGS, r"\n"))["at"], F.lit(most))
+        return let(js_trim(F.left(rest, end)), lambda s: F.when(F.length(s) >= least, s))
+
+    def under(words: list[str]) -> Column:
+        rest = let(found_at(text, heading(words, r"(?:^|\n)")), lambda hit: F.substring(text, hit["at"] + hit["n"] + 1, F.length(text)))
+        return let(rest, section)
+
+    return F.coalesce(under(ASKED_HEADINGS), under(ASKED_HEADINGS_DE))
+
+
+def snippet(text: Column, room: int = 4000, most: int = 5500) -> Column:
+    """What a reader with little room gets of a plain text: German context, or all, or the requirements between both ends, or both ends."""
+
+    def framed(clean: Column) -> Column:
+        parts = (F.lit("\n\n--- REQUIREMENTS SECTION ---\n"), asked_section(clean), F.lit("\n--- END REQUIREMENTS ---\n\n"))
+        return F.left(F.concat(F.left(clean, F.lit(1000)), *parts, F.right(clean, F.lit(1000))), F.lit(most))
+
+    def taken(clean: Column) -> Column:
+        ends = F.concat(F.left(clean, F.lit(1500)), F.lit("\n...\n"), F.right(clean, F.lit(2500)))
+        return F.coalesce(german_context(clean), F.when(F.length(clean) <= room, clean), framed(clean), ends)
 
-def snippet(text: Column) -> Column:
-    """What a reader with little room gets of a plain text: German context, or all, or both ends."""
-    clean = without_tail(text)
-    ends = F.concat(F.left(clean, F.lit(1500)), F.lit("\n...\n"), F.right(clean, F.lit(2500)))
-    return F.coalesce(german_context(clean), F.when(F.length(clean) <= 4000, clean), ends)
+    return let(without_tail(text), taken)
 
 
 def reply_json(reply: Column, schema: str, array: bool = False) -> Column:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
+
 M32 = 0xFFFFFFFF
 
 
@@ -72,10 +74,6 @@ def permuted(place: Column, n: int, day: str) -> Column:
     """
     a, b, keys, steps = feistel(n, day)
 
-    def let(value: Column, then) -> Column:  # noqa: ANN001
-        """``then`` of a value that is computed once."""
-        return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
-
     def turn(h: Column, k: int) -> Column:
         x = h["r"] if k % 2 == 0 else h["l"]
         more = ((x + keys[k][0]) % PRIME) * ((x + keys[k][1]) % PRIME) % PRIME

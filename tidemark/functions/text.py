@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,3 +72,8 @@ def experience_of(title: Column) -> Column:
     for level, words in reversed(levels.items()):
         found = F.when(t.rlike(f"{EDGE}(?:{words}){EDGE}"), F.lit(level)).otherwise(found)
     return found
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))

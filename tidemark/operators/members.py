@@ -115,3 +115,21 @@ def valid_feedback(message: Column, email: Column, most_words: int = 200) -> Col
     words = F.size(F.filter(F.split(F.coalesce(message, F.lit("")), r"\s+"), lambda w: w != ""))
     plausible = F.coalesce(email, F.lit("")).rlike(r"^$|^[^\s@]+@[^\s@]+\.[^\s@]+$")
     return words.between(1, most_words) & plausible
+
+
+def backfilled(users: DataFrame, by_domain: dict[str, list[str]], legacy: tuple[str, ...], as_of: datetime) -> DataFrame:
+    """``users`` whose wanted categories come from an old field where they have none; the old fields go.
+
+    A user in none of the domains, or with categories, keeps what is there, an empty list at least;
+    updatedAt is set where categories were filled in.
+    """
+    none = F.coalesce(F.size("desiredCategories") <= 0, F.lit(True))
+    found = F.lit(None).cast("array<string>")
+    for domain, categories in by_domain.items():
+        found = F.when(F.col("domain") == domain, F.array(*[F.lit(c) for c in categories])).otherwise(found)
+    filled = none & found.isNotNull()
+    made = users.withColumns({
+        "desiredCategories": F.when(filled, found).otherwise(F.coalesce("desiredCategories", F.array().cast("array<string>"))),
+        "updatedAt": F.when(filled, F.lit(as_of).cast("timestamp")).otherwise(F.col("updatedAt")),
+    })
+    return made.drop(*legacy)

@@ -45,10 +45,10 @@ def freshness(rows: DataFrame, ts: str, as_of: datetime, warn_hours: int = 30, f
     )
 
 
-def rollup(checks: DataFrame) -> DataFrame:
-    """One row: down if a critical check failed, degraded if any is not ok, else operational."""
+def rollup(checks: DataFrame, *by: str) -> DataFrame:
+    """One row (or one a group): down if a critical check failed, degraded if any is not ok, else operational."""
     down = F.bool_or(F.col("critical") & (F.col("status") == "fail"))
-    return checks.agg(F.when(down, "down").when(F.bool_or(F.col("status") != "ok"), "degraded").otherwise("operational").alias("overall"))
+    return checks.groupBy(*by).agg(F.when(down, "down").when(F.bool_or(F.col("status") != "ok"), "degraded").otherwise("operational").alias("overall"))
 
 
 def yields(boards: DataFrame, board: str, hit: Column, sample: str, n: int = 3) -> DataFrame:

@@ -121,6 +121,20 @@ def of_company(name: str, company: str = "Company") -> Column:
     return F.lower(F.col(company)) == name.lower()
 
 
+def articles(rows: DataFrame, slug: str | None = None, category: str | None = None) -> DataFrame:
+    """Published articles: one by its slug, whatever the case; those of a category; or all."""
+    found = rows.where(F.col("status") == "published")
+    if slug is not None:
+        return found.where(F.col("slug") == slug.lower())
+    return found if category is None else found.where(F.col("category") == category)
+
+
+def to_probe(candidates: DataFrame, seen: DataFrame, key: list[str], retry_empty: bool = False) -> DataFrame:
+    """Candidates that are worth a probe: not seen before, or seen empty where empty ones are tried again."""
+    known = seen.where(F.col("status") != "empty") if retry_empty else seen.where(F.col("status").isNotNull())
+    return candidates.join(known.select(*key).distinct(), key, "left_anti")
+
+
 #: What is kept of a verdict.
 VERDICT = "fingerprint string, germanRequired boolean, confidence double, domain string, subDomain string, createdAt timestamp, updatedAt timestamp"
 
