@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import digest, facets, schemas
+from tidemark.operators import digest, facets, markup, schemas
 from tidemark.plans.queries import AS_OF, LIVE, POSTINGS, postings, query, table
 from tidemark.plans.stores import folder
 from tidemark.sources import paged
@@ -123,3 +123,21 @@ def weekly_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = digest.messages(users, rows.select("Category", "JobID", "PostedDate"), "Category", "JobID", *facets.newest_first())
     picks = F.array_join(F.transform("picks", lambda p: F.concat(p["category"], F.lit(":"), p["id"].cast("string"))), ",")
     return sent.select("c_custkey", "total", col("shown").cast("long").alias("shown"), picks.alias("picks"))
+
+
+@query("x18_sanitized")
+def sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's markup, made safe.  DuckDB has no parser either, so walks over small trees test it."""
+    return markup.sanitized(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query("m13_resanitized", """SELECT page_id, '<p>' || page_id || ' &amp; more</p>' AS html FROM pages WHERE page_id % 3 <> 0""")
+def resanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored markup of three kinds: safe already, encoded, and with what must go."""
+    key = col("page_id")
+    text = F.concat(key.cast("string"), F.lit(" &amp;amp;amp; more"))
+    old = F.when(key % 3 == 0, F.concat(F.lit("<p>"), key.cast("string"), F.lit("</p>"))).when(
+        key % 3 == 1, F.concat(F.lit("&amp;lt;div class=x&amp;gt;"), text, F.lit("&amp;lt;/div&amp;gt;"))
+    )
+    rest = F.concat(F.lit("<div class='content-conclusion'>no<div>t</div></div><p class=a>"), text, F.lit("</p><script>no()</script>"))
+    return markup.resanitized(table(spark, sf_dir, "pages").select(key, F.coalesce(old, rest).alias("old")), "page_id", "old")
