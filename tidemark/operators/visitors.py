@@ -70,15 +70,17 @@ def identified(requests: DataFrame, visitors: DataFrame, as_of: datetime, fresh_
     signal alone, which crowds may share, is joined but the cookie.
     """
     v = visitors.select("id", "lastSeenAt", *[F.col(c).alias(f"v_{c}") for c in ("vid", "ip", "print")], "flagged", "linked", "createdAt")
-    joined = lambda signals: requests.join(v, [F.col(s) == F.col(f"v_{s}") for s in signals])
-    found = [
-        joined(pair).select("request", "id", "lastSeenAt", F.lit(0).alias("rule"), F.lit("two signals").alias("how"))
-        for pair in (("vid", "ip"), ("vid", "print"), ("ip", "print"))
-    ]
-    found.append(joined(("vid",)).select("request", "id", "lastSeenAt", F.lit(1).alias("rule"), F.lit("cookie").alias("how")))
+    # of the visitors that share signals only the one seen last can be meant: crowds are cut down before the join
+    last = F.max(F.struct("lastSeenAt", (-F.col("id")).alias("_i"))).alias("b")
+
+    def joined(signals: tuple[str, ...], rule: int, how: str) -> DataFrame:
+        best = v.dropna(subset=[f"v_{s}" for s in signals]).groupBy(*[f"v_{s}" for s in signals]).agg(last)
+        hit = requests.join(best, [F.col(s) == F.col(f"v_{s}") for s in signals])
+        return hit.select("request", (-F.col("b._i")).alias("id"), F.col("b.lastSeenAt").alias("lastSeenAt"), F.lit(rule).alias("rule"), F.lit(how).alias("how"))
+
+    found = [joined(pair, 0, "two signals") for pair in (("vid", "ip"), ("vid", "print"), ("ip", "print"))] + [joined(("vid",), 1, "cookie")]
     # of the anonymous visitors at an address only the one seen last can be meant
     blank = v.where("v_vid is null and v_print is null and v_ip is not null")
-    last = F.max(F.struct("lastSeenAt", (-F.col("id")).alias("_i"))).alias("b")
     fresh = F.col("createdAt") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(mins=F.lit(fresh_minutes))
     claim = blank.where(~F.coalesce("flagged", F.lit(False)) & F.col("linked").isNull() & fresh).groupBy("v_ip").agg(last)
     alone = blank.groupBy("v_ip").agg(last)
