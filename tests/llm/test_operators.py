@@ -149,7 +149,7 @@ def test_line_dedup_cuts_single_long_lines(spark):
 
 
 def line_pieces(text):
-    ends = [m.end() for m in re.finditer(r"([.!?;:][^\x20\x09-\x0D\w]{0,3})([ \t]+)|(\n)", text)]
+    ends = [m.end() for m in re.finditer(r"([.!?;:][^\x20\x09-\x0D\w]{0,3})([ \t\r\x0b\x0c]+)|(\n)", text)]
     return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]
 
 
@@ -158,7 +158,8 @@ def without_repeats(rows, least=10):
     seen, out = [], {}
     for i, text in rows:
         parts = line_pieces(text)
-        own = [(k, p.strip(" \n")) for k, p in enumerate(parts) if p.strip(" \n")]
+        words = [" ".join(re.findall(r"[^\x20\x09-\x0D]+", p)) for p in parts]
+        own = [(k, w) for k, w in enumerate(words) if w]
         seen.append(own)
         cut = set()
         for s in range(len(own)):
@@ -177,16 +178,24 @@ def without_repeats(rows, least=10):
 def test_line_dedup_against_all_places(spark, monkeypatch, often):
     monkeypatch.setattr(line_dedup, "OFTEN", often)  # 1: values of the sample are hot
     r = random.Random(often)
-    stock = [" ".join(f"w{r.randrange(6)}" for _ in range(n)) + "." for n in [1, 2, 3, 3, 4, 5, 6, 8, 9, 10, 12, 15] * 2]
+    stock = [r.choice([" ", " ", "\t", "  "]).join(f"w{r.randrange(6)}" for _ in range(n)) + "." for n in [1, 2, 3, 3, 4, 5, 6, 8, 9, 10, 12, 15] * 2]
     rows = []
     for i in range(60):
-        parts = [(r.choice(stock) if r.random() < 0.85 else f"own{i}x{r.randrange(9)}  \ue000 b.") + r.choice([" ", "\n", "  ", "\n\n", "\n \n", "\ue001 "]) for _ in range(r.randrange(1, 14))]
+        parts = [(r.choice(stock) if r.random() < 0.85 else f"own{i}x{r.randrange(9)}  \ue000 b.") + r.choice([" ", "\n", "  ", "\n\n", "\n \n", "\ue001 ", "\t", "\r\n", " \x0b"]) for _ in range(r.randrange(1, 14))]
         rows.append((i, "".join(parts)))
     got = {x["doc_id"]: x["text"] for x in line_dedup.dedup(docs_of(spark, rows)).collect()}
     want = without_repeats(rows)
     assert got == want and sum(want[i] != t for i, t in rows) > 30
 
 
+def test_line_dedup_knows_words_by_any_white_space(spark):
+    table = "\t".join(f"cell{k}" for k in range(30))
+    rows = [(1, f"{prose(1, 20)}\n{table}\nend one"), (2, f"own\r\n{table}\r\nend two"), (3, f"other\n{table.replace(chr(9), ' ')}\nend"), (4, f"é\t{prose(4, 9)}\n  {table.replace(chr(9), '  ')} \nlast")]
+    got = {r["doc_id"]: (r["text"], r["__cut"]["words"]) for r in line_dedup.dedup(docs_of(spark, rows)).collect()}
+    assert got[1] == (rows[0][1], 0) and got[2] == ("own\r\nend two", 30) and got[3] == ("other\nend", 30)
+    assert got[4] == (f"é\t{prose(4, 9)}\nlast", 30)
+
+
 def test_line_dedup_keeps_private_characters_and_takes_empty_tables(spark):
     run = "Six words stand in here once. Five more words in here."
     rows = [(k, f"\ue000\ue001 own{k} \ue000. {run} \ue001 tail{k}.") for k in range(40)]

@@ -34,7 +34,9 @@ from tidemark.llm.common import row_key, text_or_empty, written
 
 MIN_WORDS = 10
 #: What separates pieces: white space behind a sentence end, or a line end.
-BREAK = r"([.!?;:][^\x20\x09-\x0D\p{L}\p{N}]{0,3})([ \t]+)|(\n)"
+BREAK = r"([.!?;:][^\x20\x09-\x0D\p{L}\p{N}]{0,3})([ \t\x0b\x0c\r]+)|(\n)"
+#: White space that makes a text's words stand apart otherwise than by one space.
+WIDE = ("  ", "\t", "\r", "\x0b", "\x0c")
 #: Marks cuts for a moment; where a text holds it, its md5 is added to tell them apart.
 CUT = "\ue000"
 #: A word, as in ``common.WORD_BREAK``.
@@ -53,15 +55,23 @@ def pieces(text: Column, separators: bool = True) -> Column:
     return F.split(F.regexp_replace(text, F.lit(BREAK), F.concat(kept, mark)), mark)
 
 
+def narrow(text: Column) -> Column:
+    """The text with one space between words of a line; it has the same ``pieces``, but for white space."""
+    some = F.lit(False)
+    for c in WIDE:
+        some |= F.contains(text, F.lit(c))
+    return F.when(some, F.regexp_replace(text, "[ \t\x0b\x0c\r]+", " ")).otherwise(text)
+
+
 def hashed(text: Column) -> Column:
-    """(i, h, w) for each of ``pieces`` with a word: position, hash, number of words."""
+    """(i, h, w) for each of ``pieces`` with a word: position, hash of its words, their number."""
 
     def one(p: Column, i: Column) -> Column:
         bare = F.trim(p)
         spaces = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit("")))
         return F.when(bare != "", F.struct(i.alias("i"), F.xxhash64(bare).alias("h"), (spaces + 1).alias("w")))
 
-    return F.array_compact(F.transform(pieces(text, separators=False), one))
+    return F.array_compact(F.transform(pieces(narrow(text), separators=False), one))
 
 
 def length(k: Column, min_words: int) -> Column:
