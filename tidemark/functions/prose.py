@@ -106,7 +106,12 @@ def german_context(text: Column, around: int = 1000) -> Column:
         start = F.greatest(hit["at"] - around, F.lit(0))
         return js_trim(F.substring(text, start + 1, hit["at"] + hit["n"] + around - start))
 
-    return F.when(F.length(text) >= 100, let(F.coalesce(*[found_at(text, p) for p in GERMAN_PHRASES]), part))
+    def some(low: Column) -> Column:
+        """Whether any phrase is possible: each has one of these parts."""
+        return F.greatest(*[F.contains(low, F.lit(w)) for w in ("german", "deut", "mutter", "prich", "verf", "prach")])
+
+    possible = (F.length(text) >= 100) & let(F.lower(text), some)
+    return F.when(possible, let(F.coalesce(*[found_at(text, p) for p in GERMAN_PHRASES]), part))
 
 
 # Headings of what a posting asks for, and of what follows it.

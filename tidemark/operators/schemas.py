@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions.pay import BOUNDS, CURRENCIES
+from tidemark.functions.text import let
 
 NUMBERS = "BIGINT|DOUBLE|FLOAT|DECIMAL.*"
 #: What a value's schema must be for each kind.
@@ -113,11 +114,10 @@ def value(v: Column, f: Field) -> Column:
     if f.kind == "rows":
         return F.transform(F.filter(elements(found), is_object), lambda x: F.struct(*[value(x, g).alias(g.name) for g in f.fields]))
     if f.coerce:
-        return F.coalesce(F.when(~missing(found), loose(found, f.kind, f.trim)), default_of(f))
+        return F.coalesce(let(found, lambda x: F.when(~missing(x), loose(x, f.kind, f.trim))), default_of(f))
 
     def strict(name: str) -> Column:
-        own = at(v, name)
-        got = F.when(is_kind(own, f.kind), F.try_variant_get(own, "$", TYPES[f.kind]))
+        got = let(at(v, name), lambda own: F.when(is_kind(own, f.kind), F.try_variant_get(own, "$", TYPES[f.kind])))
         if f.allowed:
             got = F.when(got.isin(*f.allowed), got)
         return F.when(F.trim(got) != "", got) if f.filled else got
@@ -127,13 +127,16 @@ def value(v: Column, f: Field) -> Column:
 
 def error(v: Column, f: Field) -> Column:
     """What is wrong with a field that is there, or null."""
-    found = at(v, f.name)
-    if f.coerce:
-        return F.when(~missing(found) & loose(found, f.kind, f.trim).isNull(), f"{f.name}: no {f.kind}") if f.kind != "text" else F.lit(None).cast("string")
-    wrong = F.when(~missing(found) & ~is_kind(found, f.kind), f"{f.name}: no {f.kind}")
-    if f.allowed and f.kind == "text":
-        wrong = F.coalesce(wrong, F.when(~missing(found) & ~F.coalesce(text_of(found).isin(*f.allowed), F.lit(False)), f"{f.name}: not allowed"))
-    return wrong
+
+    def wrong(found: Column) -> Column:
+        if f.coerce:
+            return F.when(~missing(found) & loose(found, f.kind, f.trim).isNull(), f"{f.name}: no {f.kind}")
+        other = F.when(~missing(found) & ~is_kind(found, f.kind), f"{f.name}: no {f.kind}")
+        if f.allowed and f.kind == "text":
+            other = F.coalesce(other, F.when(~missing(found) & ~F.coalesce(text_of(found).isin(*f.allowed), F.lit(False)), f"{f.name}: not allowed"))
+        return other
+
+    return F.lit(None).cast("string") if f.coerce and f.kind == "text" else let(at(v, f.name), wrong)
 
 
 def parsed(text: Column) -> Column:
@@ -143,8 +146,12 @@ def parsed(text: Column) -> Column:
 
 def validated(v: Column, fields: Sequence[Field]) -> Column:
     """A struct of the fields' values and ``errors``; null where the JSON is no object."""
-    errors = F.array_compact(F.array(*[error(v, f) for f in fields]))
-    return F.when(is_object(v), F.struct(*[value(v, f).alias(f.name) for f in fields], errors.alias("errors")))
+
+    def made(own: Column) -> Column:
+        errors = F.array_compact(F.array(*[error(own, f) for f in fields]))
+        return F.when(is_object(own), F.struct(*[value(own, f).alias(f.name) for f in fields], errors.alias("errors")))
+
+    return let(v, made)
 
 
 def pay_of(v: Column) -> Column:
@@ -152,10 +159,20 @@ def pay_of(v: Column) -> Column:
 
     Numbers within the interval's bounds, yearly without one, in a known currency.
     """
-    number = lambda name: F.when(is_kind(at(v, name), "number"), F.try_variant_get(at(v, name), "$", "double"))
-    low, high, asked = number("salary_min"), number("salary_max"), text_of(at(v, "salary_interval"))
+    return let(v, lambda own: let(said_pay(own), usable))
+
+
+def said_pay(v: Column) -> Column:
+    """(low, high, interval, currency) as the JSON has them."""
+    number = lambda name: let(at(v, name), lambda x: F.when(is_kind(x, "number"), F.try_variant_get(x, "$", "double")))
+    asked = text_of(at(v, "salary_interval"))
     interval = F.when(asked.isin(*BOUNDS), asked).otherwise("yearly")
     currency = F.upper(text_of(at(v, "salary_currency")))
+    return F.struct(number("salary_min").alias("low"), number("salary_max").alias("high"), interval.alias("interval"), currency.alias("currency"))
+
+
+def usable(said: Column) -> Column:
+    low, high, interval, currency = (said[c] for c in ("low", "high", "interval", "currency"))
     fits = F.lit(False)
     for name, (least, most) in BOUNDS.items():
         fits |= (interval == name) & F.coalesce(low.between(least, most), F.lit(True)) & F.coalesce(high.between(least, most), F.lit(True))
@@ -212,7 +229,9 @@ PREFERENCES = (
 
 def preferences(v: Column) -> Column:
     """What a caller sets of the preferences: empty texts, false and 0 are no texts; amounts are numbers or nothing."""
-    made = validated(v, PREFERENCES)
-    return F.when(made.isNotNull(), F.struct(*[
-        made[f.name].alias(f.name) if f.kind == "number" else F.when(~made[f.name].isin("", "false", "0"), made[f.name]).alias(f.name) for f in PREFERENCES
-    ]))
+
+    def own(made: Column) -> Column:
+        texts = lambda c: F.when(~c.isin("", "false", "0"), c)
+        return F.when(made.isNotNull(), F.struct(*[(made[f.name] if f.kind == "number" else texts(made[f.name])).alias(f.name) for f in PREFERENCES]))
+
+    return let(validated(v, PREFERENCES), own)
