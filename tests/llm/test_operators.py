@@ -112,6 +112,59 @@ def test_similar_groups_against_all_pairs(spark, monkeypatch):
     assert simhash.one_of_each(docs_of(spark, [(1, "x")]).where("false")).count() == 0
 
 
+def family_points(seed, families, each, bits):
+    """Long prints of some families and of as many strangers, with sizes; none is in a ball of a stranger."""
+    r = np.random.default_rng(seed)
+    prints = []
+    for _ in range(families):
+        base = r.integers(0, 2, 512)
+        for _ in range(each):
+            own = base.copy()
+            own[r.choice(512, r.integers(0, bits), replace=False)] ^= 1
+            prints.append(own)
+    prints += list(r.integers(0, 2, (families * each, 512)))
+    words = np.packbits(np.array(prints, np.uint8), axis=1, bitorder="little").view("<u8")
+    sizes = np.concatenate((r.integers(100, 108, len(words) // 2), r.integers(0, 900, len(words) - len(words) // 2)))
+    return np.column_stack((words, sizes.astype(np.uint64)))
+
+
+def test_vantage_points_lose_no_pair_of_a_ball(monkeypatch):
+    monkeypatch.setattr(simhash, "BRANCH", 20)
+    points, apart = family_points(1, 6, 60, 60), simhash.metric(0.8)
+    near = np.array([apart(points, v) <= 1 for v in points])
+    bits = np.bitwise_count(points[:, None, :8] ^ points[None, :, :8]).sum(2, dtype=np.int64)
+    sizes = points[:, 8].astype(float)
+    ratio = np.minimum(sizes[:, None], sizes) >= 0.8 * np.maximum(sizes[:, None], sizes)
+    assert (near == ((bits <= simhash.bits_at(0.8, 512, 3.0)) & ratio)).all() and near.sum() > 2 * len(points)
+    every = np.arange(len(points))
+    # shards: each point has one home, and a ball reaches all the homes of its points
+    tree = simhash.grow(points[::3], 5, 0, apart, (simhash.EMPTY,))
+    home = {int(p): shard for own, shard in simhash.routes(tree, points, 0, apart) for p in own}
+    seen = {(int(p), shard) for own, shard in simhash.routes(tree, points, simhash.REACH, apart) for p in own}
+    assert len(set(home.values())) > 16 and len(seen) < 0.7 * len(points) * len(set(home.values()))
+    assert all((a, home[b]) in seen for a, b in zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
+    # inside a shard, where all have about one size, fingerprints prune too
+    for at in (every, every[: len(every) // 2]):
+        met, pairs = np.zeros_like(near), 0
+        for own, ask in simhash.branches(points, at, at, apart):
+            met[np.ix_(ask, own)], pairs = True, pairs + len(own) * len(ask)
+        assert met[near & np.isin(every, at)[:, None] & np.isin(every, at)].all() and pairs < 0.8 * len(at) ** 2
+
+
+def test_pipeline_links_near_copies_through_the_tree(spark, monkeypatch):
+    import corpus_pipeline
+
+    grown, whole = [], simhash.grow
+    monkeypatch.setattr(simhash, "grow", lambda *how: grown.append(whole(*how)) or grown[-1])
+    base = [prose(k, 60 + 20 * k).split() for k in range(30)]
+    near = [[*b[: 30 + k], "changed", *b[31 + k :]] for k, b in enumerate(base)]
+    kept = corpus_pipeline.near_dedup(spark, docs_of(spark, list(enumerate(" ".join(t) for t in base + near))), SF)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in base + near]
+    alike = {k for k in range(30) if len(sets[k] & sets[k + 30]) >= 0.8 * len(sets[k] | sets[k + 30])}
+    assert {r["doc_id"] for r in kept.collect()} == set(range(60)) - {k + 30 for k in alike} and len(alike) > 20
+    assert any(grown) and all(len(vantage) == simhash.WORDS + 1 for vantage, *_ in filter(None, grown))
+
+
 def test_similar_groups_scale_with_jaccard():
     base = prose(1, 500).split()
     far = base[:250] + prose(2, 250).split()

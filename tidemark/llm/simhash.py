@@ -7,6 +7,9 @@ triangle inequality.  Inside a shard a second vantage-point tree prunes branches
 way, and leaves compare exactly, so no pair within the radius is lost whatever the tree
 looks like.  A shard returns only a spanning star of what it linked.
 
+``one_of_each`` runs the same two trees over longer fingerprints with their sizes, in a
+metric of both (``metric``), and checks the pairs by the shingles afterwards.
+
 Scale: the tree's shape comes from a bounded sample (``SAMPLE`` fingerprints); shards are
 added once a shard would own more than ``SHARD_ROWS`` fingerprints.  Owners and visitors of
 a shard are counted first, and dealt to blocks and chunks of at most about ``GROUP_ROWS``
@@ -16,7 +19,7 @@ each: a group of tasks' rows has one block and one chunk, whatever the skew.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -68,22 +71,30 @@ def distances(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
     return np.bitwise_count(points ^ vantage)
 
 
-def grow(points: np.ndarray, depth: int, seed: int = 0) -> tuple | None:
-    """A tree of (vantage, radius, inside, outside) over ``points``; None is a leaf."""
+def grow(points: np.ndarray, depth: int, seed: int = 0, apart: Callable = distances, also: tuple = ()) -> tuple | None:
+    """A tree of (vantage, radius, inside, outside) over ``points``; None is a leaf.
+
+    Of some points, and those of ``also``, the one whose distances vary most is the vantage.
+    """
     if depth == 0 or len(points) < 2:
         return None
     draw = np.random.default_rng(seed + depth)
-    tries = draw.choice(points, min(8, len(points)), replace=False)
-    best = max(tries, key=lambda v: float(np.std(distances(points, v))))
-    d = distances(points, best)
-    radius = int(np.median(d))
+    tries = [*also, *draw.choice(points, min(8, len(points)), replace=False)]
+    best = max(tries, key=lambda v: float(np.std(apart(points, v))))
+    d = apart(points, best)
+    radius = float(np.median(d))
     inside = d <= radius
     if inside.all():
         return None
-    return (best, radius, grow(points[inside], depth - 1, 2 * seed + 1), grow(points[~inside], depth - 1, 2 * seed + 2))
+    return (
+        best,
+        radius,
+        grow(points[inside], depth - 1, 2 * seed + 1, apart, also),
+        grow(points[~inside], depth - 1, 2 * seed + 2, apart, also),
+    )
 
 
-def routes(tree: tuple | None, points: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, int]]:
+def routes(tree: tuple | None, points: np.ndarray, reach: float, apart: Callable = distances) -> Iterator[tuple[np.ndarray, int]]:
     """(indices of points, shard) for each shard that balls of radius ``reach`` touch."""
     stack, shard = [(tree, np.arange(len(points)))], 0
     while stack:
@@ -93,7 +104,7 @@ def routes(tree: tuple | None, points: np.ndarray, reach: int) -> Iterator[tuple
             shard += 1
             continue
         vantage, radius, inside, outside = node
-        d = distances(points[own], vantage).astype(np.int64)
+        d = apart(points[own], vantage).astype(float)
         stack.append((outside, own[d > radius - reach]))
         stack.append((inside, own[d <= radius + reach]))
 
@@ -264,6 +275,69 @@ def bits_at(similarity: float, bits: int, slack: float = 0.0) -> int:
     return round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
+def metric(similarity: float) -> Callable:
+    """Distances of points (rows of ``WORDS`` words of a long fingerprint and a size) to a vantage point.
+
+    The larger of two distances: differing bits, in units of three standard deviations
+    beyond ``similarity``, and the ratio of the sizes, in units of the largest one that the
+    similarity allows.  Both are metrics, and so is the larger one: a ball of radius 1 has
+    all texts that may be similar, and the triangle inequality prunes by both.
+    """
+    near = max(bits_at(similarity, 64 * WORDS, 3.0), 0.5)
+    widest = max(-math.log(similarity), 1e-9)
+
+    def place(sizes: np.ndarray) -> np.ndarray:
+        # the empty text is far from all others
+        return np.where(sizes > 0, np.log(np.maximum(sizes, 1)), -40.0) / widest
+
+    def apart(points: np.ndarray, vantage: np.ndarray) -> np.ndarray:
+        far = np.bitwise_count(points[:, :WORDS] ^ vantage[:WORDS]).sum(1, dtype=np.int64) / near
+        return np.maximum(far, np.abs(place(points[:, WORDS]) - place(vantage[WORDS])))
+
+    return apart
+
+
+#: The empty text as a point: its distances order all others by size.
+EMPTY = np.zeros(WORDS + 1, np.uint64)
+#: The radius of a search ball of ``metric``, with room for rounding.
+REACH = 1 + 1e-9
+#: A branch is split while it owns more points than these and its split spares a tenth of the pairs.
+BRANCH = 8 * LEAF
+SPARED = 0.9
+
+
+def branches(points: np.ndarray, own: np.ndarray, ask: np.ndarray, apart: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The leaves (own, ask) of a vantage-point tree over the points ``own``, asked by the points ``ask``.
+
+    A point that asks goes down each branch that its ball may overlap.  Of some vantage
+    points and radii those are taken that spare most pairs; where none spares enough, the
+    branch is a leaf.
+    """
+    stack = [(own, ask, 0)]
+    while stack:
+        own, ask, level = stack.pop()
+        if not len(own) or not len(ask):
+            continue
+        best, cost = None, SPARED * len(own) * len(ask)
+        if len(own) > BRANCH and level < 48:
+            # points of the branch in turn, and the empty text; looked at by an even part of the rows
+            some, other = own[:: -(-len(own) // 1024)], ask[:: -(-len(ask) // 1024)]
+            for vantage in [EMPTY, *points[own[np.linspace(0, len(own) - 1, 4).astype(int) - level % 2]]]:
+                d, q = apart(points[some], vantage), apart(points[other], vantage)
+                for radius in np.unique(np.quantile(d, (0.25, 0.5, 0.75), method="lower")):
+                    inside = (d <= radius).mean()
+                    pairs = inside * (q <= radius + REACH).mean() + (1 - inside) * (q > radius - REACH).mean()
+                    if inside < 1 and pairs * len(own) * len(ask) < cost:
+                        best, cost = (vantage, radius), pairs * len(own) * len(ask)
+        if best is None:
+            yield own, ask
+            continue
+        vantage, radius = best
+        inside, q = apart(points[own], vantage) <= radius, apart(points[ask], vantage)
+        stack.append((own[inside], ask[q <= radius + REACH], level + 1))
+        stack.append((own[~inside], ask[q > radius - REACH], level + 1))
+
+
 def hook(links: Links, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links the pairs, and gives those that joined two groups: never more than there are points."""
     kept: list[tuple[np.ndarray, np.ndarray]] = []
@@ -282,9 +356,9 @@ def hook(links: Links, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.nda
 def link_similar(prints: np.ndarray, sizes: np.ndarray, home: np.ndarray, asks: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (index, index) of a group that may be similar: a forest, likely pairs first.
 
-    The points are ordered by size: the distance ``|log a - log b|`` to an empty text is
-    the first level of the tree, and only its ring around a block can hold neighbours.
-    Pairs that their fingerprints make sure are hooked at once; those within three standard
+    Pairs meet in the leaves of a vantage-point tree (``branches``), and there in order of
+    size, which is the distance to the empty text: only its ring around a block can hold
+    neighbours.  Pairs that their fingerprints make sure are hooked at once; those within three standard
     deviations of ``similarity`` later, by distance, where their groups are still apart.
     """
     order = np.argsort(sizes, kind="stable")
@@ -306,35 +380,40 @@ def link_similar(prints: np.ndarray, sizes: np.ndarray, home: np.ndarray, asks:
         new = np.append(True, (la[1:] != la[:-1]) | (lb[1:] != lb[:-1]))[: len(la)]
         return all_rows[new][np.argsort(all_rows[new][:, 0], kind="stable")]
 
-    own, ask_all = np.flatnonzero(home), np.flatnonzero(asks)
-    ask_sizes = sizes[ask_all]
-    for j in range(0, len(own), LEAF):
-        block = own[j : j + LEAF]
-        lo = np.searchsorted(ask_sizes, math.floor(sizes[block[0]] * similarity), "left")
-        hi = np.searchsorted(ask_sizes, math.ceil(sizes[block[-1]] / similarity), "right")
-        part = [np.ascontiguousarray(prints[block, k]) for k in range(SIFT_WORDS)]
-        for k in range(lo, hi, BLOCK):
-            ask = ask_all[k : min(hi, k + BLOCK)]
-            d = np.bitwise_count(prints[ask, 0][:, None] ^ part[0])
-            for w in range(1, SIFT_WORDS):
-                d = d + np.bitwise_count(prints[ask, w][:, None] ^ part[w])
-            x, y = np.nonzero(d <= sift)
-            a, b = ask[x], block[y]
-            while len(a):
-                apart = links.label[a] != links.label[b]
-                a, b = a[apart], b[apart]
-                # in slices: what the first ones link needs no comparison later
-                x, y, a, b = a[:20_000], b[:20_000], a[20_000:], b[20_000:]
-                ratio = np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y])
-                x, y = x[ratio], y[ratio]
-                far = np.bitwise_count(prints[x] ^ prints[y]).sum(1, dtype=np.int64)
-                found.append(hook(links, x[far <= sure], y[far <= sure]))
-                some = (far > sure) & (far <= near)
-                maybe.append(np.column_stack((far[some], x[some], y[some])))
-                held += int(some.sum())
-                if held > 1_000_000:
-                    maybe = [closest(maybe)]
-                    held = -len(maybe[0])
+    def compare(own: np.ndarray, ask_all: np.ndarray) -> None:
+        nonlocal maybe, held
+        ask_sizes = sizes[ask_all]
+        for j in range(0, len(own), LEAF):
+            block = own[j : j + LEAF]
+            lo = np.searchsorted(ask_sizes, math.floor(sizes[block[0]] * similarity), "left")
+            hi = np.searchsorted(ask_sizes, math.ceil(sizes[block[-1]] / similarity), "right")
+            part = [np.ascontiguousarray(prints[block, k]) for k in range(SIFT_WORDS)]
+            for k in range(lo, hi, BLOCK):
+                ask = ask_all[k : min(hi, k + BLOCK)]
+                d = np.bitwise_count(prints[ask, 0][:, None] ^ part[0])
+                for w in range(1, SIFT_WORDS):
+                    d = d + np.bitwise_count(prints[ask, w][:, None] ^ part[w])
+                x, y = np.nonzero(d <= sift)
+                a, b = ask[x], block[y]
+                while len(a):
+                    apart = links.label[a] != links.label[b]
+                    a, b = a[apart], b[apart]
+                    # in slices: what the first ones link needs no comparison later
+                    x, y, a, b = a[:20_000], b[:20_000], a[20_000:], b[20_000:]
+                    ratio = np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y])
+                    x, y = x[ratio], y[ratio]
+                    far = np.bitwise_count(prints[x] ^ prints[y]).sum(1, dtype=np.int64)
+                    found.append(hook(links, x[far <= sure], y[far <= sure]))
+                    some = (far > sure) & (far <= near)
+                    maybe.append(np.column_stack((far[some], x[some], y[some])))
+                    held += int(some.sum())
+                    if held > 1_000_000:
+                        maybe = [closest(maybe)]
+                        held = -len(maybe[0])
+
+    points = np.column_stack((prints, sizes.astype(np.uint64)))
+    for leaf in branches(points, np.flatnonzero(home), np.flatnonzero(asks), metric(similarity)):
+        compare(*leaf)
     for k in range(sure + 1, near + 1):
         rest = closest(maybe) if k == sure + 1 else rest
         at = rest[rest[:, 0] == k]
@@ -343,9 +422,9 @@ def link_similar(prints: np.ndarray, sizes: np.ndarray, home: np.ndarray, asks:
     return order[a], order[b]
 
 
-#: Points that a size shard owns, at most about; more shards cost more visits.
+#: Points that a shard of long prints owns, at most about; more shards cost more visits.
 OWN = 150_000
-LEAST_SHARDS = 24
+LEAST_DEPTH = 5
 
 
 def shingles(text: str, shingle: int) -> tuple[Column, Column]:
@@ -379,13 +458,14 @@ def verified(edges: DataFrame, docs: DataFrame, key: list, text_col: str, shingl
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, h1, h2, group): the group of each document, by shingle similarity.
 
-    Fingerprints of a similarity of 0.8 differ in 15 bits of 100, and random ones in 50, so
-    a tree of Hamming balls cannot prune here.  The vantage point is therefore the empty
-    text: shards are rings of sizes (numbers of distinct shingles), and a point also visits
-    the shards of smaller sizes that its search ball, sizes down to ``similarity`` times its
-    own, overlaps.  Texts with equal prints and sizes are one point.  Inside its ring every
-    pair is compared: the work grows with the square of the points, in numpy, in groups of
-    at most about ``OWN`` points.  Each group gives a forest of pairs that may be similar, no
+    A vantage-point tree over the long fingerprints and sizes (``metric``) deals the points
+    to shards, as in ``link``; its shape comes from ``SAMPLE`` points.  A point also visits
+    the later shards that its ball may overlap.  Inside a shard a second tree prunes
+    (``branches``).  Texts with equal prints and sizes are one point.  Fingerprints of a
+    similarity of 0.8 differ in 15 bits of 100, and random ones in 50, so among unlike texts
+    the distance to the empty text, their size, prunes, and among families of texts the
+    other vantage points do: unlike texts of one size are all compared, in numpy, in groups
+    of at most about ``OWN`` points.  Each group gives a forest of pairs that may be similar, no
     more than it has points; they are verified by the shingles themselves, so that every
     link is one of two texts with the similarity.
     """
@@ -400,22 +480,28 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5
     points = written(
         prints.groupBy("fp", "n").agg(F.min(F.struct(*KEY)).alias("k")).select("fp", "n", "k", F.xxhash64("fp", "n").alias("p")), "points"
     )
-    count = points.count()
-    shards = max(LEAST_SHARDS, -(-count // OWN))
-    cuts = points.approxQuantile("n", [k / shards for k in range(1, shards)], 0.0005) if count else []
-    edges_of = np.unique(np.array(cuts, float))
+    deep = max(LEAST_DEPTH, math.ceil(math.log2(max(points.count(), 1) / OWN)))
+    apart = metric(similarity)
+
+    def rows_of(batch: pd.DataFrame) -> np.ndarray:
+        fps = np.frombuffer(b"".join(batch["fp"]), "<u8").reshape(-1, WORDS)
+        return np.column_stack((fps, batch["n"].to_numpy().astype(np.uint64)))
+
+    tree = grow(rows_of(points.orderBy("p", "fp").limit(SAMPLE).toPandas()), deep, 0, apart, (EMPTY,))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n = batch["n"].to_numpy()
-            at = np.searchsorted(edges_of, n, "right")
-            low = np.searchsorted(edges_of, np.floor(n * similarity), "right")
-            for back in range(int((at - low).max(initial=0)) + 1):
-                own = at - back >= low
-                yield batch[own].assign(shard=(at - back)[own].astype(np.int32), home=back == 0)
+            rows = rows_of(batch)
+            at = np.zeros(len(rows), np.int32)
+            for own, shard in routes(tree, rows, 0, apart):
+                at[own] = shard
+            for own, shard in routes(tree, rows, REACH, apart):
+                # a pair in two shards meets once: only the earlier one's point visits
+                own = own[at[own] <= shard]
+                yield batch.iloc[own].assign(shard=np.int32(shard), home=at[own] == shard)
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        fps = np.frombuffer(b"".join(group["fp"]), "<u8").reshape(-1, WORDS)
+        fps = rows_of(group)[:, :WORDS]
         a, b = link_similar(fps, group["n"].to_numpy(), group["home"].to_numpy(bool), group["asks"].to_numpy(bool), similarity)
         p = group["p"].to_numpy()
         return pd.DataFrame({"a": p[a], "b": p[b]})
