@@ -241,6 +241,25 @@ def test_line_dedup_against_all_places(spark, monkeypatch, often):
     assert got == want and sum(want[i] != t for i, t in rows) > 30
 
 
+@pytest.mark.parametrize("least", [1, 4])
+def test_line_dedup_takes_any_number_of_words(spark, least):
+    r = random.Random(least)
+    stock = [" ".join(f"w{r.randrange(4)}" for _ in range(n)) + "." for n in [1, 1, 2, 3, 4, 5, 7]]
+    rows = [(i, "".join((r.choice(stock) if r.random() < 0.6 else f"own{i}x{k}.") + r.choice([" ", "\n", "\n\n"]) for k in range(r.randrange(1, 9)))) for i in range(25)]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup(docs_of(spark, rows), min_words=least).collect()}
+    assert got == without_repeats(rows, least)
+
+
+def test_line_dedup_finds_windows_in_compiled_code(spark):
+    none = "array<int>"
+    cut = spark.createDataFrame([(1, 2, [0, 1, 3], [7, 8, 9], [4, 12, 3], [2])], f"id long, t int, i {none}, h array<long>, w {none}, at {none}")
+    for df in (line_dedup.prints(cut, 10), line_dedup.windows(cut, 10)):
+        assert "lambda" not in df._jdf.queryExecution().executedPlan().toString()
+    # the long piece, with the short one before it, and with the one behind it
+    got = {(r["p"] & line_dedup.LOW, r["e"]) for r in line_dedup.windows(cut, 10).collect()}
+    assert got == {(1, 2), (0, 2), (1, 3)}
+
+
 def test_line_dedup_knows_words_by_any_white_space(spark):
     table = "\t".join(f"cell{k}" for k in range(30))
     rows = [(1, f"{prose(1, 20)}\n{table}\nend one"), (2, f"own\r\n{table}\r\nend two"), (3, f"other\n{table.replace(chr(9), ' ')}\nend"), (4, f"é\t{prose(4, 9)}\n  {table.replace(chr(9), '  ')} \nlast")]

@@ -27,6 +27,8 @@ fingerprints and the runs of one document.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,9 +50,13 @@ HOT, OFTEN = 10_000, 8
 LOW = 2**32 - 1
 
 
-def pieces(text: Column, separators: bool = True) -> Column:
-    """The pieces of a text; with separators they are the text again when joined."""
-    mark = F.when(F.contains(text, F.lit(CUT)), F.concat(F.lit(CUT), F.md5(text))).otherwise(F.lit(CUT))
+def cut_mark(text: Column) -> Column:
+    """What marks cuts in a text for a moment, and does not occur in it."""
+    return F.when(F.contains(text, F.lit(CUT)), F.concat(F.lit(CUT), F.md5(text))).otherwise(F.lit(CUT))
+
+
+def pieces(text: Column, mark: Column, separators: bool = True) -> Column:
+    """The pieces of a text with its ``cut_mark``; with separators they are the text again when joined."""
     kept = F.lit("$1$2$3" if separators else "$1")
     return F.split(F.regexp_replace(text, F.lit(BREAK), F.concat(kept, mark)), mark)
 
@@ -63,39 +69,43 @@ def narrow(text: Column) -> Column:
     return F.when(some, F.regexp_replace(text, "[ \t\x0b\x0c\r]+", " ")).otherwise(text)
 
 
-def hashed(text: Column) -> Column:
-    """(i, h, w) for each of ``pieces`` with a word: position, hash of its words, their number."""
+def hashed(texts: DataFrame) -> DataFrame:
+    """The columns of ``texts``, but (i, h, w) for ``text``: arrays of the positions, hashes and words of ``pieces`` with a word.
 
-    def one(p: Column, i: Column) -> Column:
-        bare = F.trim(p)
+    Text and mark are columns, each made once: within the function of an array they would be
+    made anew wherever they are named.
+    """
+
+    def one(bare: Column, i: Column) -> Column:
         spaces = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit("")))
         return F.when(bare != "", F.struct(i.alias("i"), F.xxhash64(bare).alias("h"), (spaces + 1).alias("w")))
 
-    return F.array_compact(F.transform(pieces(narrow(text), separators=False), one))
+    marked = texts.withColumn("text", narrow(F.col("text"))).withColumn("mark", cut_mark(F.col("text")))
+    bare = F.transform(pieces(F.col("text"), F.col("mark"), separators=False), lambda p: F.trim(p))
+    made = marked.withColumn("x", F.array_compact(F.transform(bare, one)))
+    return made.select("*", *[F.col(f"x.{c}").alias(c) for c in "ihw"]).drop("text", "mark", "x")
+
+
+def sums(start: Column, way: int, min_words: int) -> list[Column]:
+    """Words of the first, the first two, ... pieces from ``start`` on, one way; ``min_words`` or more beyond the text's end."""
+    steps = (F.coalesce(F.get("w", start + way * j), F.lit(min_words)) for j in range(min_words - 1))
+    return list(accumulate(steps))
 
 
-def length(k: Column, min_words: int) -> Column:
-    """Pieces of the window that starts at piece k; null where the text has too few words."""
-    words = F.get("w", k)
-    found = F.when(words >= min_words, 1)
-    for j in range(1, min_words):
-        words = words + F.get("w", k + j)
-        found = found.when(words >= min_words, j + 1)
-    return found
+def below(words: list[Column], min_words: int) -> Column:
+    """How many of the sums are less than ``min_words``."""
+    return sum(((s < min_words).cast("int") for s in words), F.lit(0))
 
 
-def reach(start: Column, way: int, words: Column, min_words: int) -> Column:
-    """Pieces from ``start`` on, one way, that keep a number of words below ``min_words``."""
-    found = F.lit(min_words - 1)
-    steps = [words := words + F.coalesce(F.get("w", start + way * j), F.lit(min_words)) for j in range(min_words - 1)]
-    for j, so_far in reversed(list(enumerate(steps))):
-        found = F.when(so_far >= min_words, j).otherwise(found)
-    return found
+def length(k: Column, behind: list[Column], min_words: int) -> Column:
+    """Pieces of the shortest window that starts at piece k, by the ``sums`` behind it; it may end beyond the text."""
+    own = F.get("w", k)
+    return below([own, *[own + s for s in behind[:-1]]], min_words) + 1
 
 
 def together(k: Column, n: Column) -> Column:
     """One hash of the n pieces from k on."""
-    return F.aggregate(F.slice("h", k + 1, n), F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x))
+    return F.xxhash64(F.slice("h", k + 1, n))
 
 
 def packed(k: Column) -> Column:
@@ -110,15 +120,16 @@ def prints(cut: DataFrame, min_words: int) -> DataFrame:
     the first of some short pieces plus one.
     """
 
-    def row(n: Column, k: Column) -> Column:
-        # only the last piece of a shortest window can be long
-        return (
-            F.when(n == 1, F.struct(packed(2 * k).alias("p"), F.get("h", k).alias("v")))
-            .when(F.get("w", k + n - 1) < min_words, F.struct(packed(2 * k + 1).alias("p"), together(k, n).alias("v")))
-        )
-
-    ahead = cut.withColumn("n", F.transform("w", lambda w, k: F.when(w >= min_words, 1).otherwise(length(k, min_words))))
-    return ahead.select("id", F.explode(F.array_compact(F.transform("n", row))).alias("r")).select("id", "r.*")
+    k, n = F.col("k"), F.col("n")
+    each = cut.select("id", "t", "h", "w", F.posexplode("w").alias("k", "__w"))
+    ahead = each.withColumn("n", length(k, sums(k + 1, 1, min_words), min_words))
+    # only the last piece of a shortest window can be long
+    row = (
+        F.when(n == 1, F.array(F.struct(packed(2 * k).alias("p"), F.get("h", k).alias("v"))))
+        .when(F.get("w", k + n - 1) < min_words, F.array(F.struct(packed(2 * k + 1).alias("p"), together(k, n).alias("v"))))
+    )
+    # a filter would be pushed below and have the lengths computed twice
+    return ahead.select("id", F.inline(row).alias("p", "v"))
 
 
 def often(drawn: DataFrame) -> DataFrame:
@@ -145,31 +156,22 @@ def windows(met: DataFrame, min_words: int) -> DataFrame:
     start in the short pieces before it, and any fingerprint is the start of those that end
     in the short pieces behind it, as far as they stay shortest windows.
     """
-    none = F.array().cast("array<struct<k:int,n:int>>")
-
-    def each(count: Column, of) -> Column:  # noqa: ANN001
-        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), of)).otherwise(none)
-
-    def own(f: Column) -> Column:
-        k, alone = F.shiftright(f, 1), f % 2 == 0
-        return F.struct(k.alias("k"), alone.alias("alone"), F.when(alone, 1).otherwise(length(k, min_words)).alias("n"))
-
-    def around(f: Column) -> Column:
-        k, alone, n = f["k"], f["alone"], f["n"]
-        window = lambda k, n: F.struct(k.alias("k"), n.cast("int").alias("n"))
-        rest = F.when(alone, 0).otherwise(F.aggregate(F.slice("w", k + 2, n - 1), F.lit(0), lambda a, w: a + w))
-        before = F.when(alone, each(reach(k - 1, -1, F.lit(0), min_words), lambda d: window(k - d, d + 1))).otherwise(none)
-        behind = each(reach(k + n, 1, rest, min_words), lambda d: window(k, n + d))
-        return F.concat(F.array(window(k, n)), before, behind)
-
-    def row(w: Column) -> Column:
-        k, n = w["k"], w["n"]
-        # with the blank pieces up to the next one
-        end = F.coalesce(F.get("i", k + n) - 1, F.get("i", k + n - 1))
-        return F.struct(packed(F.get("i", k)).alias("p"), together(k, n).alias("v"), end.alias("e"))
-
-    found = met.withColumn("ws", F.flatten(F.transform(F.transform("at", own), around)))
-    return found.select("id", F.explode(F.transform("ws", row)).alias("r")).select("id", "r.*")
+    f, k, n, d = F.col("f"), F.col("k"), F.col("n"), F.col("d")
+    each = met.select("id", "t", "i", "h", "w", F.explode("at").alias("f"))
+    each = each.withColumns({"k": F.shiftright(f, 1), "alone": f.bitwiseAND(F.lit(1)) == 0})
+    behind = sums(k + 1, 1, min_words)
+    each = each.withColumns({
+        "n": length(k, behind, min_words),
+        "before": below(sums(k - 1, -1, min_words), min_words),
+        "behind": below(behind, min_words),
+    })
+    first = F.when(F.col("alone"), -F.col("before")).otherwise(0)
+    found = each.select("id", "t", "i", "h", "k", "n", F.explode(F.sequence(first, F.greatest(F.col("behind") + 1 - n, F.lit(0)))).alias("d"))
+    # -d pieces before a long one, or d pieces behind a fingerprint
+    found = found.select("id", "t", "i", "h", F.when(d < 0, k + d).otherwise(k).alias("k"), (n + F.abs(d)).alias("n"))
+    # with the blank pieces up to the next one
+    end = F.coalesce(F.get("i", k + n) - 1, F.get("i", k + n - 1))
+    return found.select("id", packed(F.get("i", k)).alias("p"), together(k, n).alias("v"), end.alias("e"))
 
 
 def later(rows: DataFrame, hot: DataFrame) -> DataFrame:
@@ -186,8 +188,8 @@ def runs(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS
     """(id, text's hash, runs): for each document the sorted (s, e) of pieces that occurred before."""
     key, first, _ = row_key(id_col, text_col)
     text_hash = F.shiftright(F.shiftleft(first, 32), 32).cast("int")
-    made = docs.select(key.alias("id"), text_hash.alias("t"), hashed(text_or_empty(text_col)).alias("x"))
-    cut = written(made.select("id", "t", *[F.col(f"x.{c}").alias(c) for c in "ihw"]), "line-pieces")
+    texts = docs.select(key.alias("id"), text_hash.alias("t"), text_or_empty(text_col).alias("text"))
+    cut = written(hashed(texts), "line-pieces")
     one_in = lambda *key: F.pmod(F.xxhash64(*key), F.lit(SAMPLE)) == 0
     seen = again(prints(cut, min_words), often(prints(cut.where(one_in("id", "t")), min_words))).withColumnsRenamed({"id": "ci", "t": "ct"})
     met = cut.join(seen, (F.col("id") == F.col("ci")) & (F.col("t") == F.col("ct"))).drop("ci", "ct")
@@ -227,7 +229,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
         )
     )
     # zipped, not looked up from the lambda, where the optimizer might build the array anew
-    parts = F.arrays_zip(pieces(text_or_empty(text_col)).alias("p"), flags.alias("cut"))
+    text = text_or_empty(text_col)
+    parts = F.arrays_zip(pieces(text, cut_mark(text)).alias("p"), flags.alias("cut"))
     gone = lambda x: F.coalesce(x["cut"], F.lit(False))
     rest = F.array_join(F.transform(F.filter("__parts", lambda x: ~gone(x)), lambda x: x["p"]), "")
     words = F.regexp_count(F.array_join(F.transform(F.filter("__parts", gone), lambda x: x["p"]), ""), F.lit(WORD))
